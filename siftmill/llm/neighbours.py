@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from siftmill.functions.vector import finite
 from siftmill.session import broadcast_if_small, materialise
 
 #: Members a region should have; a task holds about twice that and the vectors that ask there.
-REGION_ROWS = 32_768
+REGION_ROWS = 131_072
 #: Vectors the region tree is fitted on, at least and at most. The sample is by hash of the id.
 SAMPLE_ROWS = (4_096, 65_536)
 #: Copies of one vector from which they are taken out as a group and represented by one.
@@ -95,6 +96,24 @@ def _usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[good], flat[good]
 
 
+def _pack(flat: np.ndarray) -> pa.Array:
+    """Vectors as bytes: halves if that loses nothing of any vector of the batch, else whole floats."""
+    with np.errstate(over="ignore"):
+        half = flat.astype(np.float16)
+    data = half if np.array_equal(half.astype(np.float32), flat) else flat
+    data = np.ascontiguousarray(data)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(data.itemsize * flat.shape[1]), len(flat), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _unpack(raw: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(raw), dim), np.float32)
+    for kind in (np.float16, np.float32):
+        at = [i for i, r in enumerate(raw) if len(r) == np.dtype(kind).itemsize * dim]
+        if at:
+            out[at] = np.frombuffer(b"".join([raw[i] for i in at]), kind).reshape(-1, dim)
+    return out
+
+
 def _place(tree: Tree | None, dim: int, reach: float, visits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +133,7 @@ def _place(tree: Tree | None, dim: int, reach: float, visits: int) -> Callable[[
                 rows, where = np.nonzero(ask)
                 regions = best[rows, where].astype(np.int32)
                 home = regions == own[rows]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(rows), [None, pa.py_buffer(np.ascontiguousarray(flat[rows]))]).cast(pa.binary())
+            raw = _pack(flat[rows])
             picked = pa.array(at[rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(picked), pa.array(regions, pa.int32()), batch.column(0).take(picked), pa.array(home), raw],
@@ -128,8 +147,7 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        raw = b"".join(table.column("raw").to_pylist())
-        flat = np.frombuffer(raw, np.float32).reshape(-1, dim)
+        flat = _unpack(table.column("raw").to_pylist(), dim)
         points = _unit(flat)
         members = np.flatnonzero(home)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -180,17 +198,17 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
             both = np.unique(a * np.int64(len(points)) + b)
             a, b = both // len(points), both % len(points)
             exact = np.empty(len(a), np.float64)
-            wide = flat.astype(np.float64)
-            length = np.linalg.norm(wide, axis=1)
-            for i in range(0, len(a), 1 << 17):
-                s = slice(i, i + (1 << 17))
-                exact[s] = np.einsum("ij,ij->i", wide[a[s]], wide[b[s]]) / (length[a[s]] * length[b[s]])
+            for i in range(0, len(a), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                x, y = flat[a[s]].astype(np.float64), flat[b[s]].astype(np.float64)
+                exact[s] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             keep = (exact >= least) & (ids[a] != ids[b])
             a, b, exact = a[keep], b[keep], exact[keep]
             order = np.lexsort((ids[b], -exact, a))
             a, b, exact = a[order], b[order], exact[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a, side="left")
-            a, b, exact = a[rank < k], b[rank < k], exact[rank < k]
+            # More than k are named: the other end may need what this one doesn't.
+            a, b, exact = a[rank < 4 * k], b[rank < 4 * k], exact[rank < 4 * k]
             return pa.table({"vec_a": pa.array(ids[a], pa.int64()), "vec_b": pa.array(ids[b], pa.int64()), "cosine": pa.array(exact, pa.float64())})
         return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
 
@@ -205,11 +223,11 @@ def nearest(
     k: int = 10,
     min_cosine: float = -1.0,
     dim: int = 64,
-    reach: float = 0.1,
-    visits: int = 6,
+    reach: float = 0.06,
+    visits: int = 4,
     trees: int = 4,
-    leaf_rows: int = 128,
-    leaves: int = 16,
+    leaf_rows: int = 256,
+    leaves: int = 8,
     region_rows: int = REGION_ROWS,
     hot_copies: int = HOT_COPIES,
 ) -> DataFrame:
@@ -226,7 +244,8 @@ def nearest(
     base = rows.select(F.col(row_id).cast("bigint").alias("id"), F.coalesce(F.col(part).cast("string") if part else F.lit(""), F.lit("")).alias("part"), F.col(vector).alias("vector"))
     base = base.where(F.col("id").isNotNull() & (F.size("vector") == dim))
     # Groups of copies: counted by hash, so only numbers are moved.
-    copies = base.groupBy("part", F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    usable = finite(F.col("vector"), dim) & F.exists("vector", lambda x: x != 0)
+    copies = base.where(usable).groupBy("part", F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     hot = materialise(copies.where(F.col("n") >= max(hot_copies, k + 2)), "copies")
     total = rows.count()
     some_hot = hot.limit(1).count() > 0
@@ -263,7 +282,7 @@ def nearest(
         own = own.where(F.col("id") != F.col("vec_b")).select(F.col("id").alias("vec_a"), "vec_b", F.lit(1.0).alias("cosine"))
         near = near.unionByName(own.where(F.lit(1.0) >= min_cosine))
     order = W.partitionBy("vec_a").orderBy(F.desc("cosine"), "vec_b")
-    return near.dropDuplicates(["vec_a", "vec_b"]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+    return near.repartition("vec_a").dropDuplicates(["vec_a", "vec_b"]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
 
 
 def near_pairs(near: DataFrame) -> DataFrame:
