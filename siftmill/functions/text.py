@@ -58,10 +58,18 @@ def fold_code(text: Column) -> Column:
     return F.translate(text, source + INVISIBLE, target)
 
 
+#: Blanks of any kind at either end.
+OUTER_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def strip(text: Column) -> Column:
+    """``text`` without outer blanks of any kind."""
+    return F.regexp_replace(text, OUTER_BLANKS, "")
+
+
 def is_missing(text: Column) -> Column:
     """True for NULL, blanks and any spelling of a placeholder; ``无`` is a value."""
-    bare = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")))
-    return bare.isin(*PLACEHOLDERS)
+    return F.lower(strip(F.coalesce(text, F.lit("")))).isin(*PLACEHOLDERS)
 
 
 def present(text: Column) -> Column:

@@ -7,7 +7,7 @@ doesn't hold yet are parsed, once, by an exhaustive list of notations; then rows
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.functions.text import fold_code
+from siftmill.functions.text import fold_code, strip
 from siftmill.operators.skew import lookup
 from siftmill.session import broadcast_if_small, table_path
 
@@ -39,15 +39,14 @@ _CLOCK = r"(\d{1,2})[:时](\d{1,2})(?:[:分](\d{1,2})(?:[.,](\d{1,9}))?秒?)?分
 _HALF = r"\s*(am|pm|a\.m\.|p\.m\.)?"
 _ZONE = r"\s*(z|utc|gmt|ut|[a-z]{2,5}|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|\[[a-z_]+(?:/[a-z_+-]+)*\])?"
 _MON = "(" + "|".join(MONTHS) + ")[a-z]*"
-#: Notation, and the groups of: first, second, third date number, named month, half day in front, hour.
-#: Behind the hour follow minute, second, fraction, half day and zone in every notation.
+#: Notations. Groups of each: three parts of the date, half day in front, hour, minute, second, fraction, half day, zone.
 SHAPES = (
-    ("year_first", rf"^(\d{{4}})[-/.年](\d{{1,2}})[-/.月](\d{{1,2}})日?(?:t|\s)\s*(上午|下午)?\s*{_CLOCK}{_HALF}{_ZONE}$", 4, 5),
-    ("by_site", rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{1,2}})(?:t|,?\s)\s*(上午|下午)?\s*{_CLOCK}{_HALF}{_ZONE}$", 4, 5),
-    ("day_month", rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{{1,2}})[-/.\s]{_MON}[-/.\s](\d{{4}})()\s+{_CLOCK}{_HALF}{_ZONE}$", 4, 5),
-    ("month_day", rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?{_MON}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})()\s+{_CLOCK}{_HALF}{_ZONE}$", 4, 5),
+    ("year_first", rf"^(\d{{4}})[-/.年](\d{{1,2}})[-/.月](\d{{1,2}})日?(?:t|\s)\s*(上午|下午)?\s*{_CLOCK}{_HALF}{_ZONE}$"),
+    ("by_site", rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{1,2}})(?:t|,?\s)\s*(上午|下午)?\s*{_CLOCK}{_HALF}{_ZONE}$"),
+    ("day_month", rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{{1,2}})[-/.\s]{_MON}[-/.\s](\d{{4}})()\s+{_CLOCK}{_HALF}{_ZONE}$"),
+    ("month_day", rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?{_MON}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})()\s+{_CLOCK}{_HALF}{_ZONE}$"),
+    ("year_first", r"^(\d{4})(\d{2})(\d{2})()(?:[t\s])?(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?()\s*(z|utc|[+-]\d{2}:?\d{2})?$"),
 )
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[t\s])?(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?\s*(z|utc|[+-]\d{2}:?\d{2})?$"
 
 
 def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,8 +79,13 @@ def site_rules(sites: DataFrame) -> DataFrame:
     return rules.mapInPandas(_offsets, "site string, zone string, date_order string, names map<string,int>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def _num(c: Column) -> Column:
-    return F.when(c != "", c.cast("int"))
+    return F.when(c != "", c.try_cast("int"))
 
 
 def _hour24(hour: Column, half: Column) -> Column:
@@ -92,6 +96,32 @@ def _hour24(hour: Column, half: Column) -> Column:
     return F.when(late, F.when(hour > 12, hour).otherwise(twelve + 12)).when(early, twelve).otherwise(hour)
 
 
+def _stamp(n: Column) -> Column:
+    """A time from (year, month, day, hour, minute, second, micros); NULL if any part is impossible."""
+    y, mo, d, h, mi, s, us = (n[i] for i in range(7))
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    last = F.when(mo.isin(4, 6, 9, 11), 30).when(mo == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    fine = y.between(1900, 2200) & mo.between(1, 12) & (d >= 1) & (d <= last) & (h <= 23) & (mi <= 59) & (s <= 59)
+    return F.when(fine, F.make_timestamp_ntz(y, mo, d, h, mi, s + (us / F.lit(1_000_000)).cast("decimal(8,6)")))
+
+
+def _numbers(part: Column, date_order: Column) -> Column:
+    """(year, month, day, hour, minute, second, micros) of the parts of a notation."""
+    kind, one, two, three = (part[i] for i in range(4))
+    month = lambda c: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), c).cast("int"), F.lit(0))
+    year = lambda v: F.when(v < 70, v + 2000).when(v < 100, v + 1900).otherwise(v)
+    # "ymd" can't order 5/10/2026: nothing is told there.
+    site_year = F.when(date_order.isin("dmy", "mdy"), year(_num(three))).when((date_order == "ymd") & (F.length(three) < 4), year(_num(one)))
+    y = F.when(kind == "year_first", _num(one)).when(kind == "by_site", site_year).otherwise(_num(three))
+    site_month = F.when(date_order == "mdy", _num(one)).otherwise(_num(two))
+    mo = F.when(kind == "year_first", _num(two)).when(kind == "by_site", site_month).when(kind == "day_month", month(two)).otherwise(month(one))
+    site_day = F.when(date_order == "dmy", _num(one)).when(date_order == "mdy", _num(two)).otherwise(_num(three))
+    d = F.when(kind == "year_first", _num(three)).when(kind == "by_site", site_day).when(kind == "day_month", _num(one)).otherwise(_num(two))
+    half = F.coalesce(F.nullif(part[4], F.lit("")), part[9])
+    micros = F.rpad(F.substring(part[8], 1, 6), 6, "0").cast("int")
+    return F.array(y, mo, d, _hour24(_num(part[5]), half), _num(part[6]), F.coalesce(_num(part[7]), F.lit(0)), micros)
+
+
 def parse_instant(raw: Column, zone: Column, date_order: Column, names: Column) -> Column:
     """UTC time (without zone type) of one raw string, or NULL where it tells no single instant.
 
@@ -100,74 +130,37 @@ def parse_instant(raw: Column, zone: Column, date_order: Column, names: Column)
     another length than 10 (seconds), 13 (milliseconds), 16 (microseconds) or 14 (yyyyMMddHHmmss). A local
     time that occurs twice is the first of the two.
     """
-    text = F.lower(F.regexp_replace(fold_code(raw), r"^\s+|\s+$", ""))
-    text = F.regexp_replace(text, r"\s+", " ")
-    local = F.lit(None).cast("timestamp_ntz")
-    mark = F.lit(None).cast("string")
-
-    def stamp(y, mo, d, h, mi, s, frac):
-        # Checked by hand: an impossible part gives NULL in ANSI mode too.
-        fine = y.between(1900, 2200) & mo.between(1, 12) & (d >= 1) & (h <= 23) & (mi <= 59) & (s <= 59)
-        month_end = F.when(mo.isin(4, 6, 9, 11), 30).when(mo == 2, F.when(((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0), 29).otherwise(28)).otherwise(31)
-        micros = F.rpad(F.coalesce(F.nullif(frac, F.lit("")), F.lit("0")), 6, "0")
-        iso = F.format_string("%04d-%02d-%02d %02d:%02d:%02d.", y, mo, d, h, mi, s)
-        return F.when(fine & (d <= month_end), F.try_to_timestamp(F.concat(iso, F.substring(micros, 1, 6))).cast("timestamp_ntz"))
-
-    for kind, pattern, half_at, hour_at in SHAPES:
-        hit = text.rlike(pattern)
-        g = lambda i, p=pattern: F.regexp_extract(text, p, i)
-        one, two, three = g(1), g(2), g(3)
-        if kind == "year_first":
-            y, mo, d = _num(one), _num(two), _num(three)
-        elif kind == "day_month":
-            d, y = _num(one), _num(three)
-            mo = F.coalesce(*[F.when(two == m, F.lit(i + 1)) for i, m in enumerate(MONTHS)])
-        elif kind == "month_day":
-            d, y = _num(two), _num(three)
-            mo = F.coalesce(*[F.when(one == m, F.lit(i + 1)) for i, m in enumerate(MONTHS)])
-        else:
-            a, b, c = _num(one), _num(two), _num(three)
-            four = F.length(three) == 4
-            year = lambda v: F.when(v < 70, v + 2000).when(v < 100, v + 1900).otherwise(v)
-            # "ymd" can't order 5/10/2026: nothing is told there.
-            y = F.when(date_order.isin("dmy", "mdy"), year(c)).when((date_order == "ymd") & ~four, year(a))
-            mo = F.when(date_order == "dmy", b).when(date_order == "mdy", a).when(date_order == "ymd", b)
-            d = F.when(date_order == "dmy", a).when(date_order == "mdy", b).when(date_order == "ymd", c)
-        half = F.coalesce(F.nullif(g(half_at), F.lit("")), g(hour_at + 4))
-        h = _hour24(_num(g(hour_at)), half)
-        at = stamp(y, mo, d, h, _num(g(hour_at + 1)), F.coalesce(_num(g(hour_at + 2)), F.lit(0)), g(hour_at + 3))
-        local = F.when(hit, at).otherwise(local)
-        mark = F.when(hit, g(hour_at + 5)).otherwise(mark)
-
-    hit = text.rlike(_COMPACT)
-    g = lambda i: F.regexp_extract(text, _COMPACT, i)
-    # Fourteen digits are a date only where they can be one; sixteen are microseconds.
-    local = F.when(hit, stamp(*[_num(g(i)) for i in range(1, 7)], g(7))).otherwise(local)
-    mark = F.when(hit, g(8)).otherwise(mark)
-
-    number = F.when(text.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$"), text.cast("bigint"))
-    micros = F.when(F.length(text) == 10, number * 1_000_000).when(F.length(text) == 13, number * 1000).otherwise(number)
-    epoch = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz"))
-
-    digits = F.regexp_extract(mark, r"([+-])(\d{1,2}):?(\d{2})?$", 0)
-    sign = F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
-    minutes = sign * (
-        _num(F.regexp_extract(digits, r"[+-](\d{1,2})", 1)) * 60 + F.coalesce(_num(F.regexp_extract(digits, r"[+-]\d{1,2}:?(\d{2})$", 1)), F.lit(0))
-    )
-    named = F.coalesce(*[F.when(mark == k, F.lit(v)) for k, v in PLAIN_ZONES.items()])
-    shift = F.when(digits != "", minutes).otherwise(F.coalesce(F.try_element_at(names, mark), named))
-    by_shift = F.when(shift.between(-1080, 1080), F.timestamp_add("MINUTE", -shift, local))
-    # A region in brackets is checked against the site's own; others go by their given name.
-    region = F.regexp_extract(mark, r"^\[(.+)\]$", 1)
-    own = F.when((region == "") | (region == F.lower(zone)), zone)
-    proper = F.array_join(F.transform(F.split(region, "/"), lambda p: F.array_join(F.transform(F.split(p, "_"), F.initcap), "_")), "/")
-    known = F.array_contains(F.array(*[F.lit(z) for z in _regions()]), proper)
-    where = F.coalesce(own, F.when((region != "") & known, proper))
-    utc = F.when(where.isNotNull(), F.convert_timezone(where, F.lit("UTC"), local))
-    # A skipped local time comes back as another one.
-    by_zone = F.when(F.convert_timezone(F.lit("UTC"), where, utc) == local, utc)
-    zoneless = F.coalesce(mark, F.lit("")) == ""
-    return F.when(number.isNotNull(), epoch).when(zoneless | (region != ""), by_zone).otherwise(by_shift)
+    plain = F.regexp_replace(strip(F.lower(fold_code(raw))), r"\s+", " ")
+
+    def numeric(text: Column) -> Column:
+        number = text.try_cast("bigint")
+        micros = F.when(F.length(text) == 10, number * 1_000_000).when(F.length(text) == 13, number * 1000).otherwise(number)
+        return F.timestamp_add("MICROSECOND", micros % 1_000_000, F.timestamp_add("SECOND", F.floor(micros / 1_000_000), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+
+    def zoned(local: Column, mark: Column) -> Column:
+        digits = F.regexp_extract(mark, r"([+-])(\d{1,2}):?(\d{2})?$", 0)
+        sign = F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
+        hours, rest = (_num(F.regexp_extract(digits, p, 1)) for p in (r"[+-](\d{1,2})", r"[+-]\d{1,2}:?(\d{2})$"))
+        named = F.coalesce(*[F.when(mark == k, F.lit(v)) for k, v in PLAIN_ZONES.items()])
+        shift = F.when(digits != "", sign * (hours * 60 + F.coalesce(rest, F.lit(0)))).otherwise(F.coalesce(F.try_element_at(names, mark), named))
+        by_shift = F.when(shift.between(-1080, 1080), F.timestamp_add("MINUTE", -shift, local))
+        # A region in brackets is the site's own, or one of the database.
+        region = F.regexp_extract(mark, r"^\[(.+)\]$", 1)
+        proper = F.array_join(F.transform(F.split(region, "/"), lambda p: F.array_join(F.transform(F.split(p, "_"), lambda w: F.initcap(w)), "_")), "/")
+        known = F.array_contains(F.array(*[F.lit(z) for z in _regions()]), proper)
+        where = F.when((region == "") | (region == F.lower(zone)), zone).when(known, proper)
+        # A skipped local time comes back as another one.
+        back = lambda utc: F.when(F.convert_timezone(F.lit("UTC"), where, utc) == local, utc)
+        by_zone = F.when(where.isNotNull(), _let(F.convert_timezone(where, F.lit("UTC"), local), back))
+        return F.when((mark == "") | (region != ""), by_zone).otherwise(by_shift)
+
+    def told(text: Column) -> Column:
+        groups = "|".join(f"${i}" for i in range(1, 11))
+        parts = F.coalesce(*[F.when(text.rlike(p), F.split(F.concat(F.lit(f"{k}|"), F.regexp_replace(text, p, groups)), "\\|", -1)) for k, p in SHAPES])
+        spoken = _let(parts, lambda part: _let(_stamp(_numbers(part, date_order)), lambda local: zoned(local, part[10])))
+        return F.when(text.rlike(r"^(?:\d{10}|\d{13}|\d{16})$"), numeric(text)).otherwise(spoken)
+
+    return _let(plain, told)
 
 
 def _regions() -> list[str]:
