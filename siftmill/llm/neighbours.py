@@ -59,17 +59,17 @@ class Tree:
                 at[2 * node + 1], at[2 * node + 2] = own[side < cut], own[side >= cut]
 
     def margins(self, points: np.ndarray) -> np.ndarray:
-        """For each point and leaf the least margin on the way there: positive throughout the home leaf's
-        way, else minus the largest distance to a plane that must be crossed."""
-        side = points @ self.normals.T - self.offsets
-        least = np.full((len(points), 1), np.inf, np.float32)
+        """For each leaf and point the least margin on the way there: positive on the whole way to the home leaf,
+        else minus the largest distance to a plane that must be crossed."""
+        side = self.normals @ points.T - self.offsets[:, None]
+        least = np.full((1, len(points)), np.inf, np.float32)
         first = 0
         for level in range(self.depth):
             width = 1 << level
-            here = side[:, first : first + width]
-            both = np.empty((len(points), 2 * width), np.float32)
-            np.minimum(least, -here, out=both[:, 0::2])
-            np.minimum(least, here, out=both[:, 1::2])
+            here = side[first : first + width]
+            both = np.empty((2 * width, len(points)), np.float32)
+            np.minimum(least, -here, out=both[0::2])
+            np.minimum(least, here, out=both[1::2])
             least, first = both, first + width
         return least
 
@@ -124,7 +124,7 @@ def _place(tree: Tree | None, dim: int, reach: float, visits: int) -> Callable[[
                 rows, regions = np.arange(len(at)), np.zeros(len(at), np.int32)
                 home = np.ones(len(at), bool)
             else:
-                margins = tree.margins(_unit(flat))
+                margins = np.ascontiguousarray(tree.margins(_unit(flat)).T)
                 top = min(visits, margins.shape[1])
                 best = np.argpartition(-margins, top - 1, axis=1)[:, :top]
                 ask = np.take_along_axis(margins, best, axis=1) >= -reach
@@ -158,30 +158,34 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
             fit = own if len(own) <= 8192 else own[rng.choice(len(own), 8192, replace=False)]
             forest = [Tree(fit, depth, rng) for _ in range(trees if depth else 1)]
             width = 1 << depth
-            # Cells are numbered through all trees, so one ranking serves them all.
-            cells = [np.argsort(leaf, kind="stable") for leaf in (t.leaf(own) for t in forest)]
-            starts = [np.searchsorted(np.sort(t.leaf(own)), np.arange(width + 1)) for t in forest]
-            step = max(256, (1 << 22) // max(1, width * len(forest)))
-            asked: list[np.ndarray] = []
-            for i in range(0, len(points), step):
-                block = points[i : i + step]
-                margins = np.concatenate([t.margins(block) for t in forest], axis=1)
-                top = min(leaves, margins.shape[1])
-                best = np.argpartition(-margins, top - 1, axis=1)[:, :top] if top < margins.shape[1] else np.broadcast_to(np.arange(top), (len(block), top))
-                asked.append(best.astype(np.int32))
-            best = np.concatenate(asked)
-            order = np.argsort(best, axis=None, kind="stable")
-            queries = (order // best.shape[1]).astype(np.int64)
-            bounds = np.searchsorted(best.ravel()[order], np.arange(width * len(forest) + 1))
-            for cell in range(width * len(forest)):
+            # Cells are numbered through all trees, so one queue serves them all. How far down it every query is
+            # served is one margin, set so that ``leaves`` leaves are opened on average.
+            homes = [t.leaf(own) for t in forest]
+            cells = [np.argsort(leaf, kind="stable") for leaf in homes]
+            starts = [np.searchsorted(leaf[order], np.arange(width + 1)) for leaf, order in zip(homes, cells, strict=True)]
+            ways = lambda some: np.concatenate([t.margins(some) for t in forest]) if depth else np.zeros((1, len(some)), np.float32)
+            count = width * len(forest)
+            some = ways(points[rng.choice(len(points), min(len(points), 4096), replace=False)]).ravel()
+            last = min(len(some), leaves * (len(some) // count)) - 1
+            bound = -np.partition(-some, last)[last] if count > leaves else -np.inf
+            asked, whose = [], []
+            for i in range(0, len(points), 1024):
+                cell, row = np.nonzero(ways(points[i : i + 1024]) >= bound)
+                asked.append(cell.astype(np.uint16 if count < 1 << 16 else np.uint32))
+                whose.append((row + i).astype(np.int32))
+            order = np.argsort(np.concatenate(asked), kind="stable")
+            bounds = np.searchsorted(np.concatenate(asked)[order], np.arange(count + 1))
+            queries = np.concatenate(whose)[order]
+            for cell in range(count):
                 who = queries[bounds[cell] : bounds[cell + 1]]
                 tree, leaf = divmod(cell, width)
                 inside = members[cells[tree][starts[tree][leaf] : starts[tree][leaf + 1]]]
                 if not len(who) or not len(inside):
                     continue
-                for j in range(0, len(who), 4096):
-                    some = who[j : j + 4096]
-                    score = points[some] @ points[inside].T
+                there = np.ascontiguousarray(points[inside].T)
+                for j in range(0, len(who), 2048):
+                    some = who[j : j + 2048]
+                    score = points[some] @ there
                     if least <= -1:
                         score[some[:, None] == inside[None, :]] = -2
                         top = min(k, score.shape[1])
@@ -189,7 +193,8 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
                         row = np.repeat(np.arange(len(some)), top)
                         col = col.ravel()
                     else:
-                        row, col = np.nonzero(score >= least - 1e-4)
+                        flat_at = np.flatnonzero(score >= least - 1e-4)
+                        row, col = np.divmod(flat_at, score.shape[1])
                     a, b = some[row], inside[col]
                     apart = a != b
                     found.append((a[apart], b[apart]))
@@ -225,9 +230,9 @@ def nearest(
     dim: int = 64,
     reach: float = 0.06,
     visits: int = 4,
-    trees: int = 4,
-    leaf_rows: int = 256,
-    leaves: int = 8,
+    trees: int = 3,
+    leaf_rows: int = 512,
+    leaves: int = 6,
     region_rows: int = REGION_ROWS,
     hot_copies: int = HOT_COPIES,
 ) -> DataFrame:
