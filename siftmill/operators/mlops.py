@@ -96,7 +96,7 @@ def metrics(rows: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def softmax_top(logits: DataFrame, key: str, cls: str, logit: str, k: int = 3) -> DataFrame:
     """``(key, class, probability, place)``: logits averaged over views, softmax, the k most likely classes."""
-    mean = logits.groupBy(key, cls).agg(F.avg(logit).alias("z"))
+    mean = logits.groupBy(key, cls).agg(F.round(F.avg(logit), 9).alias("z"))
     whole = W.partitionBy(key)
     shifted = mean.withColumn("e", F.exp(F.col("z") - F.max("z").over(whole)))
     prob = shifted.withColumn("probability", F.round(F.col("e") / F.sum("e").over(whole), 9))

@@ -54,10 +54,11 @@ def document_frequency(corpus: DataFrame, terms: Column) -> DataFrame:
 
 
 def _counted(corpus: DataFrame, key: str, terms: Column, wanted: Sequence[str]) -> DataFrame:
-    """``(key, dl, tf_0 .. tf_n)``: how often each wanted term stands in each document, without exploding."""
-    cut = corpus.select(F.col(key), terms.alias("__t"))
-    tf = [F.size(F.filter("__t", lambda t, w=w: t == w)).alias(f"tf_{i}") for i, w in enumerate(wanted)]
-    return cut.select(key, F.size("__t").alias("dl"), *tf)
+    """``(key, dl, tf_0 .. tf_n)``: how often each wanted term stands in each document, and its length. Texts are cut
+    once: what follows the generator can't be folded into it."""
+    cut = corpus.select(F.col(key), F.explode_outer(terms).alias("__t"))
+    tf = [F.count_if(F.col("__t") == w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
+    return cut.groupBy(key).agg(F.count("__t").alias("dl"), *tf)
 
 
 def bm25(corpus: DataFrame, key: str, text: str, query: str) -> DataFrame:

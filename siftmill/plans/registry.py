@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("siftmill.plans.general",)
+MODULES = ("siftmill.plans.general", "siftmill.plans.records", "siftmill.plans.search", "siftmill.plans.images", "siftmill.plans.measures")
 
 
 def _gather(attribute: str, modules: tuple[str, ...]) -> dict:
