@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,9 +33,8 @@ MAX_NAMES = 20_000
 REPORT = "feed string, file_name string, change string, field_name string, former_name string"
 
 
-def kind_of(value: Column) -> Column:
-    """JSON kind of a variant; NULL for JSON null, which tells none."""
-    type_ = F.schema_of_variant(value)
+def kind_of(type_: Column) -> Column:
+    """JSON kind of a variant's type name; NULL for JSON null, which tells none."""
     return (
         F.when(type_ == "VOID", None)
         .when(type_ == "STRING", "string")
@@ -49,14 +48,15 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def bare_value(value: Column) -> Column:
+def bare_value(kind: Column, text: Column) -> Column:
     """What stays of a value when its type and layout change: letters and digits of its leaves, numbers without
-    trailing zeros, booleans as 1 and 0."""
-    text = F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
-    text = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.regexp_replace(text, r'"(?:[^"\\]|\\.)*":', "")).otherwise(text)
-    text = F.when(text.rlike(r"^-?\d+\.0*$"), F.regexp_replace(text, r"\.0*$", "")).when(text.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(text, "0+$", "")).otherwise(text)
-    text = F.when(F.lower(text) == "true", "1").when(F.lower(text) == "false", "0").otherwise(text)
-    return F.regexp_replace(F.lower(text), r"\\u[0-9a-f]{4}|\\.|[^\p{L}\p{N}.\-]|(?<![\p{N}])[.\-]|[.\-](?![\p{N}])", "")
+    trailing zeros, booleans as 1 and 0. ``text`` is the value as it is written."""
+    inner = F.when(kind == "object", F.regexp_replace(text, r'"(?:[^"\\]|\\.)*":', "")).otherwise(text)
+    number = F.when(text.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    words = F.regexp_replace(F.lower(inner), r"\\u[0-9a-f]{4}|\\.|[^\p{L}\p{N}.\-]|(?<![\p{N}])[.\-]|[.\-](?![\p{N}])", "")
+    return F.when(kind == "integer", text).when(kind == "fraction", number).when(kind == "boolean", F.when(text == "true", "1").otherwise("0")).otherwise(
+        F.when(words == "true", "1").when(words == "false", "0").when(words.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(words, r"\.?0+$", "")).otherwise(words)
+    )
 
 
 def file_order(lines: DataFrame) -> DataFrame:
@@ -75,8 +75,10 @@ def cells(lines: DataFrame) -> DataFrame:
     parsed = lines.select("feed", "file_name", "line_no", F.try_parse_json(F.col("raw")).alias("v"))
     parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
     open_ = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    kind = kind_of(F.col("value"))
-    return open_.select("feed", "file_name", "line_no", F.col("key").alias("field"), kind.alias("kind"), F.when(kind.isNotNull(), F.xxhash64(bare_value(F.col("value")))).alias("h"))
+    # Each step has its own projection: what is costly is computed once.
+    typed = open_.select("feed", "file_name", "line_no", F.col("key").alias("field"), F.schema_of_variant("value").alias("__t"), F.col("value").cast("string").alias("__s"))
+    kinds = typed.select("feed", "file_name", "line_no", "field", kind_of(F.col("__t")).alias("kind"), "__s")
+    return kinds.select("feed", "file_name", "line_no", "field", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64(bare_value(F.col("kind"), F.col("__s")))).alias("h"))
 
 
 def _words(name: str) -> list[str]:
@@ -141,29 +143,25 @@ def _score(gone: str, new: str, both: int, equal: int, shared: float, known: boo
     return likeness if likeness >= 0.9 else 0.0
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one file: its candidate pairs, and its gone, new and retyped fields."""
-    feed, name = pdf["feed"].iloc[0], pdf["file_name"].iloc[0]
-    gone = sorted(pdf.loc[pdf["what"] == "removed", "gone"])
-    new = sorted(pdf.loc[pdf["what"] == "added", "new"])
-    out = [(feed, name, "retyped", f, "") for f in pdf.loc[pdf["what"] == "retyped", "new"]]
-    score = [[0.0] * len(new) for _ in gone]
-    for r in pdf[pdf["what"] == "pair"].itertuples():
-        score[gone.index(r.gone)][new.index(r.new)] = _score(r.gone, r.new, int(r.both), int(r.equal), float(r.shared), bool(r.known))
-    taken: set[str] = set()
-    if gone and new:
-        size = max(len(gone), len(new))
-        cost = [[-(score[i][j] if i < len(gone) and j < len(new) else 0.0) for j in range(size)] for i in range(size)]
-        for i, j in enumerate(assignment(cost)):
-            if i < len(gone) and j < len(new) and score[i][j] > 0:
-                out.append((feed, name, "renamed", new[j], gone[i]))
-                taken |= {"-" + gone[i], "+" + new[j]}
-                was, is_ = (pdf.loc[(pdf["what"] == w) & (pdf[c] == x), "kind"].iloc[0] for w, c, x in (("removed", "gone", gone[i]), ("added", "new", new[j])))
-                if was and is_ and was != is_:
-                    out.append((feed, name, "retyped", new[j], ""))
-    out += [(feed, name, "removed", f, "") for f in gone if "-" + f not in taken]
-    out += [(feed, name, "added", f, "") for f in new if "+" + f not in taken]
-    return pd.DataFrame(out, columns=["feed", "file_name", "change", "field_name", "former_name"])
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of each file, from its candidate pairs and its gone, new and retyped fields."""
+    for batch in batches:
+        out = []
+        for feed, name, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            gone = {i["gone"]: i["kind"] for i in items if i["what"] == "removed"}
+            new = {i["new"]: i["kind"] for i in items if i["what"] == "added"}
+            rows, cols = sorted(gone), sorted(new)
+            score = {(i["gone"], i["new"]): _score(i["gone"], i["new"], i["both"], i["equal"], i["shared"], i["known"]) for i in items if i["what"] == "pair"}
+            size = max(len(rows), len(cols)) if rows and cols else 0
+            cost = [[-score.get((rows[i], cols[j]), 0.0) if i < len(rows) and j < len(cols) else 0.0 for j in range(size)] for i in range(size)]
+            pairs = [(rows[i], cols[j]) for i, j in enumerate(assignment(cost)) if i < len(rows) and j < len(cols) and score.get((rows[i], cols[j]), 0.0) > 0]
+            found = [("retyped", i["new"], "") for i in items if i["what"] == "retyped"]
+            found += [("renamed", b, a) for a, b in pairs]
+            found += [("retyped", b, "") for a, b in pairs if gone[a] and new[b] and gone[a] != new[b]]
+            found += [("removed", a, "") for a in rows if a not in {p[0] for p in pairs}]
+            found += [("added", b, "") for b in cols if b not in {p[1] for p in pairs}]
+            out += [(feed, name, *f) for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(5)], ["feed", "file_name", "change", "field_name", "former_name"])
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -222,7 +220,9 @@ def schema_changes(lines: DataFrame) -> DataFrame:
         "feed", "file_name", "what", F.when(F.col("what") == "removed", F.col("field")).alias("gone"), F.when(F.col("what") != "removed", F.col("field")).alias("new"), "kind",
         F.lit(0).cast("bigint").alias("both"), F.lit(0).cast("bigint").alias("equal"), F.lit(0.0).alias("shared"), F.lit(False).alias("known"),
     )
-    return plain.unionByName(graded).groupBy("feed", "file_name").applyInPandas(_match, REPORT)
+    # A file's fields and their pairs are few, whatever its lines.
+    items = F.collect_list(F.struct("what", "gone", "new", "kind", "both", "equal", "shared", "known"))
+    return plain.unionByName(graded).groupBy("feed", "file_name").agg(items.alias("items")).mapInArrow(_match, REPORT)
 
 
 def field_names(names: list[str], renames: list[tuple[str, str, int]]) -> dict[str, str]:
