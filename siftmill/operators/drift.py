@@ -48,15 +48,19 @@ def kind_of(type_: Column) -> Column:
     )
 
 
-def bare_value(kind: Column, text: Column) -> Column:
-    """What stays of a value when its type and layout change: letters and digits of its leaves, numbers without
-    trailing zeros, booleans as 1 and 0. ``text`` is the value as it is written."""
-    inner = F.when(kind == "object", F.regexp_replace(text, r'"(?:[^"\\]|\\.)*":', "")).otherwise(text)
-    number = F.when(text.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    words = F.regexp_replace(F.lower(inner), r"\\u[0-9a-f]{4}|\\.|[^\p{L}\p{N}.\-]|(?<![\p{N}])[.\-]|[.\-](?![\p{N}])", "")
-    return F.when(kind == "integer", text).when(kind == "fraction", number).when(kind == "boolean", F.when(text == "true", "1").otherwise("0")).otherwise(
-        F.when(words == "true", "1").when(words == "false", "0").when(words.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(words, r"\.?0+$", "")).otherwise(words)
-    )
+def with_bare_value(rows: DataFrame, kind: str, text: str, out: str) -> DataFrame:
+    """``rows`` with what stays of a value when its type and layout change: letters and digits of its leaves, numbers
+    without trailing zeros, booleans as 1 and 0. ``text`` is the value as it is written. Each step is a projection of its
+    own: what a step names twice isn't computed twice."""
+    k, t = F.col(kind), F.col(text)
+    nested = F.regexp_replace(F.regexp_replace(t, r'"(?:[^"\\]|\\.)*":', ""), r"\\u[0-9a-f]{4}|\\.", "")
+    rows = rows.withColumn("__i", F.when(k.isin("list", "object"), nested).otherwise(t))
+    i = F.col("__i")
+    number = (F.length(i) < 32) & i.rlike(r"^-?\d+\.\d+$")
+    rows = rows.withColumn("__i", F.when(number, F.regexp_replace(i, r"\.?0+$", "")).otherwise(i))
+    rows = rows.withColumn("__w", F.regexp_replace(F.lower("__i"), r"[^\p{L}\p{N}]+", ""))
+    w = F.col("__w")
+    return rows.withColumn(out, F.when(k == "integer", t).when(w == "true", "1").when(w == "false", "0").otherwise(w))
 
 
 def file_order(lines: DataFrame) -> DataFrame:
@@ -77,8 +81,8 @@ def cells(lines: DataFrame) -> DataFrame:
     open_ = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
     # Each step has its own projection: what is costly is computed once.
     typed = open_.select("feed", "file_name", "line_no", F.col("key").alias("field"), F.schema_of_variant("value").alias("__t"), F.col("value").cast("string").alias("__s"))
-    kinds = typed.select("feed", "file_name", "line_no", "field", kind_of(F.col("__t")).alias("kind"), "__s")
-    return kinds.select("feed", "file_name", "line_no", "field", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64(bare_value(F.col("kind"), F.col("__s")))).alias("h"))
+    kinds = with_bare_value(typed.withColumn("kind", kind_of(F.col("__t"))), "kind", "__s", "__b")
+    return kinds.select("feed", "file_name", "line_no", "field", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64("__b")).alias("h"))
 
 
 def _words(name: str) -> list[str]:
