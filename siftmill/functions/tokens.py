@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftmill.functions.bind import let
 from siftmill.functions.text import fold_code
 
 # A phrase in a query or text, and the word that is added for it.
@@ -24,7 +25,7 @@ SYNONYMS = {
 # Words without meaning for a search.
 STOPWORDS = ("查询", "查找", "帮我", "请", "一下", "相关", "记录", "信息", "异常", "哪些", "所有", "有没有", "对应")
 CODE = r"[a-z0-9]+(?:[_.-][a-z0-9]+)*"
-HAN = r"[\x{4e00}-\x{9fff}]+"
+HAN = r"[\x{4e00}-\x{9fff}]+"  # a run of Chinese characters
 
 
 def sanitize(text: Column) -> Column:
@@ -38,23 +39,18 @@ def normalize(text: Column) -> Column:
 
 def expand(text: Column) -> Column:
     """Normal form and, behind it, the words of all phrases it contains."""
-    plain = normalize(text)
-    added = [F.when(plain.contains(k), F.lit(v)) for k, v in SYNONYMS.items()]
-    return F.concat_ws(" ", plain, *added)
+    return let(normalize(text), lambda plain: F.concat_ws(" ", plain, *[F.when(plain.contains(k), F.lit(v)) for k, v in SYNONYMS.items()]))
 
 
 def tokens(text: Column) -> Column:
-    """Codes kept whole, and of each run of Chinese characters its characters and pairs; repeated as often
-    as they stand there. Order: codes and runs as they come, a run's characters before its pairs."""
-    runs = F.regexp_extract_all(expand(text), F.lit(f"({CODE}|{HAN})"), 1)
-
-    def cut(run: Column) -> Column:
-        # Look-ahead yields overlapping pairs in one linear pass.
-        pairs = F.regexp_extract_all(run, F.lit("(?=(..))."), 1)
-        return F.when(run.rlike("^[a-z0-9]"), F.array(run)).otherwise(F.concat(F.split(run, ""), pairs))
-
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.flatten(F.transform(runs, cut)), lambda t: (t != "") & ~F.array_contains(stop, t))
+    """Codes kept whole and single Chinese characters as they come, then all pairs of neighbouring Chinese characters;
+    as often as they stand there, without words that mean nothing. Two linear passes of a pattern, no step for each token."""
+    ones = "".join(w for w in STOPWORDS if len(w) == 1)
+    twos = "|".join(w for w in STOPWORDS if len(w) == 2)
+    single = F.lit(rf"({CODE}|[\x{{4e00}}-\x{{9fff}}&&[^{ones}]])")
+    # Look-ahead yields overlapping pairs.
+    pairs = F.lit(rf"(?=((?!{twos})[\x{{4e00}}-\x{{9fff}}]{{2}})).")
+    return let(expand(text), lambda full: F.concat(F.regexp_extract_all(full, single, 1), F.regexp_extract_all(full, pairs, 1)))
 
 
 def char_pairs(text: Column) -> Column:

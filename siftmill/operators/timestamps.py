@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftmill.functions.bind import let
 from siftmill.functions.text import fold_code, strip
 from siftmill.operators.skew import lookup
 from siftmill.session import broadcast_if_small, table_path
@@ -79,11 +80,6 @@ def site_rules(sites: DataFrame) -> DataFrame:
     return rules.mapInPandas(_offsets, "site string, zone string, date_order string, names map<string,int>")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 def _num(c: Column) -> Column:
     return F.when(c != "", c.try_cast("int"))
 
@@ -151,16 +147,16 @@ def parse_instant(raw: Column, zone: Column, date_order: Column, names: Column)
         where = F.when((region == "") | (region == F.lower(zone)), zone).when(known, proper)
         # A skipped local time comes back as another one.
         back = lambda utc: F.when(F.convert_timezone(F.lit("UTC"), where, utc) == local, utc)
-        by_zone = F.when(where.isNotNull(), _let(F.convert_timezone(where, F.lit("UTC"), local), back))
+        by_zone = F.when(where.isNotNull(), let(F.convert_timezone(where, F.lit("UTC"), local), back))
         return F.when((mark == "") | (region != ""), by_zone).otherwise(by_shift)
 
     def told(text: Column) -> Column:
         groups = "|".join(f"${i}" for i in range(1, 11))
         parts = F.coalesce(*[F.when(text.rlike(p), F.split(F.concat(F.lit(f"{k}|"), F.regexp_replace(text, p, groups)), "\\|", -1)) for k, p in SHAPES])
-        spoken = _let(parts, lambda part: _let(_stamp(_numbers(part, date_order)), lambda local: zoned(local, part[10])))
+        spoken = let(parts, lambda part: let(_stamp(_numbers(part, date_order)), lambda local: zoned(local, part[10])))
         return F.when(text.rlike(r"^(?:\d{10}|\d{13}|\d{16})$"), numeric(text)).otherwise(spoken)
 
-    return _let(plain, told)
+    return let(plain, told)
 
 
 def _regions() -> list[str]:
