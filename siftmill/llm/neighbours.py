@@ -143,7 +143,7 @@ def _place(tree: Tree | None, dim: int, reach: float, visits: int) -> Callable[[
     return run
 
 
-def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: int) -> Callable[[pa.Table], pa.Table]:
+def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
@@ -166,8 +166,9 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
             ways = lambda some: np.concatenate([t.margins(some) for t in forest]) if depth else np.zeros((1, len(some)), np.float32)
             count = width * len(forest)
             some = ways(points[rng.choice(len(points), min(len(points), 4096), replace=False)]).ravel()
-            last = min(len(some), leaves * (len(some) // count)) - 1
-            bound = -np.partition(-some, last)[last] if count > leaves else -np.inf
+            opened = leaves if leaves >= 1 else leaves * count
+            last = max(0, min(len(some), int(opened * (len(some) // count))) - 1)
+            bound = -np.partition(-some, last)[last] if count > opened else -np.inf
             asked, whose = [], []
             for i in range(0, len(points), 1024):
                 cell, row = np.nonzero(ways(points[i : i + 1024]) >= bound)
@@ -176,6 +177,10 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
             order = np.argsort(np.concatenate(asked), kind="stable")
             bounds = np.searchsorted(np.concatenate(asked)[order], np.arange(count + 1))
             queries = np.concatenate(whose)[order]
+            # Without a threshold each query keeps its best so far, and a few more for exact reranking.
+            keep = k + 2
+            best_score = np.full((len(points), keep) if least <= -1 else (0, 0), -2, np.float32)
+            best_id = np.full(best_score.shape, -1, np.int64)
             for cell in range(count):
                 who = queries[bounds[cell] : bounds[cell + 1]]
                 tree, leaf = divmod(cell, width)
@@ -186,18 +191,31 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
                 for j in range(0, len(who), 2048):
                     some = who[j : j + 2048]
                     score = points[some] @ there
-                    if least <= -1:
-                        score[some[:, None] == inside[None, :]] = -2
-                        top = min(k, score.shape[1])
-                        col = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                        row = np.repeat(np.arange(len(some)), top)
-                        col = col.ravel()
-                    else:
-                        flat_at = np.flatnonzero(score >= least - 1e-4)
-                        row, col = np.divmod(flat_at, score.shape[1])
-                    a, b = some[row], inside[col]
-                    apart = a != b
-                    found.append((a[apart], b[apart]))
+                    if least > -1:
+                        row, col = np.divmod(np.flatnonzero(score >= least - 1e-4), score.shape[1])
+                        a, b = some[row], inside[col]
+                        apart = a != b
+                        found.append((a[apart], b[apart]))
+                        continue
+                    # Only queries for which this leaf has something better than all before are looked at.
+                    better = np.flatnonzero(score.max(axis=1) > best_score[some].min(axis=1))
+                    if not len(better):
+                        continue
+                    part, who_b = score[better], some[better]
+                    top = min(keep, part.shape[1])
+                    col = np.argpartition(-part, top - 1, axis=1)[:, :top] if top < part.shape[1] else np.broadcast_to(np.arange(top), part.shape)
+                    new_id, new_score = inside[col], np.take_along_axis(part, col, axis=1)
+                    # Itself and what another tree brought already count as nothing.
+                    known = (new_id == who_b[:, None]) | (new_id[:, :, None] == best_id[who_b][:, None, :]).any(axis=2)
+                    new_score = np.where(known, -2, new_score)
+                    all_score = np.concatenate([best_score[who_b], new_score], axis=1)
+                    all_id = np.concatenate([best_id[who_b], new_id], axis=1)
+                    pick = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep]
+                    best_score[who_b] = np.take_along_axis(all_score, pick, axis=1)
+                    best_id[who_b] = np.take_along_axis(all_id, pick, axis=1)
+            if least <= -1:
+                row, col = np.nonzero(best_score > -2)
+                found.append((row, best_id[row, col]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             both = np.unique(a * np.int64(len(points)) + b)
@@ -232,7 +250,7 @@ def nearest(
     visits: int = 4,
     trees: int = 3,
     leaf_rows: int = 512,
-    leaves: int = 6,
+    leaves: float = 6,
     region_rows: int = REGION_ROWS,
     hot_copies: int = HOT_COPIES,
 ) -> DataFrame:
@@ -242,8 +260,8 @@ def nearest(
     Usable is a vector of ``dim`` finite numbers that aren't all 0; NULL vectors, NULL elements, other sizes and
     NULL ids are passed over. Length doesn't matter. NULL parts are one part. Rows that repeat an id with
     the same vector aren't neighbours of each other. An empty table gives none. Every usable row is indexed and
-    asked. ``visits`` regions at most are asked, those reached within ``reach`` of a plane; ``leaves`` leaves are
-    opened in each. More of these, and more ``trees``, lose less.
+    asked. ``visits`` regions at most are asked, those reached within ``reach`` of a plane; ``leaves`` leaves (below 1: that share of
+    all) are opened in each. More of these, and more ``trees``, lose less.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(row_id).cast("bigint").alias("id"), F.coalesce(F.col(part).cast("string") if part else F.lit(""), F.lit("")).alias("part"), F.col(vector).alias("vector"))
