@@ -6,13 +6,15 @@ never joined with itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from siftmill.functions.asked import conditions, is_exact
 from siftmill.functions.text import fold_code
 from siftmill.functions.tokens import char_pairs, tokens
 from siftmill.functions.vector import cosine, literal
@@ -29,14 +31,6 @@ GRAIN_WEIGHTS = {"full": 1.0, "summary": 0.9, "keywords": 0.8, "natural_language
 UNKNOWN_GRAIN = 0.5
 
 
-@dataclass
-class Hits:
-    """Plain holder of a ranked list: (key, score)."""
-
-    rows: DataFrame
-    key: str
-
-
 def split_query(spark: SparkSession, query: str, terms: Column) -> list[str]:
     """The terms of one query, by the same expression as the corpus'; one row goes to the driver."""
     return spark.range(1).select(F.lit(query).alias("q")).select(terms.alias("t")).first()["t"]
@@ -180,3 +174,29 @@ def page_after(hits: DataFrame, key: str, predicate: Column, offset: int, limit:
     """A page of those of the best max(offset + limit, 500) hits that meet the predicate: fewer may be left."""
     kept = top(hits, key, max(offset + limit, 500)).where(predicate)
     return kept.orderBy(F.desc("score"), key).offset(offset).limit(limit)
+
+
+def replace_scores(hits: DataFrame, local: DataFrame, key: str) -> DataFrame:
+    """``hits`` whose score is the local one where there is one; others keep theirs. No hit is added."""
+    return hits.join(local.select(key, "final"), key, "left").select(key, F.coalesce("final", "score").alias("score"), F.col("final").isNotNull().alias("has_regions"))
+
+
+def by_metric(hits: DataFrame, metric: str, key: str) -> DataFrame:
+    """A list of results put in order of a chosen metric; a missing one is 0."""
+    some = hits.withColumn("metric", F.coalesce(F.col(metric), F.lit(0)).cast("double"))
+    return some.withColumn("place", F.row_number().over(W.orderBy(F.desc("metric"), key)))
+
+
+def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [conditions(t or "") for t in batch.column(1).to_pylist()]
+        exact = [is_exact(t or "", c) for t, c in zip(batch.column(1).to_pylist(), found, strict=True)]
+        pairs = pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pairs, pa.array(["exact" if e else "hybrid" for e in exact])], ["key", "conditions", "mode"])
+
+
+def route(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, conditions, mode)`` of a log of questions: the field values each names and how it would be answered."""
+    base = questions.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([base.schema["key"], T.StructField("conditions", T.MapType(T.StringType(), T.StringType())), T.StructField("mode", T.StringType())])
+    return base.mapInArrow(_route, schema).withColumnRenamed("key", key)

@@ -351,4 +351,32 @@ def json_clean_extract(spark, d):
     return table(spark, d, "events").select("event_id", clean_json(raw).alias("clean"))
 
 
+@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s，,。]+'), lambda w: w <> ''), '|') words from documents")
+def keyword_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(K.keywords(F.col("text")), "|").alias("words"))
+
+
+@query(
+    """with b as (select import_id, coalesce(bad_wafers, 0) / 25.0 score from ppt_import order by score desc, import_id limit 200), l as (select import_id, scanned_wafers / 25.0 s from ppt_import where map_location = 'Edge')
+    select import_id, round(coalesce(l.s, b.score), 6) score, l.s is not null has_regions, (row_number() over (order by coalesce(l.s, b.score) desc, import_id))::int as "rank" from b left join l using (import_id)"""
+)
+def baseline_with_regions(spark, d):
+    p = table(spark, d, "ppt_import")
+    base = S.top(p.select("import_id", (F.coalesce("bad_wafers", F.lit(0)) / 25.0).alias("score")), "import_id", 200)
+    local = p.where("map_location = 'Edge'").select("import_id", (F.col("scanned_wafers") / 25.0).alias("final"))
+    return S.ranked(S.replace_scores(base, local, "import_id"), "import_id").select("import_id", F.round("score", 6).alias("score"), "has_regions", "rank")
+
+
+@query("select import_id, coalesce(scanned_wafers, 0)::double metric, (row_number() over (order by coalesce(scanned_wafers, 0) desc, import_id))::int place from (select * from ppt_import order by import_id limit 100)")
+def metric_rerank(spark, d):
+    first = table(spark, d, "ppt_import").orderBy("import_id").limit(100)
+    return S.by_metric(first, "scanned_wafers", "import_id").select("import_id", "metric", "place")
+
+
+@query()
+def routed_questions(spark, d):
+    """Conditions and route of each text of the corpus taken as a question."""
+    return S.route(table(spark, d, "documents"), "doc_id", "text")
+
+
 _ = sql_strip

@@ -64,3 +64,10 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only when the size is proven; otherwise the optimizer's shuffle join stays."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results that read it are no longer valid."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftmill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -88,3 +88,22 @@ def test_slide(spark):
     a, b = df.select(*[c.alias(f) for f, c in cols.items()]).collect()
     assert (a.dn_no, a.station, a.platform, a.lot_id, a.bad_wafers, a.total_wafers, a.defect_type, a.map_location, a.machine, a.equipment_status, a.lot_status) == ("DN-20241106-02", "VI_STRIP_DF", "QX040LP", "TE000221.00", 5, 25, "NeedleMark_22", "Edge", "VLSCK12", "Down", "Scrap")
     assert b.dn_no == "PPT-deck_7-003" and b.platform is None
+
+
+def test_tables(spark, tmp_path):
+    from siftmill.operators import tables
+    from siftmill.session import clear_tables, materialise
+    from siftmill.sources.files import NOTE
+
+    hits = spark.createDataFrame([("a", 0.2, 1, "M1"), ("a", 0.9, 2, "nan"), ("b", None, 3, "M3")], "record_id string, score double, ord int, machine string")
+    got = [tuple(r) for r in tables.result_table(hits, "record_id", "score", "ord").collect()]
+    assert got == [("b", 1.0, "M3"), ("a", 0.9, "未知")]
+    notes = spark.createDataFrame([("k1", "T", None, None, ["x"], None, [], None)], NOTE)
+    assert tables.knowledge_points(notes).first()["source_type"] == "analysis_knowledge"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION 'file://{tmp_path}/kept'")
+    tables.create_entities(spark, "kept.entities", buckets=2, recreate=True)
+    assert spark.table("kept.entities").count() == 0
+    spark.sql("DROP DATABASE kept CASCADE")
+    kept = materialise(hits, "gone")
+    assert kept.count() == 3
+    clear_tables(spark)
