@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftmill.functions.bind import let
 from siftmill.functions.ids import content_hash, normalize_dn
 from siftmill.functions.parse import COUNTS, LABELS, PATTERNS, parse_fields
 from siftmill.functions.paths import modality
@@ -62,9 +63,12 @@ def text_chunks(rows: DataFrame) -> Column:
     """Up to three chunks: all fields, the fields about the defect, the text; equal ones (in any case) once."""
     told = lambda fields: F.concat_ws("；", *[F.when(given(f).isNotNull(), F.concat(F.lit(f"{f}="), strip(F.col(f).cast("string")))) for f in fields if f in rows.columns])
     raw = F.array(told(FIELDS), told(DEFECT_FIELDS), F.coalesce(strip(present(F.col("text_content"))), F.lit("")))
-    some = F.filter(raw, lambda c: c != "")
-    first = F.filter(some, lambda c, i: F.array_position(F.transform(some, lambda x: F.lower(x)), F.lower(c)) == i + 1)
-    return F.when(F.size(first) > 0, first).otherwise(F.array(F.coalesce(F.col("dn_no"), F.lit(""))))
+    def distinct(some: Column) -> Column:
+        folded = F.transform(some, lambda x: F.lower(x))
+        return F.filter(some, lambda c, i: F.array_position(folded, F.lower(c)) == i + 1)
+
+    none = F.array(F.coalesce(F.col("dn_no"), F.lit("")))
+    return let(F.filter(raw, lambda c: c != ""), lambda some: F.when(F.size(some) > 0, distinct(some)).otherwise(none))
 
 
 def merge_points(points: DataFrame, order: str = "ord", drop_unknown: bool = True) -> DataFrame:

@@ -375,8 +375,8 @@ def metric_rerank(spark, d):
 
 @query()
 def routed_questions(spark, d):
-    """Conditions and route of each text of the corpus taken as a question."""
-    return S.route(table(spark, d, "documents"), "doc_id", "text")
+    """Conditions and route of each note taken as a question."""
+    return S.route(table(spark, d, "payload_parser"), "ord", "text_content")
 
 
 _ = sql_strip
