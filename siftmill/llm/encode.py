@@ -184,18 +184,19 @@ class Bpe:
                 for (piece, _), ids in zip(some, self.merge_many([r for _, r in some]), strict=True):
                     self.cache[piece] = ids
 
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text; the ids of all of them are in the cache afterwards."""
+    def pieces(self, texts: list[str], keep: bool = False) -> list[list[str]]:
+        """The pieces of each text; the ids of all of them are in the cache afterwards. With ``keep`` the cache isn't
+        emptied before, so that the pieces of an earlier call stay in it as well."""
         cut = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
+        if not keep and len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         if new := {p for c in cut for p in c if p not in self.cache}:
             self.learn(new)
         return cut
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+    def encode_many(self, texts: list[str], keep: bool = False) -> list[bytes]:
         """Ids (int32, little endian) of each text, without special tokens: text that looks like one is text."""
-        cut, cache = self.pieces(texts), self.cache
+        cut, cache = self.pieces(texts, keep), self.cache
         return [b"".join([cache[p] for p in c]) for c in cut]
 
 

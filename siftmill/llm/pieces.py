@@ -109,7 +109,8 @@ class Boundaries:
         self.strength[self.words] = np.maximum(self.strength[self.words], WORD)
 
     def _alone(self, text: str) -> int:
-        return len(self.bpe.encode_many([text])[0]) // 4
+        # The pieces of the step's other texts are still needed.
+        return len(self.bpe.encode_many([text], keep=True)[0]) // 4
 
     def count(self, start: int, end: int) -> int:
         """How many tokens the text between two boundaries has when it stands alone."""

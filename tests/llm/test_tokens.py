@@ -103,6 +103,19 @@ def test_random_pieces(text):
     check(text)
 
 
+def test_pieces_beyond_the_cache(monkeypatch):
+    bpe = tokenizer()
+    texts = ["one two three four five six seven " * 40 + "x" * 3000 + " tail words here again", "plain other words stand here   \n " * 60]
+    want = [check(t) for t in texts]
+    monkeypatch.setattr("siftmill.llm.encode.CACHE_PIECES", 4)
+    # Both texts belong to one step; a part of a word that is counted alone must not empty the cache between them.
+    cuts = bpe.pieces(texts)
+    assert [cut_text(bpe, t, c, 64, 8, 8) for t, c in zip(texts, cuts, strict=True)] == want
+    # The next step starts afresh.
+    bpe.pieces(["quite new"])
+    assert len(bpe.cache) == 2
+
+
 def test_pieces_operator(spark):
     long = "Word after word. " * 2000
     df = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, ""), (1, long)], "doc_id bigint, text string")
