@@ -28,6 +28,8 @@ AGREE = 0.5
 ALIKE = 0.6
 #: Values kept for a field's sketch: those of the least hashes.
 SKETCH = 64
+#: What parts the leaves of a field that came as a list; ``；`` where nothing else is said.
+SEPARATORS = {"edx_elements": "/", "edx_bg": "/"}
 #: Names of fields a corpus may have for the unified table.
 MAX_NAMES = 20_000
 REPORT = "feed string, file_name string, change string, field_name string, former_name string"
@@ -257,16 +259,34 @@ def field_names(names: list[str], renames: list[tuple[str, str, int]]) -> dict[s
     return {n: next(iter(own[root(n)]), root(n)) for n in names}
 
 
+def leaves_of(json: Column) -> Column:
+    """The leaves of a JSON list or object as ARRAY<STRING>, decoded, in their order; NULL and blank ones are left out.
+
+    A number or boolean that is a list's own part is a leaf. One under a key is said of the text beside it (its length,
+    say), and is a leaf only where there is no other."""
+    # Without escaped quotes a string ends at the next quote.
+    plain = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    scalar = r"(?:-?[0-9][0-9.eE+-]*+|true|false)"
+    tokens = F.regexp_extract_all(plain, F.lit(r'("[^"]*+"(?:\s*+:\s*+' + scalar + "?+)?+|" + scalar + ")"), 1)
+    bare = F.filter(tokens, lambda t: ~t.startswith('"') | t.endswith('"'))
+    keyed = F.transform(F.filter(tokens, lambda t: t.rlike(r"[0-9e]$")), lambda t: F.regexp_replace(t, r'^"[^"]*+"\s*+:\s*+', ""))
+    kept = F.when(F.size(bare) > 0, bare).otherwise(keyed)
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")), "array<string>")
+    return F.filter(decoded, lambda t: F.trim(t) != "")
+
+
 def unify(lines: DataFrame, changes: DataFrame) -> DataFrame:
     """``(feed, file_name, line_no, *payload fields, extras)``: every object line of all files under the payload's own
     names and types; what isn't a payload field stands in ``extras``.
 
-    ``changes`` is the result of ``schema_changes``. Lists and objects of text become one text of their leaves. A
+    ``changes`` is the result of ``schema_changes``. Lists and objects of text become one text of their leaves, parted
+    as the field parts them (``SEPARATORS``); a text that only looks like JSON stays as it is. A
     count that is no whole number is NULL. Of two names of one field in a line the first by name that has a value
     is taken. Lines that aren't objects are left out; repeated lines stay.
     """
     parsed = lines.select("feed", "file_name", "line_no", "raw", F.try_parse_json(F.col("raw")).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    named = parsed.select(F.from_json("raw", "map<string,string>").alias("m"), "feed", "file_name", "line_no").where(F.col("m").isNotNull())
+    nested = F.map_keys(F.map_filter(F.col("v").cast("map<string,variant>"), lambda _, x: F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")))
+    named = parsed.select(F.from_json("raw", "map<string,string>").alias("m"), nested.alias("nested"), "feed", "file_name", "line_no").where(F.col("m").isNotNull())
     names = [r[0] for r in named.select(F.explode(F.map_keys("m")).alias("n")).distinct().limit(MAX_NAMES + 1).collect()]
     if len(names) > MAX_NAMES:
         raise ValueError("too many field names")
@@ -275,9 +295,10 @@ def unify(lines: DataFrame, changes: DataFrame) -> DataFrame:
     by: dict[str, list[str]] = {}
     for n in sorted(names):
         by.setdefault(to[n], []).append(n)
-    leaf = lambda c: F.when(c.rlike(r'^\s*[\[{]'), F.array_join(F.regexp_extract_all(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"\s*:', ""), F.lit(r'"((?:[^"\\]|\\.)*)"'), 1), "")).otherwise(c)
-    got = lambda p: F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in by.get(p, [])], F.lit(None).cast("string"))
-    out = [F.try_to_number(got(p), F.lit("999999999999")).cast("int").alias(p) if p.endswith("_wafers") else leaf(got(p)).alias(p) for p in PAYLOAD]
+    value = lambda n: F.try_element_at("m", F.lit(n))
+    text = lambda p, n: F.when(F.array_contains("nested", n), F.array_join(leaves_of(value(n)), SEPARATORS.get(p, "；"))).otherwise(value(n))
+    first = lambda p, of: F.coalesce(*[F.when(value(n).isNotNull(), of(p, n)) for n in by.get(p, [])], F.lit(None).cast("string"))
+    out = [F.try_to_number(first(p, lambda _, n: value(n)), F.lit("999999999999")).cast("int").alias(p) if p.endswith("_wafers") else first(p, text).alias(p) for p in PAYLOAD]
     own = [n for p in PAYLOAD for n in by.get(p, [])]
     called = F.create_map(*[F.lit(x) for n in names for x in (n, to[n])]) if names else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     rest = F.map_filter("m", lambda k, _: ~F.array_contains(F.array(*[F.lit(n) for n in own]).cast("array<string>"), k))

@@ -76,6 +76,30 @@ def test_unify(spark):
     assert {r.total_wafers for r in out} == {5, 6, 7, 8, 9, 10} and all("dn" in r.extras for r in out)
 
 
+def test_lists_of_text(spark):
+    parts = ["缺陷类型为SlurryTrail_85", 'EDX："W/Si"', "路径 C:\\\\tmp\\n第二行", ":b", 7, True, None, " ", [["深"]]]
+    rows = [
+        {"text_content": parts, "edx_elements": ["W", "Si"], "lot_id": "L1"},
+        {"text_content": {"zh": "甲：乙", "chars": 3}, "edx_elements": ["Cu"], "lot_id": 25.50},
+        {"text_content": '[备注] 说 "甲" {乙}', "edx_elements": "W/Si", "lot_id": '{"a": "b"}'},
+        {"text_content": {"n": 5, "m": {"k": -1.5}}, "edx_elements": None, "lot_id": None},
+        {"text_content": [{"zh": "甲", "chars": 1}, {"zh": "乙", "chars": 1}], "edx_elements": [], "lot_id": ["x", "y"]},
+    ]
+    for ascii_ in (True, False):
+        all_ = lines(spark, [("a", [json.dumps(r, ensure_ascii=ascii_) for r in rows])])
+        got = drift.unify(all_, drift.schema_changes(all_)).orderBy("line_no").collect()
+        whole = "；".join(["缺陷类型为SlurryTrail_85", 'EDX："W/Si"', "路径 C:\\\\tmp\\n第二行", ":b", "7", "true", "深"])
+        assert [r.text_content for r in got] == [whole, "甲：乙", '[备注] 说 "甲" {乙}', "5；-1.5", "甲；乙"]
+        assert [r.edx_elements for r in got] == ["W/Si", "Cu", "W/Si", None, ""]
+        assert [r.lot_id for r in got] == ["L1", "25.5", '{"a": "b"}', None, "x；y"]
+
+
+def test_long_leaves(spark):
+    long = ["x" * 20_000 + '"' * 20_000, "\\" * 20_000, "y"]
+    df = spark.createDataFrame([(json.dumps(long),)], "j string")
+    assert list(df.select(drift.leaves_of(F.col("j")).alias("l")).first().l) == long
+
+
 def test_names():
     assert drift.name_likeness("dnNo", "dn_no") == 1.0 and drift.name_likeness("edx", "platform") == 0.0
 
