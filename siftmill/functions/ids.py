@@ -30,5 +30,8 @@ def content_hash(*columns: str) -> Column:
 
 
 def url_quote(value: Column) -> Column:
-    """Percent encoding with %20 for a blank."""
-    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but ASCII letters, digits and ``_.-~``; a blank is %20."""
+    form = F.url_encode(value)
+    for made, meant in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        form = F.replace(form, F.lit(made), F.lit(meant))
+    return form

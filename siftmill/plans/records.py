@@ -341,6 +341,12 @@ def quoted_urls(spark, d):
     return plain.select("label_id", F.concat(F.lit("/"), ids.url_quote(F.coalesce("image_path", F.lit("")))).alias("url"))
 
 
+@query()
+def quoted_paths(spark, d):
+    """The URL of every label's path; ``quoted_urls`` holds those of plain ASCII, which are all its SQL can say."""
+    return table(spark, d, "labels_example").select("label_id", F.concat(F.lit("/"), ids.url_quote(F.coalesce("image_path", F.lit("")))).alias("url"))
+
+
 @query(
     "select count(*) imports, count(distinct source_file) files, coalesce(sum(len(images)), 0)::bigint images, max(strftime(imported_at, '%Y-%m-%d %H:%M:%S')) latest from ppt_import"
 )

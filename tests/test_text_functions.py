@@ -1,4 +1,5 @@
 import uuid
+from urllib.parse import quote
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -43,6 +44,20 @@ def test_char_pairs(spark):
     assert one(spark, "a", tokens.char_pairs) == [] and one(spark, None, tokens.char_pairs) == []
 
 
+def test_url_quote(spark):
+    for text in ("a b/c\\d.png", "100%+~*'()!&=#?", "图像/ＤＮ－１.png", "é\u200b🙂", "%2F", ""):
+        assert one(spark, text, ids.url_quote) == quote(text, safe="")
+
+
+def test_quoted_paths(spark, small):
+    from siftmill.plans.records import QUERIES
+    from siftmill.plans.tables import table
+
+    want = {r.label_id: "/" + quote(r.image_path or "", safe="") for r in table(spark, small, "labels_example").collect()}
+    got = QUERIES["quoted_paths"](spark, small).collect()
+    assert len(got) == len(want) and {r.label_id: r.url for r in got} == want and any("%2F" in r.url for r in got)
+
+
 def test_uuid5(spark):
     assert one(spark, "record:DN-1", ids.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, "record:DN-1"))
 
