@@ -159,3 +159,10 @@ def test_plans(spark, small):
         assert "CartesianProduct" not in plan(name)
     assert "text" not in plan("dedupe_best")
     assert tokens is not None
+
+
+def test_too_many_labels_are_refused(spark):
+    label = lambda n: spark.range(n).select(F.col("id").cast("string").alias("label"))
+    assert M.label_index(label(100_000), "label").agg(F.max("target")).first()[0] == 99_999
+    with pytest.raises(ValueError):
+        M.label_index(label(100_001), "label")
