@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftmill.functions.vector import dot
+from siftmill.session import is_small
 
+#: Query images of one request.
+MAX_QUERIES = 100
 # Fixed values of the scores.
 STRONG = 0.84
 
 
 def similarities(images: DataFrame, queries: DataFrame, vector: str, query_vector: str) -> DataFrame:
-    """Each image with each query image and their dot product ``sim``. ``queries`` are the few images of one request (at
-    most 100 are accepted) and are broadcast; images are scanned once."""
-    asked = queries.limit(101)
-    return images.crossJoin(F.broadcast(asked)).withColumn("sim", dot(F.col(vector), F.col(query_vector)))
+    """Each image with each query image and their dot product ``sim``. ``queries`` are the few images of one request (more
+    than ``MAX_QUERIES`` are refused) and are broadcast; images are scanned once."""
+    if not is_small(queries, MAX_QUERIES):
+        raise ValueError("too many query images")
+    return images.crossJoin(F.broadcast(queries)).withColumn("sim", dot(F.col(vector), F.col(query_vector)))
 
 
 def mean_per_entity(sims: DataFrame, entity: str, image: str) -> DataFrame:

@@ -166,3 +166,12 @@ def test_too_many_labels_are_refused(spark):
     assert M.label_index(label(100_000), "label").agg(F.max("target")).first()[0] == 99_999
     with pytest.raises(ValueError):
         M.label_index(label(100_001), "label")
+
+
+def test_too_many_query_images_are_refused(spark):
+    v = spark.createDataFrame([("A", "binmap", [1.0, 0.0])], "dn_no string, modality string, vector array<double>")
+    q = lambda n: spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("query_vector"))
+    for mode in ("unified", "local"):
+        assert [r.score for r in api.image_search(v, q(100), mode).collect()] == [1.0]
+        with pytest.raises(ValueError):
+            api.image_search(v, q(102), mode)
