@@ -1,10 +1,12 @@
 """The k most similar vectors for every vector.
 
 A random-projection tree, fitted on a bounded sample, cuts space into regions small enough for one task; each
-vector is a member of its own region and also asks the regions across the planes it lies close to. In a region a
-forest of random-projection trees over its members is searched through one priority queue for all trees: the
-leaves with the best margin over all of them are opened first, whichever tree they are in. Cosines of the leaf
-candidates are exact.
+vector is a member of its own region and also asks the regions across the planes it lies close to. It finds them
+by a descent that keeps the few best branches, so its cost grows with the depth of the tree, not with the regions.
+A region with more members than one task should hold is cut into slices, all of which are asked.
+In a slice a forest of random-projection trees over its members is searched through one priority queue for each
+query: leaves of all trees are opened in the order of their margins, the home leaves first. Only the best so far
+are kept. Their cosines are exact.
 """
 
 from __future__ import annotations
@@ -22,44 +24,54 @@ from pyspark.sql import Window as W
 from siftmill.functions.vector import finite
 from siftmill.session import broadcast_if_small, materialise
 
-#: Members a region should have; a task holds about twice that and the vectors that ask there.
-REGION_ROWS = 131_072
-#: Vectors the region tree is fitted on, at least and at most. The sample is by hash of the id.
-SAMPLE_ROWS = (4_096, 65_536)
-#: Copies of one vector from which they are taken out as a group and represented by one.
-HOT_COPIES = 256
+#: Members a region should have, and most of one slice of it.
+REGION_ROWS, SLICE_ROWS = 65_536, 131_072
+#: Vectors the region tree is fitted on, at least and at most; the sample is by hash of the id.
+SAMPLE_ROWS = (4_096, 262_144)
+#: Fewest of them a region is cut from.
+REGION_SAMPLE = 32
+
+
+def _normal(points: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The direction between two of the points; a random one where they are all the same."""
+    for _ in range(4 if len(own) >= 2 else 0):
+        a, b = rng.choice(own, 2, replace=False)
+        gap = points[a] - points[b]
+        if (length := np.linalg.norm(gap)) > 1e-6:
+            return gap / length
+    gap = rng.standard_normal(points.shape[1])
+    return gap / np.linalg.norm(gap)
 
 
 class Tree:
-    """Planes of a random-projection tree in heap order: node i has the children 2i+1 and 2i+2."""
+    """Planes of a random-projection tree in heap order: node i has the children 2i+1 and 2i+2.
+
+    The points it is fitted on are halved by rank at each node, so ``leaves`` are of one size even where all points
+    are the same.
+    """
 
     def __init__(self, points: np.ndarray, depth: int, rng: np.random.Generator):
         inner = (1 << depth) - 1
         self.depth = depth
         self.normals = np.zeros((inner, points.shape[1]), np.float32)
         self.offsets = np.zeros(inner, np.float32)
-        at: dict[int, np.ndarray] = {0: np.arange(len(points))}
-        for node in range(inner):
-            own = at.pop(node, np.empty(0, np.int64))
-            normal = None
-            if len(own) >= 2:
-                for _ in range(4):
-                    a, b = rng.choice(own, 2, replace=False)
-                    gap = points[a] - points[b]
-                    if (length := np.linalg.norm(gap)) > 1e-6:
-                        normal = gap / length
-                        break
-            if normal is None:
-                normal = rng.standard_normal(points.shape[1])
-                normal = normal / np.linalg.norm(normal)
-            side = points[own] @ normal
-            cut = float(np.median(side)) if len(own) else 0.0
-            self.normals[node], self.offsets[node] = normal, cut
-            if 2 * node + 1 < inner:
-                at[2 * node + 1], at[2 * node + 2] = own[side < cut], own[side >= cut]
+        parts = [np.arange(len(points))]
+        for level in range(depth):
+            halves = []
+            for i, own in enumerate(parts):
+                node = (1 << level) - 1 + i
+                self.normals[node] = normal = _normal(points, own, rng)
+                side = points[own] @ normal.astype(np.float32)
+                half = len(own) // 2
+                order = np.argpartition(side, half) if len(own) > 1 else np.arange(len(own))
+                self.offsets[node] = side[order[half]] if len(own) else 0.0
+                halves += [own[order[:half]], own[order[half:]]]
+            parts = halves
+        #: Rows of the fitted points in each leaf.
+        self.leaves = parts
 
     def margins(self, points: np.ndarray) -> np.ndarray:
-        """For each leaf and point the least margin on the way there: positive on the whole way to the home leaf,
+        """For each leaf and point the least margin on the way there: not negative on the way to the home leaf,
         else minus the largest distance to a plane that must be crossed."""
         side = self.normals @ points.T - self.offsets[:, None]
         least = np.full((1, len(points)), np.inf, np.float32)
@@ -73,13 +85,24 @@ class Tree:
             least, first = both, first + width
         return least
 
-    def leaf(self, points: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), np.int64)
-        side = points @ self.normals.T - self.offsets
-        rows = np.arange(len(points))
+    def best(self, points: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``visits`` leaves of greatest margin of each point, and the margins; the home leaf first.
+
+        A branch that was crossed into keeps its margin on its own side, so the best leaves lie under the best
+        branches of each level: no more than ``visits`` are followed.
+        """
+        node = np.zeros((len(points), 1), np.int64)
+        least = np.full((len(points), 1), np.inf, np.float32)
         for _ in range(self.depth):
-            node = 2 * node + 1 + (side[rows, node] >= 0)
-        return node - ((1 << self.depth) - 1)
+            side = np.einsum("nbd,nd->nb", self.normals[node], points) - self.offsets[node]
+            node = np.concatenate([2 * node + 1, 2 * node + 2], axis=1)
+            least = np.concatenate([np.minimum(least, -side), np.minimum(least, side)], axis=1)
+            if node.shape[1] > visits:
+                top = np.argpartition(-least, visits - 1, axis=1)[:, :visits]
+                node, least = np.take_along_axis(node, top, axis=1), np.take_along_axis(least, top, axis=1)
+        order = np.argsort(-least, axis=1, kind="stable")
+        leaf = node - ((1 << self.depth) - 1)
+        return np.take_along_axis(leaf, order, axis=1), np.take_along_axis(least, order, axis=1)
 
 
 def _unit(points: np.ndarray) -> np.ndarray:
@@ -114,130 +137,152 @@ def _unpack(raw: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def _place(tree: Tree | None, dim: int, reach: float, visits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _place(tree: Tree | None, slices: np.ndarray, dim: int, reach: float, visits: int, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each slice a vector is a member of (one) or asks (any)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, flat = _usable(batch.column(2), dim)
-            if not len(at):
-                continue
-            if tree is None or tree.depth == 0:
-                rows, regions = np.arange(len(at)), np.zeros(len(at), np.int32)
-                home = np.ones(len(at), bool)
-            else:
-                margins = np.ascontiguousarray(tree.margins(_unit(flat)).T)
-                top = min(visits, margins.shape[1])
-                best = np.argpartition(-margins, top - 1, axis=1)[:, :top]
-                ask = np.take_along_axis(margins, best, axis=1) >= -reach
-                own = tree.leaf(_unit(flat))
-                ask |= best == own[:, None]
-                rows, where = np.nonzero(ask)
-                regions = best[rows, where].astype(np.int32)
-                home = regions == own[rows]
-            raw = _pack(flat[rows])
-            picked = pa.array(at[rows])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(picked), pa.array(regions, pa.int32()), batch.column(0).take(picked), pa.array(home), raw],
-                ["part", "region", "id", "home", "raw"],
-            )
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                at, flat = _usable(batch.column(2), dim)
+                if not len(at):
+                    continue
+                ids = batch.column(0).to_numpy()[at]
+                ask = ids % every == 0
+                if tree is None:
+                    leaf, margin = np.zeros((len(at), 1), np.int64), np.zeros((len(at), 1), np.float32)
+                else:
+                    leaf, margin = tree.best(_unit(flat), visits)
+                go = (margin >= -reach) & ask[:, None]
+                go[:, 0] = True
+                rows, where = np.nonzero(go)
+                region = leaf[rows, where]
+                home = where == 0
+                # All slices of a region are asked; a member belongs to one of them.
+                n = slices[region]
+                rows, region, home, n = (np.repeat(x, n) for x in (rows, region, home, n))
+                no = _runs(rows, region)
+                home &= no == (ids[rows] * np.int64(-7046029254386353131) >> 33) % n
+                kept = home | ask[rows]
+                rows, region, home, no = rows[kept], region[kept], home[kept], no[kept]
+                picked = pa.array(at[rows])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(picked), pa.array(region, pa.int32()), pa.array(no, pa.int32()), batch.column(0).take(picked), pa.array(home), _pack(flat[rows])],
+                    ["part", "region", "slice", "id", "home", "raw"],
+                )
 
     return run
 
 
-def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: float) -> Callable[[pa.Table], pa.Table]:
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Number of each row in its run of equal keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    fresh = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+    starts = np.flatnonzero(fresh)
+    return np.arange(len(fresh)) - starts[np.cumsum(fresh) - 1]
+
+
+class Best:
+    """The ``keep`` best of each query so far, above a floor."""
+
+    def __init__(self, queries: int, keep: int, floor: float):
+        self.score = np.full((queries, keep), floor, np.float32)
+        self.id = np.full((queries, keep), -1, np.int64)
+        self.least = np.full(queries, floor, np.float32)
+
+    def offer(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Scores (queries, candidates) of the candidates ``ids``; ``own`` is the id of each query itself."""
+        # Only queries for which there is something better than all before are looked at.
+        better = np.flatnonzero(score.max(axis=1) > self.least[who])
+        if not len(better):
+            return
+        keep = self.score.shape[1]
+        part, who, own = score[better], who[better], own[better]
+        top = min(keep + 1, part.shape[1])
+        col = np.argpartition(-part, top - 1, axis=1)[:, :top] if top < part.shape[1] else np.broadcast_to(np.arange(top), part.shape)
+        new_id, new_score = ids[col], np.take_along_axis(part, col, axis=1)
+        # Itself and what another tree brought already count as nothing.
+        known = (new_id == own[:, None]) | (new_id[:, :, None] == self.id[who][:, None, :]).any(axis=2)
+        all_score = np.concatenate([self.score[who], np.where(known, -3, new_score)], axis=1)
+        all_id = np.concatenate([self.id[who], new_id], axis=1)
+        pick = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep]
+        self.score[who] = all_score = np.take_along_axis(all_score, pick, axis=1)
+        self.id[who] = np.where(all_score > -2, np.take_along_axis(all_id, pick, axis=1), -1)
+        self.least[who] = all_score.min(axis=1)
+
+
+def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: float, every: int) -> Callable[[pa.Table], pa.Table]:
+    """Neighbours found in one slice. Leaves are opened for each query in the order of one queue over all trees."""
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         flat = _unpack(table.column("raw").to_pylist(), dim)
         points = _unit(flat)
-        members = np.flatnonzero(home)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(members):
-            rng = np.random.default_rng(len(members))
-            own = points[members]
-            depth = max(0, math.ceil(math.log2(max(1, len(members)) / leaf_rows)))
-            fit = own if len(own) <= 8192 else own[rng.choice(len(own), 8192, replace=False)]
-            forest = [Tree(fit, depth, rng) for _ in range(trees if depth else 1)]
-            width = 1 << depth
-            # Cells are numbered through all trees, so one queue serves them all. How far down it every query is
-            # served is one margin, set so that ``leaves`` leaves are opened on average.
-            homes = [t.leaf(own) for t in forest]
-            cells = [np.argsort(leaf, kind="stable") for leaf in homes]
-            starts = [np.searchsorted(leaf[order], np.arange(width + 1)) for leaf, order in zip(homes, cells, strict=True)]
-            ways = lambda some: np.concatenate([t.margins(some) for t in forest]) if depth else np.zeros((1, len(some)), np.float32)
-            count = width * len(forest)
-            some = ways(points[rng.choice(len(points), min(len(points), 4096), replace=False)]).ravel()
-            opened = leaves if leaves >= 1 else leaves * count
-            last = max(0, min(len(some), int(opened * (len(some) // count))) - 1)
-            bound = -np.partition(-some, last)[last] if count > opened else -np.inf
-            asked, whose = [], []
-            for i in range(0, len(points), 1024):
-                cell, row = np.nonzero(ways(points[i : i + 1024]) >= bound)
-                asked.append(cell.astype(np.uint16 if count < 1 << 16 else np.uint32))
-                whose.append((row + i).astype(np.int32))
-            order = np.argsort(np.concatenate(asked), kind="stable")
-            bounds = np.searchsorted(np.concatenate(asked)[order], np.arange(count + 1))
-            queries = np.concatenate(whose)[order]
-            # Without a threshold each query keeps its best so far, and a few more for exact reranking.
-            keep = k + 2
-            best_score = np.full((len(points), keep) if least <= -1 else (0, 0), -2, np.float32)
-            best_id = np.full(best_score.shape, -1, np.int64)
-            for cell in range(count):
-                who = queries[bounds[cell] : bounds[cell + 1]]
-                tree, leaf = divmod(cell, width)
-                inside = members[cells[tree][starts[tree][leaf] : starts[tree][leaf + 1]]]
-                if not len(who) or not len(inside):
-                    continue
-                there = np.ascontiguousarray(points[inside].T)
-                for j in range(0, len(who), 2048):
-                    some = who[j : j + 2048]
-                    score = points[some] @ there
-                    if least > -1:
-                        row, col = np.divmod(np.flatnonzero(score >= least - 1e-4), score.shape[1])
-                        a, b = some[row], inside[col]
-                        apart = a != b
-                        found.append((a[apart], b[apart]))
-                        continue
-                    # Only queries for which this leaf has something better than all before are looked at.
-                    better = np.flatnonzero(score.max(axis=1) > best_score[some].min(axis=1))
-                    if not len(better):
-                        continue
-                    part, who_b = score[better], some[better]
-                    top = min(keep, part.shape[1])
-                    col = np.argpartition(-part, top - 1, axis=1)[:, :top] if top < part.shape[1] else np.broadcast_to(np.arange(top), part.shape)
-                    new_id, new_score = inside[col], np.take_along_axis(part, col, axis=1)
-                    # Itself and what another tree brought already count as nothing.
-                    known = (new_id == who_b[:, None]) | (new_id[:, :, None] == best_id[who_b][:, None, :]).any(axis=2)
-                    new_score = np.where(known, -2, new_score)
-                    all_score = np.concatenate([best_score[who_b], new_score], axis=1)
-                    all_id = np.concatenate([best_id[who_b], new_id], axis=1)
-                    pick = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep]
-                    best_score[who_b] = np.take_along_axis(all_score, pick, axis=1)
-                    best_id[who_b] = np.take_along_axis(all_id, pick, axis=1)
-            if least <= -1:
-                row, col = np.nonzero(best_score > -2)
-                found.append((row, best_id[row, col]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(a * np.int64(len(points)) + b)
-            a, b = both // len(points), both % len(points)
-            exact = np.empty(len(a), np.float64)
-            for i in range(0, len(a), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                x, y = flat[a[s]].astype(np.float64), flat[b[s]].astype(np.float64)
-                exact[s] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            keep = (exact >= least) & (ids[a] != ids[b])
-            a, b, exact = a[keep], b[keep], exact[keep]
-            order = np.lexsort((ids[b], -exact, a))
-            a, b, exact = a[order], b[order], exact[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a, side="left")
-            # More than k are named: the other end may need what this one doesn't.
-            a, b, exact = a[rank < 4 * k], b[rank < 4 * k], exact[rank < 4 * k]
-            return pa.table({"vec_a": pa.array(ids[a], pa.int64()), "vec_b": pa.array(ids[b], pa.int64()), "cosine": pa.array(exact, pa.float64())})
-        return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        members, asking = np.flatnonzero(home), np.flatnonzero(ids % every == 0)
+        if not len(members) or not len(asking):
+            return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        rng = np.random.default_rng(len(members))
+        depth = max(0, math.ceil(math.log2(len(members) / leaf_rows)))
+        own = points[members]
+        forest = [Tree(own, depth, rng) for _ in range(trees if depth else 1)]
+        width, count = 1 << depth, len(forest) << depth
+        opened = min(count, max(len(forest), math.ceil(leaves if leaves >= 1 else leaves * count)))
+        cells = np.empty((len(asking), opened), np.uint32)
+        for i in range(0, len(asking), 4096):
+            some = points[asking[i : i + 4096]]
+            # Cells are numbered through all trees: the queue of a query is the order of all margins.
+            ways = np.concatenate([t.margins(some) for t in forest]) if depth else np.zeros((1, len(some)), np.float32)
+            cells[i : i + 4096] = (np.argpartition(-ways, opened - 1, axis=0)[:opened] if opened < count else np.broadcast_to(np.arange(count)[:, None], ways.shape)).T
+        order = np.argsort(cells.ravel(), kind="stable")
+        bounds = np.searchsorted(cells.ravel()[order], np.arange(count + 1))
+        queries = (order // opened).astype(np.int32)
+        # A few more than k, for exact reranking.
+        best = Best(len(asking), k + 2, least - 1e-4 if least > -1 else -2)
+        for cell in range(count):
+            who = queries[bounds[cell] : bounds[cell + 1]]
+            inside = members[forest[cell // width].leaves[cell % width]]
+            if not len(who) or not len(inside):
+                continue
+            there = np.ascontiguousarray(points[inside].T)
+            for j in range(0, len(who), 2048):
+                some = who[j : j + 2048]
+                best.offer(some, points[asking[some]] @ there, inside, asking[some])
+        row, col = np.nonzero(best.id >= 0)
+        a, b = asking[row], best.id[row, col]
+        exact = np.empty(len(a), np.float64)
+        for i in range(0, len(a), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            x, y = flat[a[s]].astype(np.float64), flat[b[s]].astype(np.float64)
+            exact[s] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+        keep = (exact >= least) & (ids[a] != ids[b])
+        return pa.table({"vec_a": pa.array(ids[a[keep]], pa.int64()), "vec_b": pa.array(ids[b[keep]], pa.int64()), "cosine": pa.array(exact[keep], pa.float64())})
 
     return run
 
 
+def _regions(lead: DataFrame, total: int, dim: int, region_rows: int, slice_rows: int) -> tuple[Tree | None, np.ndarray]:
+    """The tree of regions, and into how many slices each is cut, both from one sample of the rows."""
+    depth = max(0, math.ceil(math.log2(max(1, total) / region_rows)))
+    depth = min(depth, int(math.log2(SAMPLE_ROWS[1] / REGION_SAMPLE)))
+    if not depth:
+        return None, np.array([max(1, -(-total // slice_rows))])
+    want = min(max(SAMPLE_ROWS[0], 4 * REGION_SAMPLE << depth), SAMPLE_ROWS[1])
+    share = max(1, total // want)
+    sample = lead.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("vector").limit(2 * want).toArrow().column("vector")
+    _, flat = _usable(sample, dim)
+    if len(flat) < 2:
+        return None, np.array([max(1, -(-total // slice_rows))])
+    unit = _unit(flat)
+    tree = Tree(unit, depth, np.random.default_rng(7))
+    held = np.zeros(1 << depth, np.int64)
+    for i in range(0, len(unit), 4096):
+        held += np.bincount(tree.best(unit[i : i + 4096], 1)[0][:, 0], minlength=1 << depth)
+    tree.leaves = []  # the sample's own rows aren't sent to the tasks
+    return tree, np.maximum(1, np.ceil(held / len(unit) * total / slice_rows)).astype(np.int64)
+
+
 def nearest(
     rows: DataFrame,
     row_id: str,
@@ -252,24 +297,27 @@ def nearest(
     leaf_rows: int = 512,
     leaves: float = 6,
     region_rows: int = REGION_ROWS,
-    hot_copies: int = HOT_COPIES,
+    slice_rows: int = SLICE_ROWS,
+    hot_copies: int | None = None,
+    every: int = 1,
 ) -> DataFrame:
     """``(vec_a, vec_b, cosine)``: for each usable vector ``vec_a`` its ``k`` most similar ones in its part
     (modality), itself left out, ties by the lesser id; only those of ``min_cosine`` or more.
 
     Usable is a vector of ``dim`` finite numbers that aren't all 0; NULL vectors, NULL elements, other sizes and
     NULL ids are passed over. Length doesn't matter. NULL parts are one part. Rows that repeat an id with
-    the same vector aren't neighbours of each other. An empty table gives none. Every usable row is indexed and
-    asked. ``visits`` regions at most are asked, those reached within ``reach`` of a plane; ``leaves`` leaves (below 1: that share of
-    all) are opened in each. More of these, and more ``trees``, lose less.
+    the same vector aren't neighbours of each other. An empty table gives none. Every usable row is indexed; those
+    whose id is divisible by ``every`` are asked for. ``visits`` regions at most are asked, those reached within ``reach``
+    of a plane; ``leaves`` leaves (below 1: that share of all) are opened in each slice, the home leaf of each tree at
+    least. More of these, and more ``trees``, lose less. Groups of ``hot_copies`` (k + 2 if not given) or more equal
+    vectors are represented by one of them.
     """
-    spark = rows.sparkSession
     base = rows.select(F.col(row_id).cast("bigint").alias("id"), F.coalesce(F.col(part).cast("string") if part else F.lit(""), F.lit("")).alias("part"), F.col(vector).alias("vector"))
     base = base.where(F.col("id").isNotNull() & (F.size("vector") == dim))
     # Groups of copies: counted by hash, so only numbers are moved.
     usable = finite(F.col("vector"), dim) & F.exists("vector", lambda x: x != 0)
     copies = base.where(usable).groupBy("part", F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    hot = materialise(copies.where(F.col("n") >= max(hot_copies, k + 2)), "copies")
+    hot = materialise(copies.where(F.col("n") >= max(hot_copies or 0, k + 2)), "copies")
     total = rows.count()
     some_hot = hot.limit(1).count() > 0
     lead, tail = base, None
@@ -281,31 +329,25 @@ def nearest(
         first = ranked.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
         first = materialise(first, "copy_ids")
         tail = (ranked, first)
-    depth = max(0, math.ceil(math.log2(max(1, total) / region_rows)))
-    tree = None
-    if depth:
-        want = min(max(SAMPLE_ROWS[0], 64 << depth), SAMPLE_ROWS[1])
-        share = max(1, total // want)
-        sample = lead.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("vector").limit(2 * want).toArrow().column("vector")
-        _, flat = _usable(sample, dim)
-        if len(flat) > 1:
-            tree = Tree(_unit(flat), depth, np.random.default_rng(7))
-    placed = lead.mapInArrow(_place(tree, dim, reach, visits), "part string, region int, id bigint, home boolean, raw binary")
+    tree, slices = _regions(lead, total, dim, region_rows, slice_rows)
+    placed = lead.mapInArrow(_place(tree, slices, dim, reach, visits, every), "part string, region int, slice int, id bigint, home boolean, raw binary")
+    # Slices are of one size: as many tasks as there may be of them, twice, keep those that share one few.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * int(slices.sum()))
     schema = T.StructType([T.StructField("vec_a", T.LongType()), T.StructField("vec_b", T.LongType()), T.StructField("cosine", T.DoubleType())])
-    near = placed.groupBy("part", "region").applyInArrow(_search(dim, k, min_cosine, trees, leaf_rows, leaves), schema)
+    near = placed.repartition(tasks, "part", "region", "slice").groupBy("part", "region", "slice").applyInArrow(_search(dim, k, min_cosine, trees, leaf_rows, leaves, every), schema)
     # Whoever found a pair, both ends know of it.
-    near = near.unionByName(near.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"), "cosine"))
+    near = near.unionByName(near.where(F.pmod("vec_b", F.lit(every)) == 0).select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"), "cosine"))
     if tail is not None:
         ranked, first = tail
         # A named representative stands for the first of its copies; its own list is all copies.
         near = near.join(broadcast_if_small(first.select("rep").distinct()), near["vec_a"] == F.col("rep"), "left_anti")
         heads = first.select(F.col("rep").alias("vec_b"), F.col("id").alias("copy"))
         near = near.join(broadcast_if_small(heads), "vec_b", "left").select("vec_a", F.coalesce("copy", "vec_b").alias("vec_b"), "cosine")
-        own = ranked.join(broadcast_if_small(first.select("rep", F.col("id").alias("vec_b"))), "rep")
+        own = ranked.where(F.pmod("id", F.lit(every)) == 0).join(broadcast_if_small(first.select("rep", F.col("id").alias("vec_b"))), "rep")
         own = own.where(F.col("id") != F.col("vec_b")).select(F.col("id").alias("vec_a"), "vec_b", F.lit(1.0).alias("cosine"))
         near = near.unionByName(own.where(F.lit(1.0) >= min_cosine))
     order = W.partitionBy("vec_a").orderBy(F.desc("cosine"), "vec_b")
-    return near.repartition("vec_a").dropDuplicates(["vec_a", "vec_b"]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+    return near.repartition(tasks, "vec_a").dropDuplicates(["vec_a", "vec_b"]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
 
 
 def near_pairs(near: DataFrame) -> DataFrame:

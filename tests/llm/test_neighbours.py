@@ -66,8 +66,45 @@ def test_a_group_of_copies_is_linear_and_exact(spark):
     assert not any(a >= 1000 for a in by)
 
 
-def test_margins_tell_the_home_leaf():
-    pts = data(200)
-    tree = Tree(pts, 4, np.random.default_rng(0))
-    margins = tree.margins(pts)
-    assert (margins[tree.leaf(pts), np.arange(len(pts))] == margins.max(axis=0)).all()
+def test_the_descent_finds_the_leaves_of_greatest_margin():
+    pts = data(600)
+    tree = Tree(pts[:400], 6, np.random.default_rng(0))
+    margins = tree.margins(pts).T
+    for visits in (1, 3, 64):
+        leaf, margin = tree.best(pts, visits)
+        assert np.allclose(margin, -np.sort(-margins, axis=1)[:, :visits], atol=1e-5)
+        assert np.allclose(np.take_along_axis(margins, leaf, axis=1), margin, atol=1e-5)
+    assert sum(map(len, tree.leaves)) == 400 and {len(x) for x in tree.leaves} <= {6, 7}
+
+
+def test_leaves_of_equal_points_have_one_size():
+    tree = Tree(np.ones((64, 8), np.float32), 3, np.random.default_rng(0))
+    assert [len(x) for x in tree.leaves] == [8] * 8
+
+
+@pytest.mark.parametrize("slice_rows", [100_000, 120])
+def test_a_third_in_one_tight_cluster(spark, slice_rows):
+    """Near copies, and copies that differ in length alone, crowd one corner; the rest keeps its neighbours."""
+    pts, rng = data(1200, seed=4), np.random.default_rng(9)
+    tight = pts[0] + 0.004 * rng.standard_normal((400, 64)).astype(np.float32)
+    scaled = pts[1] * rng.uniform(0.5, 2, (200, 1)).astype(np.float32)
+    every = np.concatenate([pts, tight, scaled])
+    df = spark.createDataFrame([(i, "sem", v.tolist(), 0) for i, v in enumerate(every)], SCHEMA)
+    want = {p for p in brute(list(range(len(every))), ["sem"] * len(every), every, 10, 0.92)}
+    got = {}
+    for r in nearest(df, "vec_id", "vector", "modality", 10, 0.92, region_rows=300, slice_rows=slice_rows, leaf_rows=64).collect():
+        got.setdefault(r.vec_a, []).append((r.cosine, r.vec_b))
+    rest = {p for p in want if 2 <= p[0] < 1200 and p[1] < 1200}
+    assert len({(a, b) for a, b in rest if b in {x for _, x in got.get(a, [])}}) / len(rest) > 0.97
+    unit = every.astype(np.float64) / np.linalg.norm(every.astype(np.float64), axis=1, keepdims=True)
+    for i in [*range(1200, 1800, 7)]:
+        exact = np.sort(np.delete(unit @ unit[i], i))[::-1][:10]
+        assert len(got[i]) == 10 and min(c for c, _ in got[i]) > exact[-1] - 2e-4
+
+
+def test_only_every_tenth_is_asked_for(spark):
+    pts = data(1500, seed=2)
+    df = spark.createDataFrame([(i, "sem", pts[i].tolist(), 0) for i in range(len(pts))], SCHEMA)
+    got = {(r.vec_a, r.vec_b) for r in nearest(df, "vec_id", "vector", "modality", 5, reach=9.0, visits=64, leaves=0.5, region_rows=400, leaf_rows=50, every=10).collect()}
+    want = {p for p in brute(list(range(len(pts))), ["sem"] * len(pts), pts, 5, -1) if p[0] % 10 == 0}
+    assert all(a % 10 == 0 for a, _ in got) and len(got) == len(want) and len(got & want) / len(want) > 0.9
