@@ -2,9 +2,9 @@
 
 Related rows share a record number, a picture or a path, also over a chain of rows. Keys, not rows, are the
 nodes of the graph: a row hangs on its first key, and only a key value that ties different first keys makes
-an edge. Forests are built where the edges lie (union-find in each partition), then merged level by level;
-what is left is finished by rounds whose work is spread by key. Groups go, largest first, to the split
-furthest below its target.
+an edge. Forests are built where the edges lie (union-find in each partition), then two and two are merged to
+one, level by level, each handing on only the nodes other forests know as well, until one is left. Groups go,
+largest first, to the split furthest below its target.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,7 +24,7 @@ from siftmill.session import broadcast_if_small, materialise
 
 #: Rounds are bounded only as a guard against a fault; each at least halves the longest chain.
 MAX_ROUNDS = 60
-#: Edges a single task may merge at the end.
+#: Edges a single task may hold in its forest.
 FOREST_ROWS = 500_000
 #: How a split may be written, in lower case without padding. Fixed values.
 SPLIT_NAMES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
@@ -44,9 +45,18 @@ def path_key(path: Column) -> Column:
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one partition; each node but a root comes out once, with its root,
     the least node of its tree."""
-    parent: dict[int, int] = {}
+    yield from _union(batches, ())
 
-    def find(x: int) -> int:
+
+def _numbered_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with the number of the partition, and with roots too."""
+    yield from _union(batches, (TaskContext.get().partitionId(),))
+
+
+def _union(batches: Iterator[pa.RecordBatch], number: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def find(x):
         root = x
         while (up := parent.get(root, root)) != root:
             root = up
@@ -55,38 +65,71 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return root
 
+    kind = pa.int64()
     for batch in batches:
+        kind = batch.schema.types[0]
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
                 low, high = (ra, rb) if ra < rb else (rb, ra)
                 parent[high] = low
                 parent.setdefault(low, low)
-    nodes = [n for n in parent if find(n) != n]
+    nodes = [n for n in parent if number or find(n) != n]
     size = 1 << 16
     for i in range(0, len(nodes), size):
         part = nodes[i : i + size]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(n) for n in part], pa.int64())], ["a", "b"])
+        more = [pa.array([n] * len(part), pa.int32()) for n in number]
+        yield pa.RecordBatch.from_arrays([*more, pa.array(part, kind), pa.array([find(n) for n in part], kind)], [*["p"][: len(more)], "a", "b"])
 
 
 def components(edges: DataFrame, forest_rows: int = FOREST_ROWS) -> DataFrame:
-    """``(node, root)`` for each node of ``edges(a, b)`` (BIGINT) that isn't the least of its component.
+    """``(node, root)`` for each node of ``edges(a, b)`` (of any one ordered type) that isn't the least of its component.
 
-    Local forests are merged, several partitions to one, while a merged one is sure to hold at most
-    ``forest_rows`` edges. If more is left, rounds of star building (each node to the least it knows, in both
-    directions) follow until nothing changes; these have no task that must hold a component. Self loops and
-    repeated edges change nothing; rows with a NULL end are ignored.
+    The edges are laid into as many partitions as it takes for none to hold more than ``forest_rows``, each of which makes
+    a forest. Two and two are then merged to one, level by level. A node that only one forest of a level knows is settled:
+    it is written with its root and goes no further; only nodes that several forests know, and their roots, are handed on.
+    From the last level down, settled nodes look up what became of their roots. Only where a level hands on more than its
+    tasks may hold (a graph without parts that hang together loosely) rounds of star building take over from there, which
+    have no task that must hold a component. Self loops and repeated edges change nothing; rows with a NULL end are ignored.
     """
-    schema = "a bigint, b bigint"
-    now = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_forest, schema)
-    now = materialise(now, "forest")
+    kind = edges.schema["a"].dataType.simpleString()
+    now = edges.select("a", "b").where(F.col("a") != F.col("b")).distinct()
+    now = materialise(now, "edges")
     count = now.count()
-    # Edges over a node must meet in one task for the last merge to end the work.
-    if count <= forest_rows:
-        return now.repartition(1).mapInArrow(_forest, schema).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    parts = max(2, -(-2 * count // forest_rows))
-    # Merge once more by the least node, which shrinks chains within a part.
-    now = materialise(now.repartition(parts, "b").mapInArrow(_forest, schema), "forest")
+    tasks = 1
+    while tasks * forest_rows < count:
+        tasks *= 2
+    settled = []
+    while tasks > 1:
+        # At first by both ends, so that no hub has all its edges in one task; a later level as its forests lay.
+        laid = now.repartition(tasks, "a", "b") if not settled else now
+        forest = materialise(laid.mapInArrow(_numbered_forest, f"p int, a {kind}, b {kind}"), "forest")
+        known = forest.groupBy("a").agg(F.countDistinct("p").alias("n"))
+        shared = materialise(forest.join(known.where("n > 1").select("a"), "a", "left_semi"), "shared")
+        settled.append(materialise(forest.join(known.where("n = 1").select("a"), "a", "left_semi").where(F.col("a") != F.col("b")).select("a", "b"), "settled"))
+        # Roots tie the shared nodes of a forest to one another.
+        handed = shared.where(F.col("a") != F.col("b"))
+        tasks //= 2
+        if handed.count() > tasks * forest_rows:
+            return _resolve(settled, _stars(handed.select("a", "b")))
+        now = handed.repartitionById(tasks, F.col("p") % tasks).select("a", "b")
+    return _resolve(settled, now.coalesce(1).mapInArrow(_forest, f"a {kind}, b {kind}"))
+
+
+def _resolve(settled: list[DataFrame], last: DataFrame) -> DataFrame:
+    """Roots of all nodes, from those of the last level down to those that settled first. The root of a forest is its least
+    node and goes on with what it hands on, so the last root is the least of all."""
+    roots = materialise(last.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+    for level in reversed(settled):
+        up = roots.select(F.col("node").alias("b"), "root").groupBy("b").agg(F.min("root").alias("root"))
+        sizes = level.groupBy("b").agg(F.count("*").alias("n"))
+        found = lookup(level, materialise(up.join(sizes, "b"), "up"), ["b"], "n", F.col("a"), "left")
+        roots = materialise(roots.unionByName(found.select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))), "roots")
+    return roots
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    """``(a, b)``: each node but roots with its root, by rounds of large and small stars."""
     for _ in range(MAX_ROUNDS):
         # Large star: all a node ties to greater ones goes to the least it knows.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -102,19 +145,23 @@ def components(edges: DataFrame, forest_rows: int = FOREST_ROWS) -> DataFrame:
         # Done when each node knows one root and no root has another.
         open_ = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         if not open_ and after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return after
         now = after
     raise RuntimeError("components did not settle")
 
 
+def _digest(key: Column) -> Column:
+    return F.unhex(F.md5(key.cast("binary")))
+
+
 def _grouped(rows: DataFrame, row_id: str, path: str, sha: str, extra: dict[str, Column], hot_rows: int, forest_rows: int) -> DataFrame:
     """``(__id, group_id, *extra)`` of every row."""
     named = F.coalesce(F.concat(F.lit("d:"), dn_of(path_key(F.col(path)), folded=True)), F.concat(F.lit("p:"), path_key(F.col(path))))
     picture = F.when(~is_missing(F.col(sha)), F.concat(F.lit("s:"), F.lower(F.trim(F.col(sha)))))
     keyed = rows.select(F.col(row_id).alias("__id"), named.alias("__named"), picture.alias("__picture"), *[c.alias(n) for n, c in extra.items()])
-    # The node of a row: its record or path, else its picture, else itself; 64-bit hashes stand for the keys.
+    # The node of a row: its record or path, else its picture, else itself; 128-bit hashes stand for the keys.
     own = F.coalesce("__named", "__picture", F.concat(F.lit("r:"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    keyed = keyed.select("__id", F.xxhash64(own).alias("node"), F.when(F.col("__picture").isNotNull(), F.xxhash64("__picture")).alias("pic"), *extra)
+    keyed = keyed.select("__id", _digest(own).alias("node"), F.when(F.col("__picture").isNotNull(), _digest(F.col("__picture"))).alias("pic"), *extra)
     keyed = materialise(keyed, "label_keys")
     shown = keyed.where(F.col("pic").isNotNull())
     picked = shown.groupBy("pic").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
@@ -136,7 +183,7 @@ def related_groups(rows: DataFrame, row_id: str, path: str, sha: str, hot_rows:
     rows without an id are one group. Repeated rows share their group. Other columns aren't read, so clashing
     names do no harm. An empty table gives none.
     """
-    return _grouped(rows, row_id, path, sha, {}, hot_rows, forest_rows).select(F.col("__id").alias(row_id), "group_id")
+    return _grouped(rows, row_id, path, sha, {}, hot_rows, forest_rows).select(F.col("__id").alias(row_id), F.lower(F.hex("group_id")).alias("group_id"))
 
 
 def conflicts(rows: DataFrame, row_id: str, path: str, sha: str, split: str, hot_rows: int = HOT_ROWS, forest_rows: int = FOREST_ROWS) -> DataFrame:

@@ -1,10 +1,12 @@
 import collections
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siftmill.llm import splits
 from siftmill.llm.splits import assign_splits, components, conflicts, greedy_counts, related_groups
 
 SCHEMA = "label_id bigint, image_path string, label string, split string, image_sha string, group_id int"
@@ -67,6 +69,22 @@ def test_components_against_brute_force(spark):
         assert dict(map(tuple, components(df, limit).collect())) == want
 
 
+def test_forests_are_merged_level_by_level(spark, monkeypatch):
+    """Chains, and a hub, in 64 forests; no star building, and as many levels as it takes to halve them to one."""
+    levels = []
+    monkeypatch.setattr(splits, "_stars", lambda now: pytest.fail("stars"))
+    kept = splits.materialise
+    monkeypatch.setattr(splits, "materialise", lambda df, name: levels.append(name) or kept(df, name))
+    edges = [(10 * c + i, 10 * c + i + 1) for c in range(160) for i in range(3)] + [(5000, i) for i in range(5001, 5200)]
+    df = spark.createDataFrame([(b, a) for a, b in edges], "a bigint, b bigint")
+    got = dict(map(tuple, components(df, 20).collect()))
+    assert levels.count("settled") == 6
+    assert got == {10 * c + i: 10 * c for c in range(160) for i in range(1, 4)} | {i: 5000 for i in range(5001, 5200)}
+    wide = df.select(F.unhex(F.md5(F.col("a").cast("string").cast("binary"))).alias("a"), F.unhex(F.md5(F.col("b").cast("string").cast("binary"))).alias("b"))
+    found = components(wide, 350).collect()
+    assert len(found) == len(got) and len({bytes(r.root) for r in found}) == 161 and all(bytes(r.root) < bytes(r.node) for r in found)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcd"), st.integers(-50, 400), min_size=1), st.integers(1, 30), st.integers(0, 300))
 def test_greedy_counts(short, size, count):
