@@ -70,6 +70,10 @@ def p5_fused(spark: SparkSession, d: str) -> DataFrame:
     return survivor.fuse(table(spark, d, "payload_parser"), table(spark, d, "origin_trust")).values
 
 
+def p5_fused_records(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.fuse(table(spark, d, "payload_parser"), table(spark, d, "origin_trust")).records()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), ["doc_id"], "text")
 
@@ -94,7 +98,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unified, p3_found, p3_splits, p4_found, p4_nearest, p5_found, p5_records, p5_fused, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
+    for f in (p1_found, p1_unified, p3_found, p3_splits, p4_found, p4_nearest, p5_found, p5_records, p5_fused, p5_fused_records, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
 }
 
 
