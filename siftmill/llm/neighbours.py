@@ -11,6 +11,7 @@ are kept. Their cosines are exact.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,36 @@ SAMPLE_ROWS = (4_096, 262_144)
 REGION_SAMPLE = 32
 
 
+def one_thread() -> None:
+    """Matrix products of a task stay on its own core: further threads of the library would only wait beside those of
+    the executor's other tasks, at full load."""
+    try:
+        with open("/proc/self/maps") as f:
+            found = {line.split()[-1] for line in f if "blas" in line.rpartition("/")[2]}
+        for path in found:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+    except OSError:
+        pass
+
+
+def _top(ways: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` of the ``n`` greatest of each row; of equals at the end as many as there is room for."""
+    rows, columns = ways.shape
+    if n >= columns:
+        return np.repeat(np.arange(rows), columns), np.tile(np.arange(columns), rows)
+    last = np.partition(ways, columns - n, axis=1)[:, columns - n, None]
+    row, col = np.nonzero(ways >= last)
+    over = np.flatnonzero(np.bincount(row, minlength=rows) > n)
+    if len(over):
+        fit = ~np.isin(row, over)
+        best = np.argpartition(-ways[over], n - 1, axis=1)[:, :n]
+        row, col = np.concatenate([row[fit], np.repeat(over, n)]), np.concatenate([col[fit], best.ravel()])
+    return row, col
+
+
 def _normal(points: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The direction between two of the points; a random one where they are all the same."""
     for _ in range(4 if len(own) >= 2 else 0):
@@ -141,6 +172,7 @@ def _place(tree: Tree | None, slices: np.ndarray, dim: int, reach: float, visits
     """A row for each slice a vector is a member of (one) or asks (any)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 batch = whole.slice(i, 4096)
@@ -216,6 +248,7 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
     """Neighbours found in one slice. Leaves are opened for each query in the order of one queue over all trees."""
 
     def run(table: pa.Table) -> pa.Table:
+        one_thread()
         ids = table.column("id").to_numpy()
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         flat = _unpack(table.column("raw").to_pylist(), dim)
@@ -229,15 +262,18 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
         forest = [Tree(own, depth, rng) for _ in range(trees if depth else 1)]
         width, count = 1 << depth, len(forest) << depth
         opened = min(count, max(len(forest), math.ceil(leaves if leaves >= 1 else leaves * count)))
-        cells = np.empty((len(asking), opened), np.uint32)
+        whose, cells = [], []
         for i in range(0, len(asking), 4096):
             some = points[asking[i : i + 4096]]
             # Cells are numbered through all trees: the queue of a query is the order of all margins.
             ways = np.concatenate([t.margins(some) for t in forest]) if depth else np.zeros((1, len(some)), np.float32)
-            cells[i : i + 4096] = (np.argpartition(-ways, opened - 1, axis=0)[:opened] if opened < count else np.broadcast_to(np.arange(count)[:, None], ways.shape)).T
-        order = np.argsort(cells.ravel(), kind="stable")
-        bounds = np.searchsorted(cells.ravel()[order], np.arange(count + 1))
-        queries = (order // opened).astype(np.int32)
+            row, cell = _top(np.ascontiguousarray(ways.T), opened)
+            whose.append((row + i).astype(np.int32))
+            cells.append(cell.astype(np.uint16 if count < 1 << 16 else np.uint32))
+        cells = np.concatenate(cells)
+        order = np.argsort(cells, kind="stable")
+        bounds = np.searchsorted(cells[order], np.arange(count + 1))
+        queries = np.concatenate(whose)[order]
         # A few more than k, for exact reranking.
         best = Best(len(asking), k + 2, least - 1e-4 if least > -1 else -2)
         for cell in range(count):
@@ -295,7 +331,7 @@ def nearest(
     visits: int = 4,
     trees: int = 3,
     leaf_rows: int = 512,
-    leaves: float = 6,
+    leaves: float = 9,
     region_rows: int = REGION_ROWS,
     slice_rows: int = SLICE_ROWS,
     hot_copies: int | None = None,
@@ -335,8 +371,9 @@ def nearest(
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * int(slices.sum()))
     schema = T.StructType([T.StructField("vec_a", T.LongType()), T.StructField("vec_b", T.LongType()), T.StructField("cosine", T.DoubleType())])
     near = placed.repartition(tasks, "part", "region", "slice").groupBy("part", "region", "slice").applyInArrow(_search(dim, k, min_cosine, trees, leaf_rows, leaves, every), schema)
-    # Whoever found a pair, both ends know of it.
-    near = near.unionByName(near.where(F.pmod("vec_b", F.lit(every)) == 0).select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"), "cosine"))
+    # Whoever found a pair, both ends know of it; both are told in one pass, so that nothing is searched twice.
+    ends = [F.struct(F.col(a).alias("vec_a"), F.col(b).alias("vec_b"), "cosine") for a, b in (("vec_a", "vec_b"), ("vec_b", "vec_a"))]
+    near = near.select(F.explode(F.array(*ends)).alias("p")).select("p.*").where(F.pmod("vec_a", F.lit(every)) == 0)
     if tail is not None:
         ranked, first = tail
         # A named representative stands for the first of its copies; its own list is all copies.
