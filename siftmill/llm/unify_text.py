@@ -31,31 +31,41 @@ _RUN = regex.compile(rf"(?:{_WORD}|[{regex.escape(_JOINERS)}])+")
 _WORDS = regex.compile(rf"{_WORD}+")
 
 
+#: Characters that join or part the letters of some scripts and the parts of a picture.
+_JOIN, _PART = "\u200d", "\u200c"
+_SHAPED = regex.compile(
+    r"[\p{Arabic}\p{Syriac}\p{Mandaic}\p{Nko}\p{Mongolian}\p{Phags_Pa}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+)
+_PICTURE, _MARK = regex.compile(r"\p{Extended_Pictographic}"), regex.compile(r"[\p{M}\U0001F3FB-\U0001F3FF]")
+
+
 @lru_cache
 def single_changes() -> dict[str, str]:
     """Characters that are replaced wherever they stand, and what they become.
 
-    Full-width letters, digits and code signs; spaces but the common one; invisible characters; hyphens;
-    radicals and compatibility ideographs; letters and digits of mathematical styles. Chinese punctuation
-    isn't among them.
+    Full-width letters, digits and code signs; half-width kana; letters and digits of mathematical styles, of ligatures
+    and of Roman numerals, the micro sign; spaces but the common one; invisible characters; hyphens; radicals and
+    compatibility ideographs. Chinese punctuation isn't among them.
     """
     out = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F) if chr(c + 0xFEE0) not in OWN_PUNCTUATION}
     out |= radical_pairs()
-    for code in range(0x1D400, 0x1D800):
+    for code in (0xB5, *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0xFF61, 0xFFDD), *range(0x1D400, 0x1D800)):
         plain = unicodedata.normalize("NFKC", chr(code))
-        if len(plain) == 1 and plain.isascii():
+        if plain != chr(code):
             out[chr(code)] = plain
-    out |= {c: " " for c in SPACES} | {c: "" for c in INVISIBLE} | {c: "-" for c in HYPHENS}
-    return out
+    return out | {c: " " for c in SPACES} | {c: "" for c in INVISIBLE} | {c: "-" for c in HYPHENS}
 
 
 @lru_cache
 def compose_no() -> frozenset[str]:
     """Characters whose quick check for composition is No: they never stand in composed text (the unit
     signs among them)."""
-    return frozenset(
-        c for c in map(chr, (*range(0xA0, 0x3400), *range(0xF900, 0xFB50), *range(0x1D100, 0x1D200))) if unicodedata.normalize("NFC", c) != c
-    )
+    blocks = ((0xA0, 0x3400), (0xF900, 0xFB50), (0x10000, 0x12000), (0x16000, 0x17000), (0x1D100, 0x1D200), (0x2F800, 0x2FA20))
+    return frozenset(c for a, b in blocks for c in map(chr, range(a, b)) if unicodedata.normalize("NFC", c) != c)
+
+
+#: What may combine with the character before: marks, vowels and finals of Hangul, half-width voicing marks.
+_AFTER = r"\p{M}\x{1160}-\x{11ff}\x{ff9e}\x{ff9f}"
 
 
 @lru_cache
@@ -71,7 +81,7 @@ def unstable_class() -> str:
         else:
             spans.append([p, p])
     one = lambda p: f"\\x{{{p:x}}}"
-    return r"\p{M}" + r"\x{1160}-\x{11ff}" + "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in spans)
+    return _AFTER + r"\x{1100}-\x{115f}" + "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in spans)
 
 
 #: Most text has nothing but these, all of which are stable: the class of few ranges is tried first.
@@ -83,81 +93,91 @@ def quick_check(text: Column) -> Column:
     return text.rlike(f"[^{_COMMON}]") & text.rlike(f"[{unstable_class()}]")
 
 
+def _python(body: str) -> str:
+    return regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: regex.escape(chr(int(m[1], 16)), special_only=False), body)
+
+
 @lru_cache
 def _python_class() -> regex.Pattern:
-    body = regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: regex.escape(chr(int(m[1], 16)), special_only=False), unstable_class())
-    # A starter in front of marks can combine with them: it is the boundary context.
-    return regex.compile(rf"(?:\P{{M}}(?=\p{{M}}))?[{body}]+")
+    # A starter in front of what combines with it is the boundary context, also across what is removed between.
+    return regex.compile(rf"(?:[^{_python(_AFTER)}](?=[{INVISIBLE}]*+[{_python(_AFTER)}]))?[{_python(unstable_class())}]+")
 
 
 def _other_script(word: str) -> dict[str, str]:
     """For a word that belongs to another script than Latin, what Latin letters in it stand for; else
     nothing. The word is the other script's if more of its letters are surely that script's than are
-    surely Latin."""
-    table = CYRILLIC_LOOKALIKES if regex.search(r"\p{Cyrillic}", word) else GREEK_LOOKALIKES
-    back = {v: k for k, v in table.items()}
+    surely Latin; one Greek letter alone is a symbol (of a unit or a difference)."""
+    cyrillic = bool(regex.search(r"\p{Cyrillic}", word))
+    back = {v: k for k, v in (CYRILLIC_LOOKALIKES if cyrillic else GREEK_LOOKALIKES).items()}
     latin = sum(1 for c in word if _LATIN.match(c) and c not in back)
     other = sum(1 for c in word if c.isalpha() and not _LATIN.match(c) and c not in LOOKALIKES)
-    return back if other > latin else {}
+    return back if other > latin and (cyrillic or other > 1) else {}
 
 
-def _script_marks(text: str) -> set[int]:
-    """Positions of look-alike letters that stand in a Latin word or in a code."""
-    hits: set[int] = set()
-    for run in _RUN.finditer(text):
-        if not any(c in LOOKALIKES for c in run[0]):
-            continue
-        code = bool(regex.search(r"[\p{Latin}\p{Nd}]", run[0]))
-        for word in _WORDS.finditer(text, run.start(), run.end()):
-            alike = [word.start() + i for i, c in enumerate(word[0]) if c in LOOKALIKES]
-            if not alike or _other_script(word[0]):
-                continue
-            whole = all(c in LOOKALIKES for c in word[0] if c.isalpha())
-            if _LATIN.search(word[0]) or (code and whole):
-                hits.update(alike)
-    return hits
+def _shapes(text: str, at: int) -> bool:
+    """Whether a joiner or non-joiner is seen: between the parts of a picture, or where letters join."""
+    before = at - 1
+    while before >= 0 and (text[before] in INVISIBLE or _MARK.match(text[before])):
+        before -= 1
+    after = at + 1
+    while after < len(text) and text[after] in INVISIBLE:
+        after += 1
+    if before < 0 or after >= len(text):
+        return False
+    if _SHAPED.match(text[before]) and _SHAPED.match(text[after]):
+        return True
+    return text[at] == _JOIN and bool(_PICTURE.match(text[before]) and _PICTURE.match(text[after]))
 
 
 def canonical(text: str) -> tuple[str, int]:
     """The canonical form and how many segments of the text had to change."""
     singles = single_changes()
-    marks: set[int] | None = None
     parts, end, changed = [], 0, 0
     for segment in _python_class().finditer(text):
         start, stop = segment.span()
-        out = []
-        for i in range(start, stop):
-            c = text[i]
-            if c in LOOKALIKES:
-                if marks is None:
-                    marks = _script_marks(text)
-                c = LOOKALIKES[c] if i in marks else c
-            out.append(singles.get(c, c))
+        out = [c if c in (_JOIN, _PART) and _shapes(text, start + i) else singles.get(c, c) for i, c in enumerate(segment[0])]
         new = unicodedata.normalize("NFC", "".join(out))
         if new != segment[0]:
             changed += 1
             parts += (text[end:start], new)
             end = stop
-    # Removed characters may have parted a letter from its mark.
     if changed:
         text = "".join((*parts, text[end:]))
-        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-    if not text.isascii() and regex.search(r"[\p{Cyrillic}\p{Greek}]", text):
-        text, turned = _turn_latin(text)
+    if not text.isascii() and _TWO_SCRIPTS.search(text):
+        text, turned = _one_script(text)
         changed += turned
     return text, changed
 
 
-def _turn_latin(text: str) -> tuple[str, int]:
-    """Latin letters inside words of another script become that script's."""
-    out, turned = list(text), 0
-    for word in _WORDS.finditer(text):
-        if _LATIN.search(word[0]) and regex.search(r"[\p{Cyrillic}\p{Greek}]", word[0]) and (back := _other_script(word[0])):
-            swaps = [(word.start() + i, back[c]) for i, c in enumerate(word[0]) if c in back]
-            turned += bool(swaps)
-            for i, c in swaps:
-                out[i] = c
-    return "".join(out), turned
+_TWO_SCRIPTS = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+
+
+def _one_script(text: str) -> tuple[str, int]:
+    """Letters that look like one of the word's own script become that: in Latin words and codes Latin ones, in words of
+    another script that script's. A letter that changes is composed anew with its marks."""
+    swaps: dict[int, str] = {}
+    turned = 0
+    for run in _RUN.finditer(text):
+        if not _TWO_SCRIPTS.search(run[0]):
+            continue
+        code = bool(regex.search(r"[\p{Latin}\p{Nd}]", run[0]))
+        for word in _WORDS.finditer(text, run.start(), run.end()):
+            latin = bool(_LATIN.search(word[0]))
+            if back := _other_script(word[0]):
+                own = {word.start() + i: back[c] for i, c in enumerate(word[0]) if latin and c in back}
+            else:
+                whole = all(c in LOOKALIKES for c in word[0] if c.isalpha())
+                own = {word.start() + i: LOOKALIKES[c] for i, c in enumerate(word[0]) if (latin or (code and whole)) and c in LOOKALIKES}
+            turned += bool(own)
+            swaps |= own
+    parts, end = [], 0
+    for i, c in sorted(swaps.items()):
+        stop = i + 1
+        while stop < len(text) and unicodedata.combining(text[stop]):
+            stop += 1
+        parts += (text[end:i], unicodedata.normalize("NFC", c + text[i + 1 : stop]))
+        end = stop
+    return "".join((*parts, text[end:])), turned
 
 
 def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

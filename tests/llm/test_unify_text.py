@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftmill.llm.unify_text import canonical, unify_text
+from siftmill.llm.unify_text import canonical, compose_no, unify_text
 
 CHANGED = {
     "Τotal 6": "Total 6", "НР002781": "HP002781", "ＴＥ００５４.００": "TE0054.00", "Ｓｃｒａｐ": "Scrap", "班长⼩杭": "班长小杭", "Åskar": "Åskar", "Si/О": "Si/O",
@@ -43,6 +43,41 @@ def test_any_text(text):
     assert canonical(once)[0] == once
 
 
+WORDS = {
+    "ｶﾞｽ": "ガス", "カﾞ": "ガ", "ﾊﾟﾀｰﾝ": "パターン", "한": "한", "한": "한", "ﾡ": "ᄀ", "ﬁlm": "film",
+    "Ⅳ": "IV", "5 µm": "5 μm", "e​́": "é", "\U0002f800": "丽", "а́b": "áb", "W‍afer": "Wafer", "晶‌圆": "晶圆", "Ｅ́": "É",
+}
+SHAPED = ["👩\u200d🔬", "👩🏽\u200d🔬", "🏳️\u200d🌈", "می\u200cخواهم", "क्\u200dष", "5 μA", "ΔT", "ΔTx"]
+
+
+def test_forms_of_other_scripts():
+    for text, want in WORDS.items():
+        got, n = canonical(text)
+        assert got == want and n > 0, (text, got)
+
+
+def test_joiners_that_shape_the_text_and_symbols_stay():
+    for text in SHAPED:
+        assert canonical(text) == (text, 0), text
+
+
+def test_every_character_that_composed_text_lacks_is_known():
+    never = {chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)}
+    assert never == compose_no()
+
+
+pieces = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ᄒ\u1161\u11ab하가\u0301\u0323\u200d\u200cｶﾞ\u05d0\u05bcАaΑ👩🔬می"))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(pieces, max_size=24))
+def test_texts_that_are_canonically_equal_meet(chars):
+    text = "".join(chars)
+    once = canonical(text)[0]
+    assert canonical(once) == (once, 0) and unicodedata.is_normalized("NFC", once)
+    assert {canonical(unicodedata.normalize(f, text))[0] for f in ("NFC", "NFD")} == {once}
+
+
 def test_operator(spark):
     rows = [(1, "ＡＢ", 7), (1, "ＡＢ", 7), (2, None, 7), (3, "", 7), (4, "plain", 7), (5, "x" * 200_000 + "​", 7)]
     df = spark.createDataFrame(rows, "k bigint, t string, changes int")
