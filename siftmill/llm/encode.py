@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,16 +211,16 @@ def tokenizer(path: str = VOCABULARY) -> Bpe:
     return _LOADED[path]
 
 
-def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters; at least one text each."""
+def steps(texts: pa.Array, chars: int = STEP_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """``(start, texts)``: a column of texts in steps of about ``chars`` characters, at least one text each; NULL is empty.
+    Only the texts of a step are made Python strings."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > chars:
-            yield start, i
+    for i, n in enumerate([*sizes, chars + 1]):
+        if i > start and (size + n > chars or i == len(sizes)):
+            yield start, [t or "" for t in texts.slice(start, i - start).to_pylist()]
             start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
 
 
 def _encoder(path: str, counts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -227,16 +228,15 @@ def _encoder(path: str, counts: bool) -> Callable[[Iterator[pa.RecordBatch]], It
         bpe = tokenizer(path)
         for batch in batches:
             last = batch.num_columns - 1
-            texts = batch.column(last).to_pylist()
-            for a, b in steps(texts):
-                ids = bpe.encode_many([t or "" for t in texts[a:b]])
-                sizes = np.fromiter(map(len, ids), np.int64, b - a) // 4
+            for a, texts in steps(batch.column(last)):
+                ids, n = bpe.encode_many(texts), len(texts)
+                sizes = np.fromiter(map(len, ids), np.int64, n) // 4
                 if counts:
                     out = pa.array(sizes, pa.int64())
                 else:
                     ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                     out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-                kept = [batch.column(i).slice(a, b - a) for i in range(last)]
+                kept = [batch.column(i).slice(a, n) for i in range(last)]
                 yield pa.RecordBatch.from_arrays([*kept, out], [f"c{i}" for i in range(last)] + ["out"])
 
     return run

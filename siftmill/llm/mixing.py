@@ -71,11 +71,16 @@ def mix_sources(rows: DataFrame, targets: DataFrame, key: str, text: str, source
         plan[s] = [full, 0 if full == reps else budget - full * have[s], 0]
     # Where the rest of each budget ends: prefix of the hash, and tokens below it.
     open_ = {s: (0, 0) for s, (_, rest, _) in plan.items() if rest > 0}
+    held = sized
     for level in range(LEVELS):
         if not open_:
             break
         at = spark.createDataFrame([(s, prefix, plan[s][1] - below) for s, (prefix, below) in open_.items()], "source string, prefix bigint, rest bigint")
-        inside = sized.join(broadcast_if_small(at), "source").where((F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix")) if level else F.lit(True))
+        inside = held.join(broadcast_if_small(at), "source").where((F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix")) if level else F.lit(True))
+        if level == 1:
+            # The buckets in which budgets end are all that later levels read: one in 4,096 of each source.
+            inside = materialise(inside, "bucket")
+            held = inside.select("key", "source", "n_tokens", "h")
         sums = inside.groupBy("source", "prefix", "rest", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n"), F.countDistinct("key").alias("d") if level == LEVELS - 1 else F.count("*").alias("d"))
         run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("b")))
         ends = run.where(F.col("upto") > F.col("rest")).groupBy("source", "rest").agg(F.min(F.struct("b", "upto", "n", "d")).alias("e")).collect()

@@ -173,20 +173,19 @@ def _cutter(path: str, limit: int, overlap: int, slack: int, with_text: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in steps(texts):
-                cuts = bpe.pieces([t or "" for t in texts[a:b]])
+            for a, texts in steps(batch.column(1)):
+                cuts = bpe.pieces(texts)
                 row, no, of, start, end, size, text = [], [], [], [], [], [], []
-                for i in range(a, b):
-                    pieces = cut_text(bpe, texts[i] or "", cuts[i - a], limit, overlap, slack)
+                for i, whole in enumerate(texts):
+                    pieces = cut_text(bpe, whole, cuts[i], limit, overlap, slack)
                     for j, (s, e, n) in enumerate(pieces):
-                        row.append(i)
+                        row.append(a + i)
                         no.append(j)
                         of.append(len(pieces))
                         start.append(s)
                         end.append(e)
                         size.append(n)
-                        text.append(texts[i][s:e] if with_text else None)
+                        text.append(whole[s:e] if with_text else None)
                 arrays = [pa.array(no, pa.int32()), pa.array(of, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(size, pa.int32()), pa.array(text, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *arrays], ["key", *OUT.names])
 
