@@ -1,15 +1,15 @@
-"""The requests of the application as functions: each builds one lazy plan."""
+"""The requests of the application as functions. Each returns a plan; where one needs statistics or the size of something it
+asks for, small jobs run while it is built."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import asked
-from siftmill.functions.tokens import tokens
 from siftmill.operators import evidence, facets, images, records, retrieval
 
 
@@ -31,46 +31,40 @@ def health(tables: Mapping[str, DataFrame]) -> dict[str, dict]:
     return out
 
 
-def search(corpus: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, filters: Mapping[str, Sequence[str]] | None = None, limit: int = 10, offset: int = 0) -> Found:
+def search(corpus: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, filters: Mapping[str, Sequence[str]] | None = None, limit: int = 10, offset: int = 0, index: retrieval.PairIndex | None = None) -> Found:
     """Search ``corpus(record_id, text_content, matched_grains?, fields)``: by fields where the question names them exactly, else by
     words, character pairs and, if given, vectors, fused and reranked; then filters, then the page. A question without
-    letters or digits is refused, as are limits beyond 1 to 500."""
+    letters or digits is refused, as are limits beyond 1 to 500 and pages beyond the first ``MAX_RECALL`` hits. ``index`` is the corpus' own,
+    kept from one request to the next."""
     if not any(c.isalnum() for c in query or ""):
         raise ValueError("empty question")
-    if not 1 <= limit <= 500 or offset < 0:
+    if not 1 <= limit <= 500 or offset < 0 or offset + limit > retrieval.MAX_RECALL:
         raise ValueError("limit out of range")
-    found = asked.conditions(query)
+    spark = corpus.sparkSession
+    query = retrieval.asked_for(spark, query)
+    found, exact = asked.understand(spark, query)
     known = {f: v for f, v in found.items() if f in corpus.columns}
     keep = facets.any_of_each(filters or {})
-    if known and asked.is_exact(query, found):
-        hits = facets.exact_or_squeezed(corpus.withColumn("score", F.lit(1.0)), known, "record_id", "record_id", offset + limit)
+    if known and exact:
+        hits = facets.exact_or_squeezed(corpus.withColumn("score", F.lit(1.0)), known, "record_id", "record_id", max(offset + limit, 500))
         return Found(retrieval.page_after(hits, "record_id", keep, offset, limit), "exact", found)
-    k = max(retrieval.RECALL_K, offset + limit)
-    channels = {"lexical": retrieval.bm25(corpus, "record_id", "text_content", query), "bigram": retrieval.tfidf(corpus, "record_id", "text_content", query)}
-    if vectors is not None and query_vector is not None:
-        channels["dense"] = retrieval.dense(vectors, "record_id", "vector", query_vector)
-    if known:
-        channels["field"] = corpus.where(facets.equal_squeezed(known)).select("record_id", F.lit(1.0).alias("score"))
-    fused = retrieval.fuse_ranks(channels, "record_id", k=k)
-    rows = corpus.join(F.broadcast(fused), "record_id")  # at most k rows a channel
-    asked_tokens = retrieval.split_query(corpus.sparkSession, query, tokens(F.col("q")))
-    grain = retrieval.grain_score(F.col("matched_grains")) if "matched_grains" in corpus.columns else F.lit(0.0)
-    field = retrieval.field_score(known) if known else F.lit(0.0)
-    ranked = retrieval.rerank(rows, field, retrieval.overlap_score(F.col("text_content"), asked_tokens), grain)
+    ranked = retrieval.hybrid(corpus, query, known, vectors, query_vector, max(retrieval.RECALL_K, offset + limit), index)
     return Found(retrieval.page_after(ranked.drop("score").withColumnRenamed("final", "score"), "record_id", keep, offset, limit), "hybrid", found)
 
 
-def explain(query: str) -> dict:
-    found = asked.conditions(query)
-    return {"conditions": found, "mode": "exact" if asked.is_exact(query, found) else "hybrid"}
+def explain(spark: SparkSession, query: str) -> dict:
+    found, exact = asked.understand(spark, query)
+    return {"conditions": found, "mode": "exact" if exact else "hybrid"}
 
 
 def filters(rows: DataFrame) -> DataFrame:
     return facets.facet_values(rows, [f for f in facets.FILTER_FIELDS if f in rows.columns]).orderBy("field", "value")
 
 
-def record(rows: DataFrame, dn_no: str) -> DataFrame:
-    return rows.where(F.upper(F.trim("dn_no")) == dn_no.strip().upper()).limit(1)
+def record(rows: DataFrame, images_: DataFrame, dn_no: str) -> DataFrame:
+    """One row: the record of a number and its images in order of display; none where there are no images. ``rows`` and
+    ``images_(dn_no, image_type, file_name)``; a record without a row has a stub."""
+    return records.with_images(rows.where(F.upper(F.trim("dn_no")) == dn_no.strip().upper()).limit(1), images_.where(F.upper(F.trim("dn_no")) == dn_no.strip().upper()))
 
 
 def filter_search(rows: DataFrame, raw: Mapping[str, Sequence[str] | str], limit: int = 100, order: str = "dn_no") -> DataFrame:

@@ -101,29 +101,36 @@ def defect_pixel(r: Column, g: Column, b: Column) -> Column:
     return vivid | muted
 
 
-def radial_histogram(pixels: DataFrame, image: str, x: str, y: str, bins: int = 8) -> DataFrame:
-    """``(image, bin, share)``: shares of defect pixels in equal rings around their image's middle, the last ring closed.
+def radial_histogram(pixels: DataFrame, image: str, x: str, y: str, width: Column, height: Column, bins: int = 8) -> DataFrame:
+    """``(image, bin, share)``: shares of defect pixels in equal rings around the picture's middle, out to its corners; the
+    last ring is closed.
 
-    ``pixels`` are the defect pixels; the middle and the outermost radius are those of the image's defect pixels.
+    ``pixels`` are the defect pixels with their picture's ``width`` and ``height``. One aggregation over pictures and rings.
     """
-    mid = pixels.groupBy(image).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count("*").alias("n"))
-    far = pixels.join(mid, image).withColumn("r", F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2)))
-    top = far.groupBy(image).agg(F.max("r").alias("rm"))
-    ring = F.least(F.floor(F.col("r") / F.greatest("rm", F.lit(1e-9)) * bins), F.lit(bins - 1)).cast("int")
-    return far.join(top, image).groupBy(image, ring.alias("bin")).agg(F.round(F.count("*") / F.max("n"), 9).alias("share"))
-
-
-def grid_dispersion(pixels: DataFrame, image: str, x: str, y: str) -> DataFrame:
-    """``(image, active_cells, dispersion, spread_all_over)``: a 3x3 grid over the 5th to 95th percentile of the defect
-    pixels; a cell is active with six per cent of them (four at least); dispersion is the entropy over ln 9."""
-    span = pixels.groupBy(image).agg(*[F.percentile(c, q).alias(f"{c}_{i}") for c in (x, y) for i, q in ((0, 0.05), (1, 0.95))], F.count("*").alias("n"))
-    cell = lambda c: F.least(F.greatest(F.floor((F.col(c) - F.col(f"{c}_0")) / F.greatest(F.col(f"{c}_1") - F.col(f"{c}_0"), F.lit(1e-9)) * 3), F.lit(0)), F.lit(2))
-    cells = pixels.join(span, image).groupBy(image, cell(x).alias("gx"), cell(y).alias("gy")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    p = F.col("k") / F.col("n")
-    out = cells.groupBy(image).agg(
-        F.count_if(F.col("k") >= F.greatest(F.lit(4), F.ceil(0.06 * F.col("n")))).alias("active_cells"), F.round(-F.sum(p * F.ln(p)) / F.ln(F.lit(9.0)), 6).alias("dispersion")
-    )
-    return out.withColumn("spread_all_over", (F.col("active_cells") == 9) & (F.col("dispersion") >= 0.93))
+    cx, cy = (width - 1) / 2, (height - 1) / 2
+    radius = F.sqrt(F.pow(F.col(x) - cx, 2) + F.pow(F.col(y) - cy, 2)) / F.greatest(F.sqrt(cx * cx + cy * cy), F.lit(1.0))
+    ring = F.when(radius <= 1, F.least(F.floor(radius * bins), F.lit(bins - 1))).cast("int")
+    rings = pixels.select(image, ring.alias("bin")).where("bin is not null").groupBy(image, "bin").agg(F.count("*").alias("n"))
+    return rings.select(image, "bin", F.round(F.col("n") / F.sum("n").over(W.partitionBy(image)), 9).alias("share"))
+
+
+def grid_dispersion(pixels: DataFrame, image: str, x: str, y: str, width: Column, height: Column) -> DataFrame:
+    """``(image, x_span, y_span, active_cells, dispersion, spread_all_over)``: a 3x3 grid over the picture; a cell is active
+    with six per cent of the defect pixels (four at least); dispersion is the entropy over ln 9. The spans are those of the
+    5th to 95th percentile, as shares of the picture's sides. One aggregation: nine counts a picture, and the coordinates'
+    own counts, which are no more than a picture's side."""
+    size = {x: F.greatest(width, F.lit(1)), y: F.greatest(height, F.lit(1))}
+    cell = {c: F.least(F.lit(2), F.floor(F.col(c) * 3 / n)).cast("int") for c, n in size.items()}
+    placed = pixels.select(image, x, y, size[x].alias("__w"), size[y].alias("__h"), (3 * cell[y] + cell[x]).alias("__cell"))
+    spans = [F.percentile(c, q).alias(f"{n}{i}") for c, n in ((x, "x"), (y, "y")) for i, q in ((0, 0.05), (1, 0.95))]
+    one = placed.groupBy(image).agg(F.count("*").alias("n"), F.max("__w").alias("w"), F.max("__h").alias("h"), *spans, *[F.count_if(F.col("__cell") == i).alias(f"k{i}") for i in range(9)])
+    counts = F.array(*[F.col(f"k{i}") for i in range(9)])
+    share = lambda k: k / F.col("n")
+    entropy = F.aggregate(counts, F.lit(0.0), lambda s, k: s - F.when(k > 0, share(k) * F.ln(share(k))).otherwise(0.0))
+    active = F.size(F.filter(counts, lambda k: k >= F.greatest(F.lit(4), F.ceil(F.col("n") * 0.06))))
+    told = one.select(image, ((F.col("x1") - F.col("x0") + 1) / F.col("w")).alias("x_span"), ((F.col("y1") - F.col("y0") + 1) / F.col("h")).alias("y_span"), active.alias("active_cells"), (entropy / F.ln(F.lit(9.0))).alias("d"))
+    six = lambda c: F.round(c, 6)
+    return told.select(image, six("x_span").alias("x_span"), six("y_span").alias("y_span"), "active_cells", six("d").alias("dispersion"), ((F.col("active_cells") == 9) & (F.col("d") >= 0.93)).alias("spread_all_over"))
 
 
 def box_coverage(pixels: DataFrame, boxes: DataFrame, image: str, x: str, y: str) -> DataFrame:

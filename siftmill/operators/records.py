@@ -11,15 +11,21 @@ from pyspark.sql import Window as W
 
 from siftmill.functions.bind import let
 from siftmill.functions.ids import content_hash, normalize_dn
-from siftmill.functions.parse import COUNTS, LABELS, PATTERNS, parse_fields
-from siftmill.functions.paths import modality
+from siftmill.functions.parse import COUNTS, FIELDS, parse_fields
+from siftmill.functions.paths import modality, role_order
 from siftmill.functions.text import is_missing, present, strip
 
-FIELDS = tuple(PATTERNS)
 # Fields that the text chunk about the defect tells.
 DEFECT_FIELDS = ("dn_no", "platform", "station", "machine", "defect_type", "edx_elements", "edx_bg", "map_location", "dft_location")
-#: Keys under which a record's text may stand, the first with a value wins.
-TEXT_KEYS = ("text_content", "search_text", "document_text", "content", "document", "text", "TEXT")
+# Keys under which a record's text may stand, in order: the first with a value wins.
+TEXT_KEYS = ("text_content", "description", "TEXT", "text", "search_text", "content", "document")
+# What fields are called where a record without a text is told in words, and what is said of one without any.
+DESCRIBED = {
+    "dn_no": "DN编号", "class_type": "类型", "lot_id": "LotID", "product_id": "产品", "platform": "平台", "station": "站点", "machine": "机器", "scan_time": "扫描时间",
+    "total_wafers": "Wafer总数", "scanned_wafers": "已扫描Wafer", "bad_wafers": "坏Wafer", "defect_type": "缺陷类型", "edx_elements": "EDX元素", "edx_bg": "EDX背景",
+    "map_location": "Map位置", "dft_location": "DFT位置",
+}
+UNDESCRIBED = "原始记录未保存描述文本。"
 
 
 def given(column: str, kind: str = "string") -> Column:
@@ -35,27 +41,32 @@ def record_id(dn_no: Column, rec_id: Column, fallback: Column) -> Column:
 
 def parse_records(rows: DataFrame, text: str, compat: bool = False) -> DataFrame:
     """``rows`` with the 16 fields that ``text`` states; equally named columns are replaced."""
-    return rows.withColumns(parse_fields(F.col(text), compat))
+    told = rows.withColumn("__told", parse_fields(F.col(text), compat))
+    return told.withColumns({f: F.col("__told")[f] for f in FIELDS}).drop("__told")
 
 
 def canonicalise(rows: DataFrame) -> DataFrame:
     """Payload rows repaired: the text is the first of the known keys that has a value, missing fields are filled
-    from it, the record id is the record number where there is one. Other columns stay as they are."""
-    text = F.coalesce(*[present(F.col(k)) for k in TEXT_KEYS if k in rows.columns], F.lit(None).cast("string"))
-    told = rows.withColumn("__text", text)
-    parsed = parse_fields(F.col("__text"))
-    out = {f: F.coalesce(given(f) if f in rows.columns else F.lit(None), parsed[f]) for f in FIELDS}
-    told = told.withColumns({f"__{f}": c for f, c in out.items()})
-    own = present(F.col("record_id")) if "record_id" in rows.columns else F.lit(None).cast("string")
-    keep = [c for c in rows.columns if c not in (*FIELDS, "record_id", "text_content")]
+    from it, the record id is the record number where there is one. Other columns stay as they are. Two keys may differ
+    in case only."""
+    names = rows.columns
+    told = rows.toDF(*[f"c{i}" for i in range(len(names))])
+    at = lambda name: F.col(f"c{names.index(name)}")
+    text = F.coalesce(*[present(at(k).cast("string")) for k in TEXT_KEYS if k in names], F.lit(None).cast("string"))
+    told = told.withColumn("__text", strip(text)).withColumn("__told", parse_fields(F.col("__text")))
+    mine = lambda f: F.when(at(f) != 0, at(f)) if f in COUNTS else present(at(f))
+    fields = {f: F.coalesce(mine(f) if f in names else F.lit(None), F.col("__told")[f]) for f in FIELDS}
+    told = told.withColumns({f"__{f}": c for f, c in fields.items()})
+    own = present(at("record_id")) if "record_id" in names else F.lit(None).cast("string")
+    keep = [at(c).alias(c) for c in names if c not in (*FIELDS, "record_id", "text_content")]
     return told.select(*keep, F.coalesce("__dn_no", own).alias("record_id"), F.col("__text").alias("text_content"), *[F.col(f"__{f}").alias(f) for f in FIELDS])
 
 
 def describe(rows: DataFrame, out: str = "description") -> DataFrame:
     """``rows`` with the record told in words; an own text is kept."""
-    parts = [F.when(given(f).isNotNull(), F.concat(F.lit(f"{label}为"), strip(F.col(f).cast("string")))) for f, label in LABELS.items() if f in rows.columns]
+    parts = [F.when(given(f).isNotNull(), F.concat(F.lit(f"{label}为"), strip(F.col(f).cast("string")))) for f, label in DESCRIBED.items() if f in rows.columns]
     told = F.concat_ws("；", *parts)
-    words = F.when(told != "", F.concat(told, F.lit("。"))).otherwise(F.lit("暂无可用描述。"))
+    words = F.when(told != "", F.concat(told, F.lit("。"))).otherwise(F.lit(UNDESCRIBED))
     return rows.withColumn(out, F.coalesce(present(F.col("text_content")), words))
 
 
@@ -71,18 +82,19 @@ def text_chunks(rows: DataFrame) -> Column:
     return let(F.filter(raw, lambda c: c != ""), lambda some: F.when(F.size(some) > 0, distinct(some)).otherwise(none))
 
 
-def merge_points(points: DataFrame, order: str = "ord", drop_unknown: bool = True) -> DataFrame:
+def merge_points(points: DataFrame, order: str = "ord", drop_unknown: bool = True, grains: str | None = None) -> DataFrame:
     """One row a record: of each field the first value in ``order``, of the text the longest (of equals the first).
 
     Missing values never win, nor does a placeholder text however long. The key is the upper-cased record number,
-    else record id, else point id; rows without any are left out, and with ``drop_unknown`` those of placeholders.
+    else record id, else point id; rows without any are left out, and with ``drop_unknown`` those of placeholders. The
+    distinct kinds of point of each record come as ``matched_grains`` if their column is named.
     """
     key = F.upper(record_id(F.col("dn_no"), F.col("record_id"), F.col("point_id")))
     keyed = points.withColumn("__key", key).where(F.col("__key") != "" if drop_unknown else F.lit(True))
     fields = [f for f in FIELDS if f in points.columns and f != "dn_no"]
     firsts = [F.min_by(F.col(f), F.when(given(f).isNotNull(), F.col(order))).alias(f) for f in fields]
     text = F.max_by("text_content", F.when(present(F.col("text_content")).isNotNull(), F.struct(F.length("text_content"), -F.col(order)))).alias("text_content")
-    return keyed.groupBy(F.col("__key").alias("dn_no")).agg(*firsts, text, F.count("*").alias("n_points"))
+    return keyed.groupBy(F.col("__key").alias("dn_no")).agg(*firsts, text, F.count("*").alias("n_points"), *([F.array_sort(F.collect_set(present(F.col(grains)))).alias("matched_grains")] if grains else []))
 
 
 def first_rows(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -125,6 +137,17 @@ def image_manifest(images: DataFrame) -> DataFrame:
     return images.where(dn != "").groupBy(dn.alias("dn_no")).agg(F.sort_array(F.collect_set(one)).alias("images"), F.count_distinct("image_type", "file_name").alias("image_count"))
 
 
+def with_images(records: DataFrame, images: DataFrame) -> DataFrame:
+    """``(dn_no, has_record, *fields, images)``: each record number with images, its record (one row of ``records`` at most, by
+    upper-cased number; NULL fields without) and its distinct images in order of display. A record's images are few."""
+    order = F.struct(role_order(F.col("image_type")).alias("o"), F.col("file_name"), F.col("image_type"))
+    own = images.where(strip(F.coalesce("dn_no", F.lit(""))) != "").groupBy(normalize_dn(F.col("dn_no")).alias("dn_no")).agg(F.sort_array(F.collect_set(order)).alias("__i"))
+    shown = F.transform("__i", lambda i: F.struct(i["image_type"].alias("image_type"), i["file_name"].alias("file_name")))
+    named = records.withColumn("dn_no", normalize_dn(F.col("dn_no"))).withColumn("has_record", F.lit(True))
+    fields = [c for c in records.columns if c != "dn_no"]
+    return own.join(named, "dn_no", "left").select("dn_no", F.coalesce("has_record", F.lit(False)).alias("has_record"), *fields, shown.alias("images"))
+
+
 def assign_roles(pictures: DataFrame, record: list[str], kind: str, order: list[str]) -> DataFrame:
     """``pictures`` with the role each gets by its turn among its record's pictures of one kind: the first map and the
     first two micrographs take part in searches, others are only shown."""
@@ -154,7 +177,7 @@ def new_imports(ledger: DataFrame, files: DataFrame, digest: str) -> DataFrame:
     return once.join(ledger.select(digest).distinct(), digest, "left_anti")
 
 
-# How lines of a slide are told apart and read.
+# How lines of a slide are told apart and read, and what its counts are called.
 SLIDE_DN = r"(?i)(DN-[A-Za-z0-9-]+)"
 SLIDE_TOTAL = r"(?i)(?:^|[^A-Za-z0-9_])Total\s*(\d+)"
 SLIDE_DEFECT = r"^#?\s*\d+\s+([A-Za-z][A-Za-z0-9_-]+)"

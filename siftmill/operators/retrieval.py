@@ -1,33 +1,36 @@
 """Text search: term statistics, BM25, character-pair cosine, dense scores, rank fusion and reranking.
 
-The query side is always a handful of rows built on the driver; the corpus is scanned once for each channel and is
-never joined with itself.
+The query side is always a handful of rows built on the driver; the texts of the corpus are cut once for each channel and
+the corpus is never joined with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 from siftmill.functions.asked import conditions, is_exact
+from siftmill.functions.bind import let
 from siftmill.functions.text import fold_code
-from siftmill.functions.tokens import char_pairs, tokens
+from siftmill.functions.tokens import char_pairs, expand, sanitize, tokens
 from siftmill.functions.vector import cosine, literal
+from siftmill.operators.facets import exact_or_squeezed
+from siftmill.operators.skew import lookup
+from siftmill.session import broadcast_if_small, materialise, spread
 
 # Fixed values of the ranking.
 K1, B = 1.5, 0.75
 RRF_K = 60
 CHANNELS = {"dense": 0.45, "lexical": 0.30, "bigram": 0.15, "field": 0.10}
-RECALL_K = 50
+RECALL_K, MAX_RECALL = 50, 5_000
 MIN_DENSE = 0.5
 BLEND = {"base": 0.50, "field": 0.35, "overlap": 0.10, "grain": 0.05}
 FIELD_WEIGHTS = {"dn_no": 3.0, "lot_id": 2.5, "machine": 2.0, "product_id": 1.8, "platform": 1.6, "station": 1.5, "defect_type": 1.8, "map_location": 1.3, "dft_location": 1.3}
-GRAIN_WEIGHTS = {"full": 1.0, "summary": 0.9, "keywords": 0.8, "natural_language": 0.8, "machine_focus": 0.7, "defect_focus": 0.6}
+GRAIN_WEIGHTS = {"defect_focus": 1.0, "machine_focus": 0.9, "summary": 0.8, "keywords": 0.8, "natural_language": 0.7, "full": 0.6}
 UNKNOWN_GRAIN = 0.5
 
 
@@ -36,65 +39,78 @@ def split_query(spark: SparkSession, query: str, terms: Column) -> list[str]:
     return spark.range(1).select(F.lit(query).alias("q")).select(terms.alias("t")).first()["t"]
 
 
-def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
-    """``(key, term, tf, dl)``: terms of each document with their counts and the document's length."""
-    cut = corpus.select(F.col(key), terms.alias("__t"))
-    return cut.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def document_frequency(corpus: DataFrame, terms: Column) -> DataFrame:
     """``(term, df)``: repeated terms of one document count once, before they are exploded."""
-    return corpus.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return spread(corpus).select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _counted(corpus: DataFrame, key: str, terms: Column, wanted: Sequence[str]) -> DataFrame:
-    """``(key, dl, tf_0 .. tf_n)``: how often each wanted term stands in each document, and its length. Texts are cut
-    once: what follows the generator can't be folded into it."""
-    cut = corpus.select(F.col(key), F.explode_outer(terms).alias("__t"))
-    tf = [F.count_if(F.col("__t") == w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
-    return cut.groupBy(key).agg(F.count("__t").alias("dl"), *tf)
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
 
 
 def bm25(corpus: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """``(key, score)`` of documents that hold a term of the query; each distinct term counts once.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); the mean length is 1 at least. NULL texts are empty documents and count.
+    Texts are cut once; the statistics are one aggregation over numbers, of which one row goes to the driver.
     """
-    spark = corpus.sparkSession
-    wanted = list(dict.fromkeys(split_query(spark, query, tokens(F.col("q")))))
-    counted = _counted(corpus, key, tokens(F.col(text)), wanted)
+    wanted = list(dict.fromkeys(split_query(corpus.sparkSession, query, tokens(F.col("q")))))
     if not wanted:
-        return counted.select(key, F.lit(0.0).alias("score")).limit(0)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
-    every = counted.crossJoin(F.broadcast(stats))  # one row
-    length = F.lit(1.0) - B + F.lit(B) * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
+        return corpus.select(key, F.lit(0.0).alias("score")).limit(0)
+    counts = let(tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[F.size(F.filter(t, _is(w))) for w in wanted]).alias("tf")))
+    counted = materialise(spread(corpus.select(key, text)).select(key, counts.alias("c")).select(key, "c.dl", "c.tf"), "counted")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("a"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    length = F.lit(1.0) - B + F.lit(B) * F.col("dl") / max(stats["a"] or 0.0, 1.0)
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        df, tf = F.col(f"df_{i}"), F.col(f"tf_{i}")
-        score = score + F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * length)
-    return every.select(key, score.alias("score")).where("score > 0")
+        df, tf = stats[f"df{i}"], F.col("tf")[i]
+        score = score + F.ln(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * length)
+    return counted.where(F.exists("tf", lambda n: n > 0)).select(key, score.alias("score")).where("score > 0")
+
+
+@dataclass
+class PairIndex:
+    """What a corpus' character pairs weigh, for any number of queries: ``idf(term, n, idf)``, ``norms(key, norm)``, ``pairs(key, terms)``."""
+
+    idf: DataFrame
+    norms: DataFrame
+    pairs: DataFrame
+
 
+def pair_index(corpus: DataFrame, key: str, text: str) -> PairIndex:
+    """idf = ln(N / (1 + df)), which may be negative, and the length of each document's vector, in which each of its pairs
+    stands once. Texts are cut once; pairs that stand in very many documents meet their idf by broadcast, so that no task gets
+    all documents of a pair."""
+    pairs = materialise(spread(corpus.select(key, text)).select(key, F.array_distinct(char_pairs(F.col(text))).alias("terms")), "pairs")
+    total = pairs.count()
+    terms = pairs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    idf = materialise(terms.select("term", "n", F.ln(F.lit(float(total)) / (1 + F.col("n"))).alias("idf")), "idf")
+    each = pairs.select(key, F.explode("terms").alias("term"))
+    small = broadcast_if_small(idf)
+    weighed = each.join(small.drop("n"), "term") if small is not idf else lookup(each, idf, ["term"], "n", F.col(key))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return PairIndex(idf, materialise(norms, "norms"), pairs)
 
-def tfidf(corpus: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """``(key, score)``: cosine over character pairs with idf = ln(N / (1 + df)), which may be negative.
+
+def tfidf(corpus: DataFrame, key: str, text: str, query: str, index: PairIndex | None = None) -> DataFrame:
+    """``(key, score)``: cosine over character pairs, weighted by ``pair_index`` (built here if none is given).
 
     A document holds each of its pairs once, the query as often as it stands there. Only documents of positive
-    score are returned. Pair statistics are one aggregation; norms need the documents' pairs joined with them.
+    score are returned.
     """
-    spark = corpus.sparkSession
     asked: dict[str, int] = {}
-    for pair in split_query(spark, query, char_pairs(F.col("q"))):
+    for pair in split_query(corpus.sparkSession, query, char_pairs(F.col("q"))):
         asked[pair] = asked.get(pair, 0) + 1
-    pairs = corpus.select(key, F.explode(F.array_distinct(char_pairs(F.col(text)))).alias("term"))
-    total = corpus.agg(F.count("*").alias("n"))
-    idf = pairs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.ln(F.col("n") / (1 + F.col("df"))).alias("idf"))
-    weight = spark.createDataFrame([(t, float(c)) for t, c in asked.items()], "term string, c double")
-    q = idf.join(F.broadcast(weight), "term")  # as many rows as the query has pairs
-    qnorm = q.agg(F.sqrt(F.sum(F.pow(F.col("c") * F.col("idf"), 2))).alias("qn"))
-    weighed = pairs.join(idf, "term").join(F.broadcast(weight), "term", "left")
-    dots = weighed.groupBy(key).agg(F.sum(F.coalesce(F.col("c"), F.lit(0.0)) * F.col("idf") * F.col("idf")).alias("d"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("n"))
-    scored = dots.crossJoin(F.broadcast(qnorm))  # one row
-    return scored.where((F.col("n") > 0) & (F.col("qn") > 0)).select(key, (F.col("d") / (F.col("n") * F.col("qn"))).alias("score")).where("score > 0")
+    index = index or pair_index(corpus, key, text)
+    known = {r.term: r.idf for r in index.idf.where(F.col("term").isin(*asked)).collect()} if asked else {}  # as many as the query has pairs
+    length = sum((asked[t] * w) ** 2 for t, w in known.items()) ** 0.5
+    if not length:
+        return corpus.select(key, F.lit(0.0).alias("score")).limit(0)
+    weights = F.create_map(*[x for t, w in known.items() for x in (F.lit(t), F.lit(asked[t] * w * w))])
+    met = F.array_intersect("terms", F.array(*[F.lit(t) for t in known]))
+    dot = F.aggregate(met, F.lit(0.0), lambda s, t: s + F.try_element_at(weights, t))
+    hits = index.pairs.select(key, dot.alias("dot")).where("dot > 0")
+    return hits.join(index.norms, key).where("norm > 0").select(key, (F.col("dot") / (F.col("norm") * length)).alias("score")).where("score > 0")
 
 
 def pair_cosine(corpus: DataFrame, key: str, text: str, query: str) -> DataFrame:
@@ -103,12 +119,13 @@ def pair_cosine(corpus: DataFrame, key: str, text: str, query: str) -> DataFrame
     asked: dict[str, int] = {}
     for pair in split_query(spark, query, char_pairs(F.col("q"))):
         asked[pair] = asked.get(pair, 0) + 1
-    weight = spark.createDataFrame([(t, float(c)) for t, c in asked.items()], "term string, c double")
     qnorm = sum(c * c for c in asked.values()) ** 0.5
-    tf = corpus.select(key, F.explode(char_pairs(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    dots = tf.join(F.broadcast(weight), "term", "left").groupBy(key).agg(F.sum(F.coalesce(F.col("c"), F.lit(0.0)) * F.col("tf")).alias("d"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("n"))
+    # A document without pairs keeps one row without a term.
+    tf = spread(corpus.select(key, text)).select(key, F.explode_outer(char_pairs(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("term").alias("tf"))
+    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(float(c))) for t, c in asked.items()], F.lit(0.0))
+    dots = tf.groupBy(key).agg(F.sum(weight * F.col("tf")).alias("d"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("n"))
     score = F.when((F.col("n") > 0) & F.lit(qnorm > 0), F.col("d") / (F.col("n") * F.lit(qnorm or 1.0))).otherwise(0.0)
-    return corpus.select(key).join(dots, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("score"))
+    return dots.select(key, F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def dense(vectors: DataFrame, key: str, vector: str, query: Sequence[float], least: float = MIN_DENSE) -> DataFrame:
@@ -126,10 +143,11 @@ def ranked(hits: DataFrame, key: str) -> DataFrame:
 
 
 def fuse_ranks(channels: Mapping[str, DataFrame], key: str, weights: Mapping[str, float] = CHANNELS, k: int = RECALL_K) -> DataFrame:
-    """``(key, score, channels)``: weighted reciprocal-rank sum over the first ``k`` of each channel."""
+    """``(key, score, channels)``: weighted reciprocal-rank sum over the first ``k`` of each channel. Scores are compared to
+    nine places, so that the order in which parts were added decides nothing."""
     union = None
     for name, hits in channels.items():
-        one = ranked(top(hits, key, k), key).select(key, F.lit(name).alias("channel"), F.lit(weights[name]).alias("w"), "rank")
+        one = ranked(top(hits.withColumn("score", F.round("score", 9)), key, k), key).select(key, F.lit(name).alias("channel"), F.lit(weights[name]).alias("w"), "rank")
         union = one if union is None else union.unionByName(one)
     return union.groupBy(key).agg(F.sum(F.col("w") / (RRF_K + F.col("rank"))).alias("score"), F.array_sort(F.collect_list("channel")).alias("channels"))
 
@@ -187,16 +205,42 @@ def by_metric(hits: DataFrame, metric: str, key: str) -> DataFrame:
     return some.withColumn("place", F.row_number().over(W.orderBy(F.desc("metric"), key)))
 
 
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [conditions(t or "") for t in batch.column(1).to_pylist()]
-        exact = [is_exact(t or "", c) for t, c in zip(batch.column(1).to_pylist(), found, strict=True)]
-        pairs = pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pairs, pa.array(["exact" if e else "hybrid" for e in exact])], ["key", "conditions", "mode"])
-
-
 def route(questions: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, conditions, mode)`` of a log of questions: the field values each names and how it would be answered."""
-    base = questions.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([base.schema["key"], T.StructField("conditions", T.MapType(T.StringType(), T.StringType())), T.StructField("mode", T.StringType())])
-    return base.mapInArrow(_route, schema).withColumnRenamed("key", key)
+    told = spread(questions.select(F.col(key), F.col(text).alias("__text"))).withColumn("conditions", conditions(F.col("__text")))
+    return told.select(key, "conditions", F.when(is_exact(F.col("__text"), F.col("conditions")), "exact").otherwise("hybrid").alias("mode"))
+
+
+def hybrid(
+    corpus: DataFrame,
+    query: str,
+    asked: Mapping[str, str],
+    vectors: DataFrame | None = None,
+    query_vector: Sequence[float] | None = None,
+    k: int = RECALL_K,
+    index: PairIndex | None = None,
+) -> DataFrame:
+    """``(record_id, score, channels, final)``, unordered: the first ``k`` of each channel fused by rank and reranked.
+
+    ``corpus(record_id, text_content, matched_grains?, fields)`` has one row a record. Channels are words, character pairs of
+    the question with the words of its phrases, vectors (where they are given) and the records that meet the conditions
+    ``asked``, exactly or else squeezed. Reranking goes by fused score, conditions, shared tokens and grains.
+    """
+    spark = corpus.sparkSession
+    wide = spark.range(1).select(F.lit(query).alias("q")).select(expand(F.col("q")).alias("e")).first()["e"]
+    channels = {"lexical": bm25(corpus, "record_id", "text_content", wide), "bigram": tfidf(corpus, "record_id", "text_content", wide, index)}
+    if vectors is not None and query_vector is not None:
+        channels["dense"] = dense(vectors, "record_id", "vector", query_vector)
+    if asked:
+        named = corpus.select("record_id", *asked)
+        channels["field"] = exact_or_squeezed(named, asked, "record_id", "record_id", k).select("record_id", F.lit(1.0).alias("score"))
+    fused = materialise(fuse_ranks(channels, "record_id", k=k), "fused")
+    rows = corpus.join(F.broadcast(fused), "record_id")  # at most k rows a channel, k at most MAX_RECALL
+    grain = grain_score(F.col("matched_grains")) if "matched_grains" in corpus.columns else F.lit(0.0)
+    field = field_score(asked) if asked else F.lit(0.0)
+    return rerank(rows, field, overlap_score(F.col("text_content"), split_query(spark, query, tokens(F.col("q")))), grain)
+
+
+def asked_for(spark: SparkSession, query: str) -> str:
+    """A question as it is searched for: folded, without question and exclamation marks, case kept."""
+    return spark.range(1).select(F.lit(query).alias("q")).select(sanitize(F.col("q")).alias("s")).first()["s"]

@@ -106,28 +106,31 @@ def geometry_similarity(spark, d):
     return h.crossJoin(F.broadcast(a)).select("l_orderkey", F.round(like, 6).alias("likeness"))  # one row
 
 
-_PIX = "select l_suppkey img, l_quantity::double x, (l_extendedprice / 1000)::double y from lineitem"
+# Rows of lineitem as the defect pixels of pictures of 51 by 128.
+_PIX = "select l_suppkey img, l_quantity::double x, floor(l_extendedprice / 1000)::double y from lineitem"
+WIDTH, HEIGHT = 51, 128
 
 
 def _pixels(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img"), F.col("l_quantity").cast("double").alias("x"), F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("y"))
 
 
 @query(
-    f"""with p as ({_PIX}), m as (select img, avg(x) cx, avg(y) cy, count(*) n from p group by 1), f as (select img, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) r, n from p join m using (img)), t as (select img, max(r) rm from f group by 1)
-    select img, least(floor(r / greatest(rm, 1e-9) * 8), 7)::int "bin", round(count(*) / max(n)::double, 9) share from f join t using (img) group by 1, 2"""
+    f"""with p as ({_PIX}), f as (select img, sqrt((x - 25) ** 2 + (y - 63.5) ** 2) / sqrt(25.0 ** 2 + 63.5 ** 2) r from p), b as (select img, case when r = 1 then 7 else floor(r * 8)::int end bin from f where r <= 1)
+    select img, bin, round(count(*) / sum(count(*)) over (partition by img)::double, 9) share from b group by 1, 2"""
 )
 def pixel_histogram(spark, d):
-    return I.radial_histogram(_pixels(spark, d), "img", "x", "y")
+    return I.radial_histogram(_pixels(spark, d), "img", "x", "y", F.lit(WIDTH), F.lit(HEIGHT))
 
 
 @query(
     f"""with p as ({_PIX}), sp as (select img, quantile_cont(x, 0.05) x0, quantile_cont(x, 0.95) x1, quantile_cont(y, 0.05) y0, quantile_cont(y, 0.95) y1, count(*) n from p group by 1),
-    c as (select img, least(greatest(floor((x - x0) / greatest(x1 - x0, 1e-9) * 3), 0), 2) gx, least(greatest(floor((y - y0) / greatest(y1 - y0, 1e-9) * 3), 0), 2) gy, count(*) k, max(n) n from p join sp using (img) group by 1, 2, 3),
-    o as (select img, count(*) filter (where k >= greatest(4, ceil(0.06 * n))) active_cells, round(-sum(k / n::double * ln(k / n::double)) / ln(9.0), 6) dispersion from c group by 1) select *, active_cells = 9 and dispersion >= 0.93 spread_all_over from o"""
+    c as (select img, least(2, x::int * 3 // 51) gx, least(2, y::int * 3 // 128) gy, count(*) k from p group by 1, 2, 3),
+    o as (select img, count(*) filter (where k >= 4 and k >= ceil(0.06 * n))::int active_cells, -sum(k / n::double * ln(k / n::double)) / ln(9.0) d, max((x1 - x0 + 1) / 51) xs, max((y1 - y0 + 1) / 128) ys from c join sp using (img) group by 1)
+    select img, round(xs, 6) x_span, round(ys, 6) y_span, active_cells, round(d, 6) dispersion, active_cells = 9 and d >= 0.93 spread_all_over from o"""
 )
 def grid_entropy(spark, d):
-    return I.grid_dispersion(_pixels(spark, d), "img", "x", "y")
+    return I.grid_dispersion(_pixels(spark, d), "img", "x", "y", F.lit(WIDTH), F.lit(HEIGHT))
 
 
 @query(f"with p as ({_PIX}) select img, round(quantile_cont(x, 0.05), 6) low, round(quantile_cont(x, 0.95), 6) high from p group by 1")

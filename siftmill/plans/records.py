@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siftmill.functions import ids
-from siftmill.functions.parse import COUNTS, LABELS, PATTERNS, TRIMMED
-from siftmill.functions.paths import EXTENSIONS, ROLE_ALIASES, extension, file_name, image_role, resolve, role_order, safe_name, stem
-from siftmill.functions.text import INVISIBLE, OUTER_BLANKS, PLACEHOLDERS, code_table, fold_code, present, strip
+from siftmill.functions.paths import EXTENSIONS, ROLE_ALIASES, extension, file_name, image_role, resolve, role_order, safe_name
+from siftmill.functions.text import INVISIBLE, OUTER_BLANKS, code_table, fold_code, present, strip
+from siftmill.operators import evidence as E
 from siftmill.operators import records as R
+from siftmill.operators import tables as T
 from siftmill.plans.tables import table
+from siftmill.session import spread, table_path
+from siftmill.sources.files import read_texts
+from siftmill.sources.uploads import accept, sniff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +50,7 @@ def sql_strip(c: str) -> str:
 
 
 def sql_missing(c: str) -> str:
-    return f"(lower({sql_strip(f"coalesce({c}, '')")}) in ({', '.join(map(quoted, PLACEHOLDERS))}))"
+    return f"(lower({sql_strip(f"coalesce({c}, '')")}) in ('', 'unknown', 'unknown_dn', '未知', 'nan', '—'))"
 
 
 def sql_present(c: str) -> str:
@@ -53,13 +58,42 @@ def sql_present(c: str) -> str:
 
 
 def sql_given(c: str) -> str:
-    return f"nullif({c}, 0)" if c.split(".")[-1] in COUNTS else sql_present(c)
+    return f"nullif({c}, 0)" if c.endswith("_wafers") else sql_present(c)
+
+
+# Labels and values as the SQL knows them: texts are cut at the labels, and the value is read where a part begins.
+_CODE, _PHRASE = "[A-Za-z0-9][A-Za-z0-9_.-]*", "[^,。;]+"
+_TOLD = {
+    "class_type": [("类型|类别", r"Class\s*\d+")],
+    "lot_id": [(r"Lot\s*ID\s*(?:\([^)]*\))?", _CODE), ("批次编号|批次号|批号", _CODE)],
+    "product_id": [("产品编号|产品ID|产品", _CODE)],
+    "machine": [("扫描机器|扫描机|机器|机台", _CODE)],
+    "total_wafers": [("Wafer总数", r"\d+")],
+    "scanned_wafers": [("扫描过的Wafer数量", r"\d+")],
+    "bad_wafers": [("坏的Wafer数量", r"\d+")],
+    "defect_type": [("缺陷类型", _CODE)],
+    "edx_elements": [("EDX检测到的元素", _PHRASE)],
+    "edx_bg": [("EDX背景", _PHRASE)],
+    "map_location": [("Map(?:上面)?分布的位置", _PHRASE)],
+    "dft_location": [("DFT(?:上面)?分布的位置", _PHRASE)],
+}
 
 
 def sql_parsed(field: str, folded: str = "ft") -> str:
-    found = [f"nullif(regexp_extract({folded}, {quoted('(?i)' + p)}, 1), '')" for p in PATTERNS[field]]
-    value = f"regexp_replace(coalesce({', '.join(found)}, null), {quoted(TRIMMED)}, '', 'g')"
-    return f"try_cast({value} as int)" if field in COUNTS else f"nullif({value}, '')"
+    first = lambda cut, part, value: f"list_filter(list_transform(regexp_split_to_array({folded}, '(?i)(?:{cut})'){part}, lambda x: regexp_extract(x, '(?i){value}', 1)), lambda x: x <> '')[1]"
+    if field == "dn_no":
+        # Cut where numbers begin: the part before must end in the label.
+        parts = f"regexp_split_to_array({folded}, '(?i)DN-')"
+        number = f"case when regexp_matches({parts}[i - 1], '(?i)DN\\s*(?:编号|号)?\\s*(?:为|是|:)?\\s*$') then nullif(regexp_extract({parts}[i], '^[A-Za-z0-9-]+'), '') end"
+        return f"'DN-' || list_filter(list_transform(range(2, len({parts}) + 1), lambda i: {number}), lambda x: x is not null)[1]"
+    if field == "platform":
+        return first("平台", "[1:-2]", rf"({_CODE})\s*$")
+    if field == "station":
+        return first("平台", "[2:]", rf"^(?:的|下)?\s*({_CODE})\s*站点")
+    if field == "scan_time":
+        return first("于", "[2:]", r"^\s*(\d{4}[/-]\d{1,2}[/-]\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2})\s*完成(?:了)?扫描")
+    found = "coalesce(" + ", ".join(first(cut, "[2:]", rf"^\s*(?:为|是|:)?\s*({value})") for cut, value in _TOLD[field]) + ", null)"
+    return f"try_cast({found} as int)" if field.endswith("_wafers") else f"nullif(trim({found}, ' ,。;:()' || chr(9) || chr(10) || chr(13)), '')"
 
 
 FOLDED = f"select *, {sql_fold(chr(34) + 'text_content' + chr(34))} ft from payload_parser"
@@ -76,26 +110,41 @@ def scan_count_probe(spark, d):
 
 @query(f"select ord, {', '.join(sql_parsed(f) + ' as ' + f for f in R.FIELDS)} from ({FOLDED})")
 def parse_fields_roundtrip(spark, d):
-    return R.parse_records(table(spark, d, "payload_parser").select("ord", "text_content"), "text_content").select("ord", *R.FIELDS)
+    return R.parse_records(spread(table(spark, d, "payload_parser").select("ord", "text_content")), "text_content").select("ord", *R.FIELDS)
+
+
+_KEYS = "select * exclude (text_content, class_type), case when ord % 2 = 0 then class_type end class_type, case when ord % 3 = 0 then '未知' else text_content end text_content, case when ord % 3 = 0 then text_content when ord % 3 = 1 then 'DN编号:DN-20200101-01' end description from payload_parser"
 
 
 @query(
-    f"with p as (select *, {sql_fold(sql_present('text_content'))} ft from payload_parser) select ord, coalesce({sql_given('dn_no')}, {sql_parsed('dn_no')}, {sql_present('record_id')}) record_id, "
+    f"with k as ({_KEYS}), t as (select *, {sql_strip(f"coalesce({sql_present('text_content')}, {sql_present('description')})")} tx from k), p as (select *, {sql_fold('tx')} ft from t) select ord, coalesce({sql_given('dn_no')}, {sql_parsed('dn_no')}, {sql_present('record_id')}) record_id, tx text_content, "
     + ", ".join(f"coalesce({sql_given(f)}, {sql_parsed(f)}) as {f}" for f in R.FIELDS)
     + " from p"
 )
 def canonical_coalesce(spark, d):
+    """Points repaired; of each three the text of one stands under another key, of each two one lacks its class."""
     rows = table(spark, d, "payload_parser").select("ord", "record_id", "text_content", *R.FIELDS)
-    return R.canonicalise(rows).select("ord", "record_id", *R.FIELDS)
+    text, third = F.col("text_content"), F.col("ord") % 3
+    rows = rows.withColumn("description", F.when(third == 0, text).when(third == 1, F.lit("DN编号:DN-20200101-01"))).withColumn("text_content", F.when(third == 0, F.lit("未知")).otherwise(text))
+    rows = rows.withColumn("class_type", F.when(F.col("ord") % 2 == 0, F.col("class_type")))
+    return R.canonicalise(spread(rows)).select("ord", "record_id", "text_content", *R.FIELDS)
+
+
+_SAID = {
+    "dn_no": "DN编号", "class_type": "类型", "lot_id": "LotID", "product_id": "产品", "platform": "平台", "station": "站点", "machine": "机器", "scan_time": "扫描时间", "total_wafers": "Wafer总数",
+    "scanned_wafers": "已扫描Wafer", "bad_wafers": "坏Wafer", "defect_type": "缺陷类型", "edx_elements": "EDX元素", "edx_bg": "EDX背景", "map_location": "Map位置", "dft_location": "DFT位置",
+}
 
 
 @query(
     "with p as (select *, concat_ws('；', "
-    + ", ".join(f"case when {sql_given(f)} is not null then {quoted(label + '为')} || {sql_strip(f + '::varchar')} end" for f, label in LABELS.items())
-    + f") told from payload_parser) select ord, coalesce({sql_present('text_content')}, case when told <> '' then told || '。' else '暂无可用描述。' end) description from p"
+    + ", ".join(f"case when {sql_given(f)} is not null then {quoted(label + '为')} || {sql_strip(f + '::varchar')} end" for f, label in _SAID.items())
+    + f") told from payload_parser) select ord, case when ord % 2 = 0 then {sql_present('text_content')} end own, coalesce(own, case when told <> '' then told || '。' else '原始记录未保存描述文本。' end) description from p"
 )
 def describe_record(spark, d):
-    return R.describe(table(spark, d, "payload_parser")).select("ord", "description")
+    """Records told in words; every other one has no text of its own."""
+    own = F.when(F.col("ord") % 2 == 0, present(F.col("text_content")))
+    return R.describe(table(spark, d, "payload_parser").withColumn("text_content", own)).select("ord", F.col("text_content").alias("own"), "description")
 
 
 SQL_ID = sql_strip(f"coalesce({sql_present('dn_no')}, {sql_present('record_id')}, {sql_present('point_id')}, '')")
@@ -254,21 +303,24 @@ def role_ordinals(spark, d):
     return R.assign_roles(p, ["import_id"], "kind", ["pos"])
 
 
+_HEADS = ("89504E470D0A1A0A", "FFD8FF", "424D", "504B0304", "524946460000000057454250", "25504446", "")
+
+
 @query(
-    """with u as (select source, doc_id, coalesce(length(text), 0) size, substr(coalesce(text, ''), 1, 2) magic from documents where source is not null), r as (select *, sum(size) over (partition by source order by doc_id) running, row_number() over (partition by source order by doc_id) nth from u)
-    select source, doc_id, running::bigint running, case when magic = 'DN' then 'record' when regexp_matches(magic, '^[A-Za-z]') then 'latin' when magic = '' then 'empty' else 'other' end kind, (running <= 20000 and nth <= 30) accepted from r"""
+    """with u as (select source, doc_id, coalesce(strlen(text), 0) size, doc_id % 7 h from documents where source is not null),
+    r as (select *, sum(size) over (partition by source order by doc_id) running, row_number() over (partition by source order by doc_id) nth from u)
+    select source, doc_id, running::bigint running, case h when 0 then 'png' when 1 then 'jpeg' when 2 then 'bmp' when 3 then 'pptx' when 4 then 'webp' end kind, (running <= 20000 and nth <= 30) accepted from r"""
 )
 def running_upload_cap(spark, d):
-    from siftmill.sources.uploads import accept
-
-    u = table(spark, d, "documents").where("source is not null").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.substring(F.coalesce("text", F.lit("")), 1, 2).alias("magic"))
-    kind = F.when(F.col("magic") == "DN", "record").when(F.col("magic").rlike("^[A-Za-z]"), "latin").when(F.col("magic") == "", "empty").otherwise("other")
-    return accept(u, ["source"], "doc_id", "size", 20_000, 30).select("source", "doc_id", "running", kind.alias("kind"), "accepted")
+    """Documents as uploads of their source behind the first bytes of a kind of file: what they are, and which are still taken."""
+    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in _HEADS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    u = table(spark, d, "documents").where("source is not null").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.concat(head, F.lit(b" ")).alias("content"))
+    return accept(u, ["source"], "doc_id", "size", 20_000, 30).select("source", "doc_id", "running", sniff(F.col("content")).alias("kind"), "accepted")
 
 
 @query()
 def slide_record_parse(spark, d):
-    rows = table(spark, d, "ppt_import").select("import_id", F.split(fold_code(F.col("source_text")), "\n").alias("l"), "source_file", "source_slide")
+    rows = spread(table(spark, d, "ppt_import").select("import_id", "source_text", "source_file", "source_slide")).withColumn("l", F.split(fold_code(F.col("source_text")), "\n"))
     return rows.select("import_id", *[c.alias(f) for f, c in R.slide_record(F.col("l"), F.col("source_file"), F.col("source_slide")).items()])
 
 
@@ -305,11 +357,12 @@ def safe_names(spark, d):
     return table(spark, d, "labels_example").select("label_id", safe_name(F.col("image_path")).alias("safe_name"))
 
 
-@query("select source_slide, 'ppt/media/image' || source_slide || '.png' part from (select distinct source_slide from ppt_import)")
+@query("select import_id, i.file_name file_name, 'ppt/media/' || i.file_name part from (select import_id, unnest(images) i from ppt_import) where i.file_name <> '' and not contains(i.file_name, '..')")
 def part_paths(spark, d):
-    slides = table(spark, d, "ppt_import").select("source_slide").distinct()
+    """Parts that slides refer to from their own folder."""
+    named = table(spark, d, "ppt_import").select("import_id", "source_slide", F.explode("images").alias("i")).select("import_id", "source_slide", "i.file_name").where((F.col("file_name") != "") & ~F.col("file_name").contains(".."))
     base = F.concat(F.lit("ppt/slides/slide"), F.col("source_slide").cast("string"), F.lit(".xml"))
-    return slides.select("source_slide", resolve(base, F.concat(F.lit("../media/./image"), F.col("source_slide").cast("string"), F.lit(".png"))).alias("part"))
+    return named.select("import_id", "file_name", resolve(base, F.concat(F.lit("..\\media/./x/../"), "file_name")).alias("part"))
 
 
 @query(
@@ -330,20 +383,12 @@ def training_manifest(spark, d):
 )
 def display_order(spark, d):
     i = table(spark, d, "ppt_import").select("import_id", F.explode("images").alias("i")).select("import_id", "i.image_type", "i.file_name").distinct()
-    from siftmill.operators.mlops import top_per_group
-
-    return top_per_group(i, ["import_id"], [role_order(F.col("image_type")), F.col("file_name"), F.col("image_type")], 1_000_000)
+    return i.withColumn("place", F.row_number().over(W.partitionBy("import_id").orderBy(role_order(F.col("image_type")), "file_name", "image_type")))
 
 
-@query("select label_id, '/' || regexp_replace(coalesce(image_path, ''), ' ', '%20', 'g') url from labels_example where regexp_matches(coalesce(image_path, ''), '^[A-Za-z0-9_. -]*$')")
+@query("select label_id, '/' || url_encode(coalesce(image_path, '')) url from labels_example")
 def quoted_urls(spark, d):
-    plain = table(spark, d, "labels_example").where(F.coalesce("image_path", F.lit("")).rlike("^[A-Za-z0-9_. -]*$"))
-    return plain.select("label_id", F.concat(F.lit("/"), ids.url_quote(F.coalesce("image_path", F.lit("")))).alias("url"))
-
-
-@query()
-def quoted_paths(spark, d):
-    """The URL of every label's path; ``quoted_urls`` holds those of plain ASCII, which are all its SQL can say."""
+    """The URL of every label's path."""
     return table(spark, d, "labels_example").select("label_id", F.concat(F.lit("/"), ids.url_quote(F.coalesce("image_path", F.lit("")))).alias("url"))
 
 
@@ -355,4 +400,78 @@ def import_summary(spark, d):
     return i.agg(F.count("*").alias("imports"), F.count_distinct("source_file").alias("files"), F.coalesce(F.sum(F.size("images")), F.lit(0)).cast("bigint").alias("images"), F.substring(F.max("imported_at").cast("string"), 1, 19).alias("latest"))
 
 
-_ = stem
+_SHOWN = "case i.image_type when 'DefectMapPost' then 0 when 'TypicalDefectImage1' then 1 when 'TypicalDefectImage2' then 2 when 'AddScanDefectMapGallary' then 3 when 'AddScanDefectMapGallary1' then 4 when 'DefectBarChart' then 5 when 'DefectMapPre' then 6 when 'DefectParetoChart' then 7 when 'DefectTrendChart' then 8 when 'DieStack' then 9 when 'EDXDefectImage' then 10 when 'MoreImage' then 11 when 'TypicalMap' then 12 when 'TypicalMap2' then 13 else 99 end"
+
+
+@query(
+    f"""with i as (select distinct upper({sql_strip('dn_no')}) dn_no, i.image_type t, i.file_name n, {_SHOWN} o from (select dn_no, unnest(images) i from ppt_import) where {sql_strip("coalesce(dn_no, '')")} <> ''),
+    p as (select *, upper({SQL_ID}) k from payload_parser), r as (select k dn_no, arg_min(machine, ord) filter (where {sql_present('machine')} is not null) machine from p where k <> '' group by 1)
+    select i.dn_no, r.dn_no is not null has_record, any_value(machine) machine, string_agg(n, '|' order by o, n, t) images from i left join r using (dn_no) group by 1, 2"""
+)
+def record_details(spark, d):
+    """Each record number with images: its record and its images in order of display."""
+    images = table(spark, d, "ppt_import").select("dn_no", F.explode("images").alias("i")).select("dn_no", "i.image_type", "i.file_name")
+    out = R.with_images(R.merge_points(table(spark, d, "payload_parser")).select("dn_no", "machine"), images)
+    return out.select("dn_no", "has_record", "machine", F.array_join(F.transform("images", lambda i: i["file_name"]), "|").alias("images"))
+
+
+@query(
+    """with f as (select coalesce(site, '') site, source_file, count(*) slides, max(imported_at) latest from ppt_import group by 1, 2)
+    select site, source_file, slides, strftime(latest, '%Y-%m-%d %H:%M:%S') latest, (row_number() over (partition by site order by latest desc, source_file))::int place from f"""
+)
+def import_history(spark, d):
+    """Imported files of each site, the newest first."""
+    files = table(spark, d, "ppt_import").groupBy(F.coalesce("site", F.lit("")).alias("site"), "source_file").agg(F.count("*").alias("slides"), F.max("imported_at").alias("latest"))
+    place = F.row_number().over(W.partitionBy("site").orderBy(F.desc("latest"), "source_file"))
+    return files.select("site", "source_file", "slides", F.substring(F.col("latest").cast("string"), 1, 19).alias("latest"), place.alias("place"))
+
+
+@query(f"select ord, coalesce(nullif({SQL_ID}, ''), 'UNKNOWN') id, coalesce(bad_wafers, 0)::double score, coalesce(nullif(bad_wafers, 0), 1)::double old_score from payload_parser")
+def served_hits(spark, d):
+    hits = table(spark, d, "payload_parser").select("ord", R.record_id(F.col("dn_no"), F.col("record_id"), F.col("point_id")).alias("id"), F.col("bad_wafers").cast("double").alias("score"))
+    return hits.select("ord", T.served_id(F.col("id")).alias("id"), T.served_score(F.col("score")).alias("score"), T.served_score(F.col("score"), compat=True).alias("old_score"))
+
+
+@query(
+    """select doc_id knowledge_id, coalesce(source, '') || chr(10) || coalesce(lang, '') || chr(10) || concat_ws(' ', lot_id, dn_no) || chr(10) || coalesce(text, '') || chr(10) || concat_ws('；', dn_no, lot_id) || chr(10) || '' document_text from documents"""
+)
+def note_texts(spark, d):
+    """Documents as knowledge notes: the text that stands for each in a search."""
+    n = table(spark, d, "documents").select(
+        F.col("doc_id").alias("knowledge_id"), F.col("source").alias("title"), F.col("lang").alias("organization"), F.array("lot_id", "dn_no").alias("topics"), F.col("text").alias("summary_zh"),
+        F.array("dn_no", "lot_id").alias("analysis_methods"), F.lit(None).cast("string").alias("limitations"),
+    )
+    return E.document_text(n)
+
+
+@query(
+    f"""with ids as (select distinct upper({sql_strip('dn_no')}) k from vectors where modality = 'binmap' and not {sql_missing('dn_no')}) select ord, upper({sql_strip('dn_no')}) dn_no from payload_parser where upper({sql_strip('dn_no')}) in (select k from ids)"""
+)
+def listed_ids(spark, d):
+    """Points of the records on a list, here those with a map."""
+    listed = table(spark, d, "vectors").where((F.col("modality") == "binmap") & present(F.col("dn_no")).isNotNull()).select(ids.normalize_dn(F.col("dn_no")).alias("dn_no"))
+    return table(spark, d, "payload_parser").select("ord", ids.normalize_dn(F.col("dn_no")).alias("dn_no")).join(listed, "dn_no", "left_semi").select("ord", "dn_no")
+
+
+@query(
+    f"""with o as (select upper({sql_strip('dn_no')}) k, arg_min(machine, ord) machine from payload_parser where not {sql_missing('dn_no')} group by 1), n as (select upper({sql_strip('dn_no')}) k, arg_max(machine, import_id) machine from ppt_import where not {sql_missing('dn_no')} group by 1)
+    select k, coalesce(n.machine, '?') machine, 'import' side from n union all select k, coalesce(machine, '?'), 'text' from o where k not in (select k from n)"""
+)
+def overlaid_records(spark, d):
+    """Records of texts under those of imports: an import takes the place of the text's record."""
+    key = ids.normalize_dn(F.col("dn_no")).alias("k")
+    old = table(spark, d, "payload_parser").where(present(F.col("dn_no")).isNotNull()).groupBy(key).agg(F.min_by("machine", F.when(F.col("machine").isNotNull(), F.col("ord"))).alias("machine")).withColumn("side", F.lit("text"))
+    new = table(spark, d, "ppt_import").where(present(F.col("dn_no")).isNotNull()).groupBy(key).agg(F.max_by("machine", F.when(F.col("machine").isNotNull(), F.col("import_id"))).alias("machine")).withColumn("side", F.lit("import"))
+    return R.upsert(old, new, ["k"]).select("k", F.coalesce("machine", F.lit("?")).alias("machine"), "side")
+
+
+@query(
+    f"""with t as (select text_content x, ord, row_number() over (order by ord) - 1 pos from payload_parser where text_content is not null and text_content <> ''), f as (select *, {sql_fold('x')} ft from t),
+    p as (select coalesce({sql_parsed('dn_no')}, 'local-' || pos) record_id, pos, {sql_parsed('machine')} machine from f), l as (select *, row_number() over (partition by record_id order by pos desc) r from p) select record_id, machine from l where r = 1"""
+)
+def csv_notes(spark, d):
+    """Notes written to a CSV file and read back: records by the number a note states, else by its place in the file."""
+    path = table_path(spark, "notes_csv")
+    rows = table(spark, d, "payload_parser").where("text_content is not null and text_content <> ''").select("ord", "text_content").coalesce(1).sortWithinPartitions("ord")
+    rows.select(F.col("text_content").alias("TEXT")).write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return read_texts(spark, path).select("record_id", "machine")

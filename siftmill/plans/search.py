@@ -11,9 +11,13 @@ from siftmill.functions import tokens as K
 from siftmill.functions.jsontext import clean_json
 from siftmill.operators import evidence as E
 from siftmill.operators import facets as X
+from siftmill import api
+from siftmill.functions.vector import finite
+from siftmill.operators import records as R
 from siftmill.operators import retrieval as S
-from siftmill.plans.records import quoted, sql_fold, sql_missing, sql_present, sql_strip
+from siftmill.plans.records import SQL_ID, quoted, sql_fold, sql_missing, sql_present
 from siftmill.plans.tables import table
+from siftmill.session import materialise, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +36,15 @@ def query(sql: str | None = None):
 
 # --- tokens in SQL ------------------------------------------------------------------------------------------------
 
-_STOP = ", ".join(map(quoted, K.STOPWORDS))
+# Fixed values, written here again so that the SQL doesn't follow the library: words without meaning, and the words that
+# phrases add.
+_STOP = "'查询', '查找', '帮我', '请', '一下', '相关', '记录', '信息', '异常', '哪些', '所有', '有没有', '对应'"
+_ADDED = (
+    ("右下角", "bottom right"), ("右下", "bottom right"), ("左下角", "bottom left"), ("左下", "bottom left"), ("右上角", "top right"), ("右上", "top right"),
+    ("左上角", "top left"), ("左上", "top left"), ("中心", "center"), ("中央", "center"), ("中间", "center"), ("随机分布", "random"), ("随机", "random"),
+    ("残留", "residue"), ("残渣", "residue"), ("划伤", "scratch"), ("刮伤", "scratch"), ("颗粒", "particle"), ("粒子", "particle"), ("机台", "machine"),
+    ("扫描机", "machine"), ("批次", "lotid"), ("批号", "lotid"),
+)
 
 
 def sql_sanitize(c: str) -> str:
@@ -40,13 +52,13 @@ def sql_sanitize(c: str) -> str:
     return f"trim(regexp_replace(regexp_replace({folded}, '[?!]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def sql_tokens(c: str, base: str, key: str) -> str:
-    """CTEs ``tok(key, t)``: all tokens of ``base.c``."""
-    added = " ".join(f"|| case when contains(n, {quoted(k)}) then {quoted(' ' + v)} else '' end" for k, v in K.SYNONYMS.items())
-    return f"""norm as (select {key} k, lower({sql_sanitize(c)}) n from {base}), ex as (select k, n {added} e from norm),
-    runs as (select k, unnest(regexp_extract_all(e, '({K.CODE}|{K.HAN})', 1)) r from ex),
-    cut as (select k, unnest(case when regexp_matches(r, '^[a-z0-9]') then [r] else list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: substr(r, i::bigint, 2))) end) t from runs),
-    tok as (select k, t from cut where t <> '' and t not in ({_STOP}))"""
+def sql_tokens(c: str, base: str, key: str, x: str = "") -> str:
+    """CTEs ``tok(key, t)``: all tokens of ``base.c``; ``x`` ends the names."""
+    added = " ".join(f"|| case when contains(n, '{k}') then ' {v}' else '' end" for k, v in _ADDED)
+    return f"""norm{x} as (select {key} k, lower({sql_sanitize(c)}) n from {base}), ex{x} as (select k, n {added} e from norm{x}),
+    runs{x} as (select k, unnest(regexp_extract_all(e, '([a-z0-9]+(?:[_.-][a-z0-9]+)*|[\\x{{4e00}}-\\x{{9fff}}]+)', 1)) r from ex{x}),
+    cut{x} as (select k, unnest(case when regexp_matches(r, '^[a-z0-9]') then [r] else list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: substr(r, i::bigint, 2))) end) t from runs{x}),
+    tok{x} as (select k, t from cut{x} where t <> '' and t not in ({_STOP}))"""
 
 
 def sql_pairs(c: str, base: str, key: str) -> str:
@@ -56,8 +68,9 @@ def sql_pairs(c: str, base: str, key: str) -> str:
 
 @query(f"with {sql_tokens('text', 'documents', 'doc_id')} select t token, count(*) n, count(distinct k) df from tok group by 1")
 def tokenize_counts(spark, d):
-    cut = table(spark, d, "documents").select("doc_id", F.explode(K.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
-    return cut.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("df"))
+    """How often each token stands, and in how many texts: counted in each text before anything is moved."""
+    cut = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(K.tokens(F.col("text"))).alias("token"))
+    return cut.groupBy("doc_id", "token").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("df"))
 
 
 @query(f"with {sql_pairs('text', 'documents', 'doc_id')} select t term, count(distinct k) df from pr group by 1")
@@ -70,24 +83,37 @@ def sanitize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", K.sanitize(F.col("text")).alias("clean"))
 
 
-_BM25 = f"""with qb as (select distinct t from (with {sql_tokens('s', '(select 0 id, ' + quoted(ASKED) + ' s)', 'id')} select t from tok)), {sql_tokens('text', 'documents', 'doc_id')},
- dl as (select doc_id k, coalesce(n, 0) dl from documents left join (select k, count(*) n from tok group by 1) c on doc_id = c.k), st as (select count(*) n, avg(dl) a from dl),
+def sql_bm25(base: str, key: str, text: str, asked: str) -> str:
+    """CTEs up to ``bm(k, score)``."""
+    return f"""{sql_tokens('s', '(select 0 id, ' + quoted(asked) + ' s)', 'id', 'q')}, qb as (select distinct t from tokq), {sql_tokens(text, base, key)},
+ dl as (select {key} k, coalesce(n, 0) dl from {base} left join (select k, count(*) n from tok group by 1) c on {key} = c.k), st as (select count(*) n, avg(dl) a from dl),
  tf as (select k, t, count(*) tf from tok where t in (select t from qb) group by 1, 2), df as (select t, count(*) df from tf group by 1),
- bm as (select k doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(a, 1.0)))) score from tf join df using (t) join dl using (k), st group by 1)"""
+ bm as (select k, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(a, 1.0)))) score from tf join df using (t) join dl using (k), st group by 1)"""
 
 
-@query(f"{_BM25} select doc_id, round(score, 6) score from bm where score > 0 order by score desc, doc_id limit 50")
+def sql_tfidf(base: str, key: str, text: str, asked: str) -> str:
+    """CTEs up to ``td(k, score)``."""
+    pairs = f"(select unnest(list_transform(range(1, length({quoted(asked)})), lambda i: substr(lower({quoted(asked)}), i::bigint, 2))) t)"
+    return f"""{sql_pairs(text, base, key)}, p as (select distinct k, t from pr), nd as (select count(*) n from {base}),
+ idf as (select t, ln(n / (1 + count(*))) idf from p, nd group by t, n), q as (select t, count(*)::double c from {pairs} group by 1),
+ qn as (select sqrt(sum(pow(c * idf, 2))) qn from idf join q using (t)), dn as (select k, sum(coalesce(c, 0) * idf * idf) d, sqrt(sum(idf * idf)) nn from p join idf using (t) left join q using (t) group by 1),
+ td as (select k, d / (nn * qn) score from dn, qn where nn > 0 and qn > 0 and d / (nn * qn) > 0)"""
+
+
+def sql_fused(channels: dict[str, str]) -> str:
+    """CTE ``f(k, score, channels)`` of the first 50 of each channel, (k, s) each."""
+    weights = {"dense": 0.45, "lexical": 0.30, "bigram": 0.15, "field": 0.10}
+    union = " union all ".join(f"select '{c}' c, {weights[c]} w, k, round(s, 9) s from ({q})" for c, q in channels.items())
+    return f"ch as ({union}), rk as (select *, row_number() over (partition by c order by s desc, k) r from ch), f as (select k, sum(w / (60 + r)) score, array_to_string(list(c order by c), ',') channels from rk where r <= 50 group by 1)"
+
+
+@query(f"with {sql_bm25('documents', 'doc_id', 'text', ASKED)} select k doc_id, round(score, 6) score from bm where score > 0 order by score desc, k limit 50")
 def bm25_topk(spark, d):
     hits = S.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ASKED)
     return S.top(hits, "doc_id", 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
-_TFIDF = f"""with {sql_pairs('text', 'documents', 'doc_id')}, p as (select distinct k, t from pr), nd as (select count(*) n from documents),
- idf as (select t, ln(n / (1 + count(*))) idf from p, nd group by t, n), q as (select t, count(*)::double c from (select unnest(list_transform(range(1, length({quoted(ASKED)})), lambda i: substr({quoted(ASKED)}, i::bigint, 2))) t) group by 1),
- qn as (select sqrt(sum(pow(c * idf, 2))) qn from idf join q using (t)), dn as (select k, sum(coalesce(c, 0) * idf * idf) d, sqrt(sum(idf * idf)) nn from p join idf using (t) left join q using (t) group by 1)"""
-
-
-@query(f"{_TFIDF} select k doc_id, round(d / (nn * qn), 6) score from dn, qn where nn > 0 and qn > 0 and d / (nn * qn) > 0 order by d / (nn * qn) desc, k limit 50")
+@query(f"with {sql_tfidf('documents', 'doc_id', 'text', ASKED)} select k doc_id, round(score, 6) score from td order by score desc, k limit 50")
 def tfidf_topk(spark, d):
     hits = S.tfidf(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ASKED)
     return S.top(hits, "doc_id", 50).select("doc_id", F.round("score", 6).alias("score"))
@@ -116,52 +142,77 @@ def dense_topk_threshold(spark, d):
     return S.top(hits, "vec_id", 50).select("vec_id", F.round("score", 6).alias("score"))
 
 
-def _channels(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    lexical = S.bm25(docs, "doc_id", "text", ASKED)
-    pairs = S.tfidf(docs, "doc_id", "text", ASKED)
+@query(
+    f"""with {sql_bm25('documents', 'doc_id', 'text', ASKED)}, {sql_tfidf('documents', 'doc_id', 'text', ASKED)}, qv as (select embedding qe from embeddings order by vec_id limit 1),
+    """
+    + sql_fused(
+        {
+            "dense": "select vec_id k, list_cosine_similarity(embedding::double[], qe::double[]) s from embeddings, qv where list_cosine_similarity(embedding::double[], qe::double[]) >= 0.2",
+            "lexical": "select k, score s from bm where score > 0",
+            "bigram": "select k, score s from td",
+            "field": "select doc_id k, 1.0 s from documents where lot_id = 'MQ00017'",
+        }
+    )
+    + " select k doc_id, round(score, 9) score, channels from f"
+)
+def rrf_fusion(spark, d):
+    """All four channels over documents, those of one lot as the field channel."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lot_id")
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    dense = S.dense(vec, "doc_id", "embedding", _query_vector(spark, d), 0.0)
-    six = lambda h: h.select("doc_id", F.round("score", 9).alias("score"))
-    return {"dense": six(dense), "lexical": six(lexical), "bigram": six(pairs)}
+    channels = {
+        "dense": S.dense(vec, "doc_id", "embedding", _query_vector(spark, d), 0.2),
+        "lexical": S.bm25(docs, "doc_id", "text", ASKED),
+        "bigram": S.tfidf(docs, "doc_id", "text", ASKED),
+        "field": X.exact_or_squeezed(docs.select("doc_id", "lot_id"), {"lot_id": "MQ00017"}, "doc_id", "doc_id", 50).select("doc_id", F.lit(1.0).alias("score")),
+    }
+    return S.fuse_ranks(channels, "doc_id").select("doc_id", F.round("score", 9).alias("score"), F.array_join("channels", ",").alias("channels"))
 
 
-_RRF = (
-    _BM25
-    + f""", {_TFIDF[5:]}, qv as (select embedding from embeddings order by vec_id limit 1),
- ch as (select 'dense' c, 0.45 w, vec_id doc_id, round(list_cosine_similarity(e.embedding::double[], qv.embedding::double[]), 9) s from embeddings e, qv where list_cosine_similarity(e.embedding::double[], qv.embedding::double[]) >= 0
- union all select 'lexical', 0.30, doc_id, round(score, 9) from bm where score > 0 union all select 'bigram', 0.15, k, round(d / (nn * qn), 9) from dn, qn where nn > 0 and qn > 0 and d / (nn * qn) > 0),
- rk as (select *, row_number() over (partition by c order by s desc, doc_id) r from ch), f as (select doc_id, sum(w / (60 + r)) score, array_to_string(list(c order by c), ',') channels from rk where r <= 50 group by 1)"""
-)
+#: A question that names one field (not one that answers it alone), a place and a defect; and what its phrases add to it.
+QUESTION = "类型Class3 中心 划伤 scratch residue"
+_WIDE = "类型class3 中心 划伤 scratch residue center scratch"
+_SEM = "modality = 'sem' and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 and trim(coalesce(dn_no, '')) <> ''"
 
 
-@query(f"{_RRF} select doc_id, round(score, 9) score, channels from f")
-def rrf_fusion(spark, d):
-    return S.fuse_ranks(_channels(spark, d), "doc_id").select("doc_id", F.round("score", 9).alias("score"), F.array_join("channels", ",").alias("channels"))
+def _records(spark, d) -> DataFrame:
+    merged = R.merge_points(table(spark, d, "payload_parser"), grains="grain_type")
+    return merged.select(F.col("dn_no").alias("record_id"), "text_content", "class_type", "machine", "defect_type", "platform", "matched_grains")
 
 
-_LIST = ", ".join(quoted(t) for t in ("wafer", "scratch", "residue", "edge"))
-_OVERLAP = f"""{sql_tokens('text', 'documents', 'doc_id')}, ov as (select k doc_id, count(distinct t) / 4.0 overlap from tok where t in ({_LIST}) group by 1)"""
+def _record_vectors(spark, d) -> DataFrame:
+    v = table(spark, d, "vectors").where((F.col("modality") == "sem") & (F.trim(F.coalesce("dn_no", F.lit(""))) != "") & finite(F.col("vector"), 64) & F.exists("vector", lambda x: x != 0))
+    return v.groupBy(F.upper(F.trim("dn_no")).alias("record_id")).agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("vec_id"))
 
 
 @query(
-    f"""{_RRF}, tk2 as (select k doc_id, count(distinct t) / 4.0 overlap from tok where t in ({_LIST}) group by 1), j as (select f.doc_id, score, coalesce(overlap, 0) ov, case when coalesce(source, '') = 'legacy_csv' then 1.0 when contains('legacy_csv', coalesce(source, '~')) then 0.7 else 0.0 end fs
-    from f join documents d on d.doc_id = f.doc_id left join tk2 on tk2.doc_id = f.doc_id)
-    select doc_id, round(0.5 * score / max(score) over () + 0.35 * fs + 0.1 * ov + 0.05 * case when fs > 0 then 1.0 else 0.5 end, 6) final from j order by 0.5 * score / max(score) over () + 0.35 * fs + 0.1 * ov + 0.05 * case when fs > 0 then 1.0 else 0.5 end desc, doc_id limit 20"""
+    f"""with pts as (select *, upper({SQL_ID}) k0 from payload_parser), rec as (select k0 rid, arg_max(text_content, (length(text_content), -ord)) filter (where {sql_present('text_content')} is not null) txt,
+    arg_min(class_type, ord) filter (where {sql_present('class_type')} is not null) class_type, list(distinct grain_type) filter (where {sql_present('grain_type')} is not null) grains from pts where k0 <> '' group by 1),
+    {sql_bm25('rec', 'rid', 'txt', _WIDE)}, {sql_tfidf('rec', 'rid', 'txt', _WIDE)}, rv as (select upper(trim(dn_no)) rid, arg_min(vector, vec_id) v, min(vec_id) vid from vectors where {_SEM} group by 1), q1 as (select v qv from rv order by vid limit 1),
+    """
+    + sql_fused(
+        {
+            "lexical": "select k, score s from bm where score > 0",
+            "bigram": "select k, score s from td",
+            "dense": "select rid k, list_cosine_similarity(v::double[], qv::double[]) s from rv, q1 where list_cosine_similarity(v::double[], qv::double[]) >= 0.5",
+            "field": "select rid k, 1.0 s from rec where class_type = 'Class3'",
+        }
+    )
+    + f""", {sql_tokens('s', '(select 0 id, ' + quoted(QUESTION) + ' s)', 'id', 'z')}, ov as (select k, count(distinct t) / (select count(distinct t) from tokz)::double o from tok where t in (select t from tokz) group by 1),
+    j as (select rid, score, case when lower({sql_fold("coalesce(class_type, '')")}) = 'class3' then 1.0 when lower({sql_fold("coalesce(class_type, '')")}) <> '' and contains('class3', lower({sql_fold("coalesce(class_type, '')")})) then 0.7 else 0.0 end fs, coalesce(o, 0) o,
+    coalesce(list_max(list_transform(grains, lambda g: case g when 'defect_focus' then 1.0 when 'machine_focus' then 0.9 when 'summary' then 0.8 when 'keywords' then 0.8 when 'natural_language' then 0.7 when 'full' then 0.6 else 0.5 end)), 0.0) gs
+    from f join rec on f.k = rid left join ov on ov.k = rid), z as (select rid, 0.5 * score / max(score) over () + 0.35 * fs + 0.1 * o + 0.05 * gs final from j)
+    select rid record_id, round(final, 6) final from z order by round(final, 9) desc, rid limit 20"""
 )
 def hybrid_search(spark, d):
-    """Dense, BM25 and character-pair ranks fused, then reranked by fields, tokens and grains."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    fused = S.fuse_ranks(_channels(spark, d), "doc_id")
-    hits = docs.join(F.broadcast(fused), "doc_id")  # at most 150 rows
-    legacy = F.col("source") == "legacy_csv"
-    field = F.when(legacy, 1.0).otherwise(0.0)
-    overlap = S.overlap_score(F.col("text"), ["wafer", "scratch", "residue", "edge"])
-    grain = S.grain_score(F.array(F.when(legacy, F.lit("full")).otherwise(F.lit("other"))))
-    ranked = S.rerank(hits, F.coalesce(field, F.lit(0.0)), overlap, grain)
-    return ranked.orderBy(F.desc("final"), "doc_id").limit(20).select("doc_id", F.round("final", 6).alias("final"))
+    """The application's search: records of ``payload_parser`` by words, character pairs, vectors and fields, fused and reranked by
+    fields, tokens and their points' grains."""
+    corpus = materialise(_records(spark, d), "corpus")
+    vectors = _record_vectors(spark, d)
+    found = api.search(corpus, QUESTION, vectors, vectors.orderBy("vec_id").first()["vector"], limit=20)
+    return found.rows.select("record_id", F.round("score", 6).alias("final"))
 
 
+_IMPORTANCE = {"platform": 1.6, "defect_type": 1.8, "machine": 2.0}
 _CONDS = {"platform": "QX040LP", "defect_type": "PitCluster_1", "machine": "VLSCA01"}
 
 
@@ -171,8 +222,8 @@ def _sq(c: str) -> str:
 
 @query(
     "select ord, round(("
-    + " + ".join(f"{S.FIELD_WEIGHTS[f]} * case when {_sq(f)} = {_sq(quoted(v))} then 1.0 when {_sq(f)} <> '' and (contains({_sq(f)}, {_sq(quoted(v))}) or contains({_sq(quoted(v))}, {_sq(f)})) then 0.7 else 0.0 end" for f, v in _CONDS.items())
-    + f") / {sum(S.FIELD_WEIGHTS[f] for f in _CONDS)}, 6) field_score from payload_parser"
+    + " + ".join(f"{_IMPORTANCE[f]} * case when {_sq(f)} = {_sq(quoted(v))} then 1.0 when {_sq(f)} <> '' and (contains({_sq(f)}, {_sq(quoted(v))}) or contains({_sq(quoted(v))}, {_sq(f)})) then 0.7 else 0.0 end" for f, v in _CONDS.items())
+    + f") / {sum(_IMPORTANCE[f] for f in _CONDS)}, 6) field_score from payload_parser"
 )
 def field_scores(spark, d):
     return table(spark, d, "payload_parser").select("ord", F.round(S.field_score(_CONDS), 6).alias("field_score"))
@@ -367,16 +418,16 @@ def baseline_with_regions(spark, d):
     return S.ranked(S.replace_scores(base, local, "import_id"), "import_id").select("import_id", F.round("score", 6).alias("score"), "has_regions", "rank")
 
 
-@query("select import_id, coalesce(scanned_wafers, 0)::double metric, (row_number() over (order by coalesce(scanned_wafers, 0) desc, import_id))::int place from (select * from ppt_import order by import_id limit 100)")
+@query(
+    "select import_id, coalesce(scanned_wafers, 0)::double metric, (row_number() over (order by coalesce(scanned_wafers, 0) desc, import_id))::int place from (select * from ppt_import order by coalesce(bad_wafers, 0) desc, import_id limit 100)"
+)
 def metric_rerank(spark, d):
-    first = table(spark, d, "ppt_import").orderBy("import_id").limit(100)
-    return S.by_metric(first, "scanned_wafers", "import_id").select("import_id", "metric", "place")
+    """A result list (the hundred records with most bad wafers) in the order of another measure."""
+    hits = table(spark, d, "ppt_import").select("import_id", "scanned_wafers", F.coalesce("bad_wafers", F.lit(0)).cast("double").alias("score"))
+    return S.by_metric(S.top(hits, "import_id", 100), "scanned_wafers", "import_id").select("import_id", "metric", "place")
 
 
 @query()
 def routed_questions(spark, d):
     """Conditions and route of each note taken as a question."""
     return S.route(table(spark, d, "payload_parser"), "ord", "text_content")
-
-
-_ = sql_strip

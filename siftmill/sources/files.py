@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siftmill.functions.paths import EXTENSIONS, image_role
 from siftmill.operators.records import first_rows, parse_records
+from siftmill.session import broadcast_if_small, materialise
 
 NOTE = "knowledge_id string, title string, organization string, url string, topics array<string>, summary_zh string, analysis_methods array<string>, limitations string"
 LEDGER = "file_name string, sha256 string, imported_at string, slide_count int, record_count int, image_count int, records array<struct<dn_no:string,slide:int,images:array<struct<image_type:string,file_name:string>>>>"
@@ -27,15 +29,29 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").csv(path)
+    """CSV with a header; each file begins with a byte-order mark, as spreadsheets expect of UTF-8: it stands before the first
+    column's name, and readers of ``read_texts`` take it off."""
+    first, *rest = rows.columns
+    rows.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order of their files: rows of each task are counted, and numbered from where the
+    tasks before it end."""
+    at = materialise(rows.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "numbered")
+    counts = at.groupBy("__p").agg(F.count("*").alias("n"))
+    before = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__s"))  # one row a task
+    nth = F.row_number().over(W.partitionBy("__p").orderBy("__m")) - 1
+    return at.withColumn("__r", nth).join(broadcast_if_small(before), "__p").withColumn(out, F.col("__s") + F.col("__r")).drop("__p", "__m", "__s", "__r")
 
 
 def read_texts(spark: SparkSession, path: str, imported: DataFrame | None = None) -> DataFrame:
-    """Records of a CSV of notes: column ``TEXT``, else the first; parsed, called ``local-n`` by their position among texts that
-    aren't NULL (ranked by file offset order within one file). ``imported(record_id, ...)`` replaces rows of the same id."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """Records of a CSV of notes: column ``TEXT``, else the first; parsed, called ``local-n`` by their place among the texts that
+    aren't NULL. Of records of one number the last counts. ``imported(record_id, ...)`` replaces rows of the same id."""
+    rows = spark.read.option("ignoreLeadingWhiteSpace", "false").csv(path, header=True, multiLine=True, escape='"')
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     column = "TEXT" if "TEXT" in rows.columns else rows.columns[0]
-    texts = rows.select(F.col(f"`{column}`").alias("text_content")).where("text_content is not null").withColumn("ord", F.monotonically_increasing_id())
+    texts = numbered(rows.select(F.col(f"`{column}`").alias("text_content")).where("text_content is not null"), "ord")
     records = parse_records(texts, "text_content").withColumn("record_id", F.coalesce("dn_no", F.concat(F.lit("local-"), F.col("ord").cast("string"))))
     last = first_rows(records, ["record_id"], [F.desc("ord")])
     if imported is None:

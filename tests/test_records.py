@@ -55,7 +55,17 @@ def test_canonicalise_and_chunks(spark):
     assert (r.dn_no, r.record_id, r.defect_type) == ("DN-20230216-01", "DN-20230216-01", "Blister_1")
     chunks = df.select(R.text_chunks(df).alias("c")).first()["c"]
     assert len(chunks) == 1
-    assert R.describe(points(spark, [(1, "p", "DN-1", None, None, "M1", "—", 0)])).first()["description"] == "DN编号为DN-1；扫描机器为M1。"
+    assert R.describe(points(spark, [(1, "p", "DN-1", None, None, "M1", "—", 0)])).first()["description"] == "DN编号为DN-1；机器为M1。"
+    assert R.describe(points(spark, [(1, "p", None, None, None, None, None, 0)])).first()["description"] == "原始记录未保存描述文本。"
+    keyed = spark.createDataFrame([("UNKNOWN", "own", "other", None), (None, " ", "x", "y"), (None, None, None, "y")], "text_content string, description string, TEXT string, text string")
+    assert [r.text_content for r in R.canonicalise(keyed).collect()] == ["own", "x", "y"]
+
+
+def test_with_images(spark):
+    records = spark.createDataFrame([("dn-1 ", "M1")], "dn_no string, machine string")
+    images = spark.createDataFrame([("DN-1", "MoreImage", "z.png"), ("dn-1", "DefectMapPost", "b.png"), ("DN-1", "Odd", "a.png"), ("DN-1", "Odd", "a.png"), ("DN-2", "Odd", "q.png"), (" ", "Odd", "q.png"), (None, "Odd", "q")], "dn_no string, image_type string, file_name string")
+    got = {r.dn_no: (r.has_record, r.machine, [i.file_name for i in r.images]) for r in R.with_images(records, images).collect()}
+    assert got == {"DN-1": (True, "M1", ["b.png", "z.png", "a.png"]), "DN-2": (False, None, ["q.png"])}
 
 
 def test_upsert_and_imports(spark):

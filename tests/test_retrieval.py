@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,29 @@ def test_fusion_keeps_lexical_only_and_rerank_turns(spark):
 
 def test_grain_score(spark):
     df = spark.createDataFrame([(["summary", "full"],), ([],), (["odd"],), (None,)], "g array<string>")
-    assert [r.s for r in df.select(S.grain_score(F.col("g")).alias("s")).collect()] == [1.0, 0.0, 0.5, 0.0]
+    assert [r.s for r in df.select(S.grain_score(F.col("g")).alias("s")).collect()] == [0.8, 0.0, 0.5, 0.0]
+    assert S.GRAIN_WEIGHTS == {"defect_focus": 1.0, "machine_focus": 0.9, "summary": 0.8, "keywords": 0.8, "natural_language": 0.7, "full": 0.6}
+
+
+def test_rings_and_cells_of_a_picture(spark):
+    """Against the picture's own middle, corners and thirds, in numpy."""
+    rng = np.random.default_rng(3)
+    w, h = 40, 30
+    pts = {"a": rng.integers(0, (w, h), (200, 2)), "b": np.array([[0, 0], [39, 29], [19, 14]]), "c": rng.integers((0, 0), (9, 9), (50, 2))}
+    df = spark.createDataFrame([(k, int(x), int(y)) for k, v in pts.items() for x, y in v], "img string, x int, y int")
+    rings = {(r.img, r.bin): r.share for r in I.radial_histogram(df, "img", "x", "y", F.lit(w), F.lit(h)).collect()}
+    cells = {r.img: r for r in I.grid_dispersion(df, "img", "x", "y", F.lit(w), F.lit(h)).collect()}
+    for k, v in pts.items():
+        radius = np.sqrt(((v - [(w - 1) / 2, (h - 1) / 2]) ** 2).sum(axis=1)) / math.hypot((w - 1) / 2, (h - 1) / 2)
+        want = np.histogram(radius, bins=np.linspace(0, 1, 9))[0] / len(v)
+        assert [rings.get((k, i), 0) for i in range(8)] == pytest.approx(list(want), abs=1e-9)
+        n = np.zeros((3, 3), int)
+        np.add.at(n, (np.minimum(2, v[:, 1] * 3 // h), np.minimum(2, v[:, 0] * 3 // w)), 1)
+        p = n[n > 0] / len(v)
+        low, high = np.percentile(v[:, 0], [5, 95])
+        assert cells[k].active_cells == (n >= max(4, math.ceil(0.06 * len(v)))).sum() and cells[k].dispersion == pytest.approx(-(p * np.log(p)).sum() / math.log(9), abs=1e-6)
+        assert cells[k].x_span == pytest.approx((high - low + 1) / w, abs=1e-6)
+    assert not cells["c"].spread_all_over
 
 
 def test_filters(spark):
@@ -122,7 +145,7 @@ def test_api_search(spark):
     for bad in ("", "?!。"):
         with pytest.raises(ValueError):
             api.search(rows, bad)
-    assert api.explain("右下角残留")["mode"] == "hybrid"
+    assert api.explain(spark, "右下角残留")["mode"] == "hybrid"
     assert api.health({"a": rows})["a"] == {"ok": True, "rows": 3}
 
 

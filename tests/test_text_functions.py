@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftmill.functions import asked, box, ids, jsontext, paths, tokens
+from siftmill.functions.parse import parse_fields
 from siftmill.functions import vector as V
 from siftmill.functions.text import dn_of, fold_code, is_missing
 
@@ -54,7 +55,7 @@ def test_quoted_paths(spark, small):
     from siftmill.plans.tables import table
 
     want = {r.label_id: "/" + quote(r.image_path or "", safe="") for r in table(spark, small, "labels_example").collect()}
-    got = QUERIES["quoted_paths"](spark, small).collect()
+    got = QUERIES["quoted_urls"](spark, small).collect()
     assert len(got) == len(want) and {r.label_id: r.url for r in got} == want and any("%2F" in r.url for r in got)
 
 
@@ -94,16 +95,39 @@ def test_boxes(spark):
     assert spark.range(1).select(box.overlap(a, b).alias("o")).first()["o"] == 0.5
 
 
-def test_questions():
-    assert asked.conditions("平台为CL040LP") == {"platform": "CL040LP"}
-    assert asked.conditions("CL040LP平台") == {"platform": "CL040LP"} and asked.is_exact("CL040LP平台")
-    got = asked.conditions("哪些 Buried_Particle_5 发生在 CL028HK")
-    assert got["defect_type"] == "Buried_Particle_5" and got["platform"] == "CL028HK"
-    assert asked.conditions("右下角残留") == {} and not asked.is_exact("右下角残留")
-    assert not asked.is_exact("Residue缺陷") and asked.is_exact("Residue_36缺陷")
-    assert asked.conditions("") == {}
-
-
-@given(st.text(max_size=40))
-def test_questions_never_fail(text):
-    assert isinstance(asked.is_exact(text), bool)
+QUESTIONS = {
+    "平台为CL040LP": ({"platform": "CL040LP"}, True),
+    "CL040LP平台": ({"platform": "CL040LP"}, True),
+    "哪些 Buried_Particle_5 发生在 CL028HK": ({"defect_type": "Buried_Particle_5", "platform": "CL028HK"}, True),
+    "右下角残留": ({}, False),
+    "Residue缺陷": ({"defect_type": "Residue"}, False),
+    "Residue_36缺陷": ({"defect_type": "Residue_36"}, True),
+    "缺陷类型：Residue": ({"defect_type": "Residue"}, True),
+    "": ({}, False),
+    "请查 dn-20230216-01。": ({"dn_no": "dn-20230216-01"}, True),
+    "LotID：ＡＢ12.01，机台 VLSCA01": ({"lot_id": "AB12.01", "machine": "VLSCA01"}, True),
+    "批次等于BP000003": ({"lot_id": "BP000003"}, True),
+    "Lot ID(批次编号)为AB12345.0067": ({"lot_id": "AB12345.0067"}, True),
+    "产品ID=2204K02": ({"product_id": "2204K02"}, False),
+    "缺陷类型为Class3": ({"class_type": "Class3", "defect_type": "Class3"}, True),
+    "位于QX090EF平台下VI_POSTCMP_BF站点": ({"platform": "QX090EF", "station": "VI_POSTCMP_BF"}, True),
+    "Map位置 Edge and Center 的记录": ({"map_location": "Edge and Center"}, True),
+    "类别 Class5 wafer": ({"class_type": "Class5"}, False),
+    "lots of scratches": ({}, False),
+    "Tech: TR055BC": ({"platform": "TR055BC"}, True),
+}
+
+
+def test_questions(spark):
+    df = spark.createDataFrame([(q,) for q in [*QUESTIONS, None]], "q string").withColumn("c", asked.conditions(F.col("q")))
+    got = {r.q: (dict(r.c), r.e) for r in df.select("q", "c", asked.is_exact(F.col("q"), F.col("c")).alias("e")).collect()}
+    assert got == QUESTIONS | {None: ({}, False)}
+    assert asked.understand(spark, "CL040LP平台") == ({"platform": "CL040LP"}, True)
+
+
+def test_marks_are_found_inside_one_another_and_values_in_their_clause(spark):
+    text = "核心缺陷类型为A_1，EDX背景，EDX背景是Cu Si，扫描机器VLS于2023/2/16 10:34:02完成了扫描，产品名称无，产品编号：P-1；__QX1 平台的S_1站点。"
+    df = spark.createDataFrame([(text,), ("平台" * 3000 + "x",), (None,)], "t string")
+    a, b, c = (r.p for r in df.select(parse_fields(F.col("t")).alias("p")).collect())
+    assert (a.defect_type, a.edx_bg, a.machine, a.scan_time, a.product_id, a.platform, a.station) == ("A_1", "Cu Si", "VLS", "2023/2/16 10:34:02", "P-1", "QX1", "S_1")
+    assert b.platform is None and c.dn_no is None and c.total_wafers is None
