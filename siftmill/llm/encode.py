@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftmill.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -243,7 +245,7 @@ def _encoder(path: str, counts: bool) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def _run(rows: DataFrame, keep: list[str], text: str, path: str, counts: bool) -> DataFrame:
-    base = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__text"))
+    base = spread(rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__text")))
     fields = [T.StructField(f"c{i}", base.schema[f"c{i}"].dataType) for i in range(len(keep))]
     kind = T.LongType() if counts else T.ArrayType(T.IntegerType(), True)
     out = base.mapInArrow(_encoder(path, counts), T.StructType([*fields, T.StructField("out", kind)]))

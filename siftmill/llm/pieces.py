@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.llm.encode import VOCABULARY, Bpe, steps, tokenizer
+from siftmill.session import spread
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, WORD, CHARACTER, NEVER = 6, 5, 4, 3, 2, 1, 0, -1
 # Signs that end a sentence or a clause; the ASCII ones only before a blank.
@@ -207,6 +208,6 @@ def split_texts(
     """
     if not 0 <= overlap + slack < limit // 2:
         raise ValueError("overlap and slack must leave half the limit")
-    base = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    base = spread(rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     out = base.mapInArrow(_cutter(path, limit, overlap, slack, with_text), T.StructType([base.schema["key"], *OUT.fields]))
     return out.withColumnRenamed("key", key) if key != "key" else out

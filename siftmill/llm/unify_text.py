@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.functions.text import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, HYPHENS, INVISIBLE, SPACES, radical_pairs
+from siftmill.session import spread
 
 LOOKALIKES = CYRILLIC_LOOKALIKES | GREEK_LOOKALIKES
 # Full-width signs that Chinese and Japanese text uses as its own punctuation.
@@ -199,7 +200,7 @@ def unify_text(rows: DataFrame, key: str, text: str, only_changed: bool = False,
     ``only_changed`` returns just the rows with changes. Other columns aren't read. Texts that pass the quick
     check never leave the JVM.
     """
-    pairs = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    pairs = spread(rows.select(F.col(key).alias("__key"), F.col(text).alias("__text")))
     schema = T.StructType([pairs.schema["__key"], T.StructField("__new", T.StringType()), T.StructField("__changes", T.IntegerType())])
     moved = pairs.where(quick_check(F.col("__text"))).mapInArrow(_unify, schema)
     if only_changed:
