@@ -7,6 +7,7 @@ are matched as a bipartite graph by how often their values agree on paired lines
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -30,8 +31,6 @@ ALIKE = 0.6
 SKETCH = 64
 #: What parts the leaves of a field that came as a list; ``；`` where nothing else is said.
 SEPARATORS = {"edx_elements": "/", "edx_bg": "/"}
-#: Names of fields a corpus may have for the unified table.
-MAX_NAMES = 20_000
 REPORT = "feed string, file_name string, change string, field_name string, former_name string"
 
 
@@ -149,6 +148,29 @@ def _score(gone: str, new: str, both: int, equal: int, shared: float, known: boo
     return likeness if likeness >= 0.9 else 0.0
 
 
+def _pairs(score: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """The matching of greatest total score; fields that no score ties are matched apart."""
+    home: dict[tuple[int, str], tuple[int, str]] = {}
+
+    def root(x: tuple[int, str]) -> tuple[int, str]:
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+
+    for a, b in score:
+        home[root((0, a))] = root((1, b))
+    parts: dict[tuple[int, str], list[tuple[str, str]]] = {}
+    for p in sorted(score):
+        parts.setdefault(root((0, p[0])), []).append(p)
+    out = []
+    for part in parts.values():
+        rows, cols = sorted({a for a, _ in part}), sorted({b for _, b in part})
+        # As many empty columns as rows: a row may stay alone.
+        cost = [[-score.get((a, b), 0.0) for b in cols] + [0.0] * len(rows) for a in rows]
+        out += [(rows[i], cols[j]) for i, j in enumerate(assignment(cost)) if j < len(cols) and (rows[i], cols[j]) in score]
+    return out
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Changes of each file, from its candidate pairs and its gone, new and retyped fields."""
     for batch in batches:
@@ -158,9 +180,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = {i["new"]: i["kind"] for i in items if i["what"] == "added"}
             rows, cols = sorted(gone), sorted(new)
             score = {(i["gone"], i["new"]): _score(i["gone"], i["new"], i["both"], i["equal"], i["shared"], i["known"]) for i in items if i["what"] == "pair"}
-            size = max(len(rows), len(cols)) if rows and cols else 0
-            cost = [[-score.get((rows[i], cols[j]), 0.0) if i < len(rows) and j < len(cols) else 0.0 for j in range(size)] for i in range(size)]
-            pairs = [(rows[i], cols[j]) for i, j in enumerate(assignment(cost)) if i < len(rows) and j < len(cols) and score.get((rows[i], cols[j]), 0.0) > 0]
+            pairs = _pairs({p: v for p, v in score.items() if v > 0})
             found = [("retyped", i["new"], "") for i in items if i["what"] == "retyped"]
             found += [("renamed", b, a) for a, b in pairs]
             found += [("retyped", b, "") for a, b in pairs if gone[a] and new[b] and gone[a] != new[b]]
@@ -195,13 +215,16 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     gone = changed.where("what = 'removed'").select("feed", "no", F.col("field").alias("gone"))
     new = changed.where("what = 'added'").select("feed", "no", F.col("field").alias("new"))
     pairs = gone.join(new, ["feed", "no"])
-    # Values that stand once in a file tie a line to the line of the same record in the file before.
-    lone = all_.where(F.col("h").isNotNull() & F.col("kind").isin("string", "integer")).dropDuplicates(["feed", "no", "line_no", "h"])
-    lone = lone.groupBy("feed", "no", "h").agg(F.min("line_no").alias("line"), F.count("*").alias("n")).where("n = 1").drop("n")
-    back = lone.select("feed", (F.col("no") + 1).alias("no"), "h", F.col("line").alias("old_line"))
-    ties = lone.join(back, ["feed", "no", "h"]).groupBy("feed", "no", "line", "old_line").agg(F.count("*").alias("votes"))
-    one = ties.groupBy("feed", "no", "line").agg(F.max(F.struct("votes", -F.col("old_line"))).alias("t"))
-    links = materialise(one.where("t.votes >= 2").select("feed", "no", "line", (-F.col("t.col2")).alias("old_line")), "links")
+    # Values that stand in one line of a file and in one of the file before tie the lines: one aggregation by value, to
+    # which each cell goes for its own file and for the next.
+    cell = all_.where(F.col("h").isNotNull() & F.col("kind").isin("string", "integer"))
+    none = F.lit(None).cast("int")
+    sides = F.explode(F.array(F.struct("no", F.col("line_no").alias("line"), none.alias("old")), F.struct((F.col("no") + 1).alias("no"), none.alias("line"), F.col("line_no").alias("old"))))
+    both_ = cell.select("feed", "h", sides.alias("s")).select("feed", "h", "s.*").groupBy("feed", "no", "h")
+    both_ = both_.agg(F.min("line").alias("line"), F.max("line").alias("l2"), F.min("old").alias("old_line"), F.max("old").alias("o2")).where("line = l2 and old_line = o2")
+    # A line has no more votes than fields.
+    votes = both_.groupBy("feed", "no", "line").agg(F.collect_list("old_line").alias("v"), F.mode("old_line", True).alias("old_line"))
+    links = materialise(votes.where(F.size(F.filter("v", lambda x: x == F.col("old_line"))) >= 2).select("feed", "no", "line", "old_line"), "links")
     was = all_.select("feed", (F.col("no") + 1).alias("no"), F.col("line_no").alias("old_line"), F.col("field").alias("gone"), F.col("h").alias("old_h"))
     is_ = all_.select("feed", "no", F.col("line_no").alias("line"), F.col("field").alias("new"), "h")
     left = links.join(was.where("old_h is not null").join(gone, ["feed", "no", "gone"], "left_semi"), ["feed", "no", "old_line"])
@@ -280,17 +303,22 @@ def unify(lines: DataFrame, changes: DataFrame) -> DataFrame:
     names and types; what isn't a payload field stands in ``extras``.
 
     ``changes`` is the result of ``schema_changes``. Lists and objects of text become one text of their leaves, parted
-    as the field parts them (``SEPARATORS``); a text that only looks like JSON stays as it is. A
-    count that is no whole number is NULL. Of two names of one field in a line the first by name that has a value
+    as the field parts them (``SEPARATORS``); a text that only looks like JSON stays as it is. A count is
+    a whole number however it is written (25, 25.0, "25" or a list of it), else NULL. Of two names of one field in a line the first by name that has a value
     is taken. Lines that aren't objects are left out; repeated lines stay.
     """
     parsed = lines.select("feed", "file_name", "line_no", "raw", F.try_parse_json(F.col("raw")).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
     nested = F.map_keys(F.map_filter(F.col("v").cast("map<string,variant>"), lambda _, x: F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")))
     named = parsed.select(F.from_json("raw", "map<string,string>").alias("m"), nested.alias("nested"), "feed", "file_name", "line_no").where(F.col("m").isNotNull())
-    names = [r[0] for r in named.select(F.explode(F.map_keys("m")).alias("n")).distinct().limit(MAX_NAMES + 1).collect()]
-    if len(names) > MAX_NAMES:
-        raise ValueError("too many field names")
+    # Names that may be called otherwise: renamed ones, those that differ from another or from a payload field in case and
+    # joints only. All others stay what they are and needn't be known.
+    bare = F.lower(F.regexp_replace("n", r"[\W_]+", ""))
+    all_names = named.select(F.explode(F.map_keys("m")).alias("n")).distinct().withColumn("key", F.when(bare != "", bare).otherwise(F.col("n")))
+    all_names = materialise(all_names, "names")
     links = changes.where("change = 'renamed'").groupBy("former_name", "field_name").agg(F.count("*").alias("n")).collect()
+    twins = all_names.groupBy("key").agg(F.count("*").alias("c")).where((F.col("c") > 1) | F.col("key").isin(*["".join(_words(p)) for p in PAYLOAD])).select("key")
+    linked = all_names.sparkSession.createDataFrame([(x,) for r in links for x in (r.former_name, r.field_name)], "n string").distinct()
+    names = [r.n for r in all_names.join(twins, "key", "left_semi").select("n").union(all_names.join(linked, "n", "left_semi").select("n")).distinct().collect()]
     to = field_names(sorted(names), [(r.former_name, r.field_name, r.n) for r in links if r.former_name in names and r.field_name in names])
     by: dict[str, list[str]] = {}
     for n in sorted(names):
@@ -298,11 +326,14 @@ def unify(lines: DataFrame, changes: DataFrame) -> DataFrame:
     value = lambda n: F.try_element_at("m", F.lit(n))
     text = lambda p, n: F.when(F.array_contains("nested", n), F.array_join(leaves_of(value(n)), SEPARATORS.get(p, "；"))).otherwise(value(n))
     first = lambda p, of: F.coalesce(*[F.when(value(n).isNotNull(), of(p, n)) for n in by.get(p, [])], F.lit(None).cast("string"))
-    out = [F.try_to_number(first(p, lambda _, n: value(n)), F.lit("999999999999")).cast("int").alias(p) if p.endswith("_wafers") else first(p, text).alias(p) for p in PAYLOAD]
-    own = [n for p in PAYLOAD for n in by.get(p, [])]
-    called = F.create_map(*[F.lit(x) for n in names for x in (n, to[n])]) if names else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rest = F.map_filter("m", lambda k, _: ~F.array_contains(F.array(*[F.lit(n) for n in own]).cast("array<string>"), k))
+    whole = lambda c: F.when(c.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), F.regexp_extract(c, r"[+-]?\d+", 0).try_cast("int"))
+    out = [whole(first(p, text)).alias(p) if p.endswith("_wafers") else first(p, text).alias(p) for p in PAYLOAD]
+    own = F.array(*[F.lit(n) for p in PAYLOAD for n in by.get(p, [])]).cast("array<string>")
+    # One literal however many names there are.
+    called = F.from_json(F.lit(json.dumps({n: t for n, t in to.items() if n != t}, ensure_ascii=False)), "map<string,string>")
+    rest = F.map_filter("m", lambda k, _: ~F.array_contains(own, k))
     # Two names of one extra field: the first by name that stands in the line.
     entries = F.array_sort(F.map_entries(rest))
-    extras = F.map_from_entries(F.filter(F.transform(entries, lambda e: F.struct(F.try_element_at(called, e["key"]).alias("k"), e["value"].alias("v"))), lambda e: e["k"].isNotNull()))
+    pairs = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(called, e["key"]), e["key"]).alias("k"), e["value"].alias("v")))
+    extras = F.map_from_entries(F.filter(pairs, lambda e, i: (i == 0) | ~F.exists(F.slice(pairs, 1, i), lambda x: x["k"] == e["k"])))
     return named.select("feed", "file_name", "line_no", *out, extras.alias("extras"))

@@ -12,7 +12,7 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,42 +168,47 @@ def _regions() -> list[str]:
     return sorted(z for z in available_timezones() if z.startswith(areas) and plain(z))
 
 
-def time_dictionary(rows: DataFrame, sites: DataFrame, raw: str, site: str, path: str) -> DataFrame:
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(DICTIONARY).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def time_dictionary(rows: DataFrame, sites: DataFrame, raw: str, site: str, path: str, alone: bool = False) -> DataFrame:
     """The dictionary of distinct (raw, site) pairs of ``rows`` with their instants, kept at ``path``.
 
     What ``path`` holds under the same rules (zone and date order) isn't parsed again; new pairs are
-    appended. ``n`` is how often the pair stands in the present rows.
+    appended. ``n`` is how often the pair stands in the present rows. Each pair comes once, also where two jobs
+    appended it at the same time. ``alone`` says that ``path`` is new and known to this job only.
     """
     spark = rows.sparkSession
     pairs = rows.where(F.col(raw).isNotNull()).groupBy(F.col(raw).alias("raw"), F.col(site).alias("site")).agg(F.count("*").alias("n"))
     rules = broadcast_if_small(site_rules(sites))
     pairs = pairs.join(rules, "site", "left")
     same = ("raw", "site", "zone", "date_order")
-    try:
-        known = spark.read.schema(DICTIONARY).parquet(path)
-    except AnalysisException:
-        known = None
-    if known is None:
-        new = pairs
-    else:
-        new = pairs.join(known, [pairs[c].eqNullSafe(known[c]) for c in same], "left_anti")
+    known = None if alone else _held(spark, path)
+    new = pairs if known is None else pairs.join(known, [pairs[c].eqNullSafe(known[c]) for c in same], "left_anti")
     parsed = new.select(*same, "n", parse_instant(F.col("raw"), F.col("zone"), F.col("date_order"), F.col("names")).alias("utc"))
     parsed.write.mode("append").parquet(path)
     held = spark.read.schema(DICTIONARY).parquet(path)
-    if known is None:
+    if alone:
         return held
+    held = held.groupBy(*same).agg(F.min("utc").alias("utc"))
     now = pairs.select("raw", "site", "zone", "date_order", "n")
-    return now.join(held.drop("n"), [now[c].eqNullSafe(held[c]) for c in same], "inner").select(*[now[c] for c in same], now["n"], held["utc"])
+    return now.join(held, [now[c].eqNullSafe(held[c]) for c in same], "inner").select(*[now[c] for c in same], now["n"], held["utc"])
 
 
 def normalise_times(rows: DataFrame, sites: DataFrame, raw: str, site: str, out: str, path: str | None = None) -> DataFrame:
     """``rows`` with one more column ``out``, the UTC time that ``raw`` tells at ``site`` (NULL if none).
 
     Every row stays, whatever its other columns; a column already called ``out`` is replaced. NULL, empty and
-    unreadable strings give NULL, as does an empty table. A site that ``sites`` lacks counts as none.
+    unreadable strings give NULL, as does an empty table. A site that ``sites`` lacks counts as none. With ``path`` the
+    dictionary is kept there, for later runs to parse new strings only.
     """
-    path = path or table_path(rows.sparkSession, "time_dictionary")
-    words = time_dictionary(rows, sites, raw, site, path)
+    words = time_dictionary(rows, sites, raw, site, path or table_path(rows.sparkSession, "time_dictionary"), alone=path is None)
     keyed = rows.drop(out) if out in rows.columns and out not in (raw, site) else rows
     none = "\x00"
     keyed = keyed.withColumns({"__raw": F.col(raw), "__site": F.coalesce(F.col(site), F.lit(none))})

@@ -1,6 +1,8 @@
 import itertools
 import json
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +96,31 @@ def test_lists_of_text(spark):
         assert [r.lot_id for r in got] == ["L1", "25.5", '{"a": "b"}', None, "x；y"]
 
 
+def test_counts_in_any_form(spark):
+    forms = [25, 25.0, "25", " 25 ", "25.0", [25], ["25"], [25.0], {"n": 25}, 25.5, "25 pcs", [25, 3], None, "", True, 10**12]
+    all_ = lines(spark, [("a", [{"total_wafers": f, "dn": i} for i, f in enumerate(forms)])])
+    got = [r.total_wafers for r in drift.unify(all_, drift.schema_changes(all_)).orderBy("line_no").collect()]
+    assert got == [25] * 9 + [None] * 7
+
+
+def test_names_that_differ_in_case_and_joints(spark):
+    rows = [{"waferNote": "a", "x1": 1}, {"wafer_note": "b"}, {"WaferNote": "c", "waferNote": "d", "__": 2}, {"Lot-ID": "L9"}]
+    all_ = lines(spark, [("a", rows)])
+    got = drift.unify(all_, drift.schema_changes(all_)).orderBy("line_no").collect()
+    assert [len(r.extras) for r in got] == [2, 1, 2, 0] and len({k for r in got for k in r.extras if k.lower().startswith("wafer")}) == 1
+    assert got[3].lot_id == "L9" and got[2].extras["__"] == "2"
+
+
+def test_matching_by_parts_is_the_matching_of_all(spark):
+    rng = random.Random(6)
+    for _ in range(60):
+        score = {(f"a{i}", f"b{j}"): rng.choice([0.2, 0.5, 0.9, 1.0]) + 0.001 * i for i in range(4) for j in range(4) if rng.random() < 0.35}
+        pairs = drift._pairs(score)
+        assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+        best = max(sum(score.get((f"a{i}", f"b{j}"), 0) for i, j in enumerate(p)) for p in itertools.permutations(range(4)))
+        assert sum(score[p] for p in pairs) == pytest.approx(best)
+
+
 def test_long_leaves(spark):
     long = ["x" * 20_000 + '"' * 20_000, "\\" * 20_000, "y"]
     df = spark.createDataFrame([(json.dumps(long),)], "j string")

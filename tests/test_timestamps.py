@@ -106,3 +106,26 @@ def test_a_hot_string_is_looked_up(spark, sites):
         got = lookup(rows, table, ["k"], "n", F.col("id"), how, hot_rows=50)
         assert got.count() == want and got.where("v is not null and v <> upper(k)").count() == 0
     assert dt.date.today()
+
+
+def test_a_dictionary_that_two_jobs_wrote_doubles_nothing(spark, sites, tmp_path):
+    path = str(tmp_path / "words")
+    rows = spark.createDataFrame([(1, "2024/1/2 03:04:05", "fab_sh"), (2, None, None)], "import_id bigint, scan_time string, site string")
+    first = sorted(map(str, normalise_times(rows, sites, "scan_time", "site", "utc", path).collect()))
+    held = spark.read.parquet(path)
+    held.union(held).union(held).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(map(str, normalise_times(rows, sites, "scan_time", "site", "utc", path).collect())) == first and len(first) == 2
+
+
+def test_a_broken_dictionary_is_seen(spark, sites, tmp_path):
+    (tmp_path / "bad.parquet").write_text("no table")
+    rows = spark.createDataFrame([(1, "2024/1/2 03:04:05", "fab_sh")], "import_id bigint, scan_time string, site string")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        normalise_times(rows, sites, "scan_time", "site", "utc", str(tmp_path / "bad.parquet")).collect()
+
+
+def test_second_run_parses_nothing(spark, small):
+    from siftmill.plans.general import p6_twice
+
+    one, two = p6_twice(spark, small).orderBy("run").collect()
+    assert one.n_parsed > 0 and two.n_parsed == 0 and one.n_told == two.n_told > 0
