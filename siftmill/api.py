@@ -57,6 +57,17 @@ def explain(spark: SparkSession, query: str) -> dict:
     return {"conditions": found, "mode": "exact" if exact else "hybrid"}
 
 
+def refresh(spark: SparkSession, tables: Sequence[str]) -> None:
+    """Forget what is cached of tables that were written anew."""
+    for name in tables:
+        spark.catalog.refreshTable(name)
+
+
+def facet_counts(rows: DataFrame) -> DataFrame:
+    """``(field, value, n)`` of the fields that may be filtered on, the most frequent values first."""
+    return facets.facet_counts(rows, [f for f in facets.FILTER_FIELDS if f in rows.columns]).orderBy("field", F.desc("n"), "value")
+
+
 def filters(rows: DataFrame) -> DataFrame:
     return facets.facet_values(rows, [f for f in facets.FILTER_FIELDS if f in rows.columns]).orderBy("field", "value")
 

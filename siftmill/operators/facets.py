@@ -155,6 +155,14 @@ def first_spelling(rows: DataFrame, value: str, order: str) -> DataFrame:
     return some.groupBy(F.lower(F.trim(F.col(value))).alias("folded")).agg(F.min_by(F.trim(F.col(value)), order).alias(value))
 
 
+def candidates(records: DataFrame, file: str, order: str, fields: Sequence[str] = FILTER_FIELDS) -> DataFrame:
+    """``(file, field, values)``: what the slides of a file tell of each field, to be offered as filters: each value once whatever its
+    case, in the spelling and order in which it first comes; missing ones and 0 not. A file's slides are few."""
+    told = _long(records, fields, [file, order]).where(~is_missing(F.col("value")) & (F.trim("value") != "0"))
+    once = told.groupBy(file, "field", F.lower(F.trim("value")).alias("__k")).agg(F.min(F.struct(F.col(order).alias("o"), F.trim("value").alias("v"))).alias("f"))
+    return once.groupBy(file, "field").agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]).alias("values"))
+
+
 def union_filters(a: Column, b: Column) -> Column:
     """Two maps of field to values made one, the values of a common field united."""
     none = F.array().cast("array<string>")

@@ -94,6 +94,32 @@ def geometry_similarity(hist_a: Column, hist_b: Column, ratio_a: Column, ratio_b
     return 0.75 * dot(hist_a, hist_b) / (norm(hist_a) * norm(hist_b)) + 0.25 * F.exp(-gap)
 
 
+def ring_vectors(rings: DataFrame, image: str, bins: int = 8) -> DataFrame:
+    """``(image, rings)``: the shares of ``radial_histogram`` as one array, 0 for rings without defects."""
+    some = rings.groupBy(image).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("__m"))  # as many as rings
+    return some.select(image, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0))).alias("rings"))
+
+
+def geometry_scores(maps: DataFrame, queries: DataFrame, record: str, query: str) -> DataFrame:
+    """``(record, geometry)``: for each query map the likest of the record's maps in shape, 0 at least; of the queries the mean.
+
+    ``maps(record, rings, ratio)``, ``queries(query, rings, ratio)``; queries are those of one request (more than
+    ``MAX_QUERIES`` are refused) and are broadcast.
+    """
+    if not is_small(queries, MAX_QUERIES):
+        raise ValueError("too many query maps")
+    asked = queries.select(F.col(query).alias("__q"), F.col("rings").alias("__rings"), F.col("ratio").alias("__ratio"))
+    like = geometry_similarity(F.col("rings"), F.col("__rings"), F.col("ratio"), F.col("__ratio"))
+    best = maps.crossJoin(F.broadcast(asked)).groupBy(record, "__q").agg(F.greatest(F.max(like), F.lit(0.0)).alias("b"))
+    return best.groupBy(record).agg(F.avg("b").alias("geometry"))
+
+
+def request_blocks(blocks: DataFrame, request: list[str], query: str, block: str) -> DataFrame:
+    """``blocks`` with ``display_id``, one number for each region of a request, from 1, by query image and region. A request's
+    regions are few."""
+    return blocks.withColumn("display_id", F.row_number().over(W.partitionBy(*request).orderBy(query, block)))
+
+
 def defect_pixel(r: Column, g: Column, b: Column) -> Column:
     """Whether a pixel is of the red that marks defects: vivid, or muted. Fixed values."""
     vivid = (r >= 125) & (r >= g + 25) & (r >= b + 25)

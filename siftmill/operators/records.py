@@ -167,6 +167,15 @@ def assemble(records: DataFrame, manifest: DataFrame, vectors: DataFrame) -> Dat
     return out.withColumns({c: zero(F.col(c)) for c in ("image_count", "binmap_vectors", "sem_vectors")})
 
 
+def sync_report(records: DataFrame, images: DataFrame) -> DataFrame:
+    """``(measure, n)``: what bringing entities up to date would find: records, images, records without images and images'
+    records that there are none of. ``records(dn_no)``, ``images(dn_no, file_name)`` by normal numbers."""
+    side = records.groupBy("dn_no").agg(F.lit(1).alias("r")).join(images.groupBy("dn_no").agg(F.count("*").alias("i")), "dn_no", "full")
+    told = {"dn_count": F.count("r"), "image_count": F.coalesce(F.sum("i"), F.lit(0)), "missing_images": F.count_if(F.col("i").isNull()), "orphan_image_dns": F.count_if(F.col("r").isNull())}
+    one = side.agg(*[c.cast("bigint").alias(n) for n, c in told.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("n")) for n in told])).alias("x")).select("x.measure", "x.n")
+
+
 def hashed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("content_hash", content_hash(*columns))
 

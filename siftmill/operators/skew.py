@@ -9,7 +9,7 @@ from siftmill.session import is_small
 
 #: Rows from which a key counts as hot. Of N rows at most N / HOT_ROWS keys are hot.
 HOT_ROWS = 1_000_000
-#: Hot keys that may be broadcast; beyond it they are joined like the others.
+#: Hot keys that may be broadcast; where there are more, only keys of still more rows are taken as hot.
 MAX_HOT_KEYS = 200_000
 
 
@@ -21,18 +21,22 @@ def lookup(
     spread: Column,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Join ``rows`` with ``unique`` on ``keys``; ``unique[weight]`` says how many rows a key has.
 
     Keys with ``hot_rows`` or more rows are joined by broadcast: there are few of them by count, which
-    is checked. The rest is shuffled by key with no key above ``hot_rows``. ``spread`` is any expression
+    is checked (with more than ``max_hot`` the bound is raised until no more are left). The rest is shuffled by key with no key above ``hot_rows``. ``spread`` is any expression
     on ``rows`` with many values; it only places rows that have found their hot key. ``how`` is inner or
     left. Rows with a NULL key find nothing. No row is lost or doubled; the other columns of ``unique``
     are appended. ``unique`` should be cheap to read twice (a written table).
     """
     values = [c for c in unique.columns if c not in (*keys, weight)]
     hot = unique.where(F.col(weight) >= hot_rows)
-    if hot.isEmpty() or not is_small(hot, MAX_HOT_KEYS):
+    while not is_small(hot, max_hot):
+        hot_rows *= 2
+        hot = unique.where(F.col(weight) >= hot_rows)
+    if hot.isEmpty():
         return rows.join(unique.drop(weight), keys, how)
     packed = hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias("__hit"), *values).alias("__hot"))
     cold = unique.where(F.col(weight) < hot_rows).select(

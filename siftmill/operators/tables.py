@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions.ids import uuid5
 from siftmill.functions.text import present
 from siftmill.operators.evidence import document_text
-from siftmill.operators.records import best_rows
+from siftmill.operators.records import best_rows, upsert
+from siftmill.session import materialise
 
 # What fields are called on the console.
 LABELS = {
@@ -28,6 +30,33 @@ def create_entities(spark: SparkSession, name: str, buckets: int = 64, recreate:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ENTITY}) USING parquet CLUSTERED BY (dn_no) SORTED BY (dn_no) INTO {buckets} BUCKETS")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A kept table; None if there is none yet. Other faults are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def save(rows: DataFrame, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """Upsert ``rows`` (unique by ``key``) into the table kept at ``path`` and return them.
+
+    The table lies in buckets by hash of the key; only buckets that hold one of the keys are read and written anew, each
+    replaced whole when the job commits. What runs again changes nothing more.
+    """
+    spark = rows.sparkSession
+    new = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "saved")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # ``buckets`` at most
+    if not touched:
+        return new.drop("bucket")
+    old = stored(spark, path)
+    merged = new if old is None else materialise(upsert(old.where(F.col("bucket").isin(touched)), new, [key]), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return new.drop("bucket")
+
+
 def knowledge_points(notes: DataFrame) -> DataFrame:
     """Notes with their id, their text for embedding, and where they come from."""
     texts = document_text(notes)

@@ -17,6 +17,7 @@ from siftmill.functions.vector import norm, normalise, visual_score
 from siftmill.operators import images as I
 from siftmill.operators import records as R
 from siftmill.plans.tables import table
+from siftmill.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,17 +96,6 @@ def local_score_blend(spark, d):
     return I.local_scores(_best(spark, d), "dn", 3, F.lit(0.5), F.lit(0.25))
 
 
-@query(
-    """with h as (select l_orderkey, list_sort(list(l_quantity)) q, avg(l_discount) ratio from lineitem group by 1 having count(*) = 7), a as (select q, ratio from h order by l_orderkey limit 1)
-    select h.l_orderkey, round(0.75 * list_cosine_similarity(h.q, a.q) + 0.25 * exp(-abs(ln(greatest(h.ratio, 1e-8) / greatest(a.ratio, 1e-8)))), 6) likeness from h, a"""
-)
-def geometry_similarity(spark, d):
-    h = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("q"), F.avg("l_discount").alias("ratio")).where(F.size("q") == 7)
-    a = h.orderBy("l_orderkey").limit(1).select(F.col("q").alias("aq"), F.col("ratio").alias("ar"))
-    like = I.geometry_similarity(F.col("q"), F.col("aq"), F.col("ratio"), F.col("ar"))
-    return h.crossJoin(F.broadcast(a)).select("l_orderkey", F.round(like, 6).alias("likeness"))  # one row
-
-
 # Rows of lineitem as the defect pixels of pictures of 51 by 128.
 _PIX = "select l_suppkey img, l_quantity::double x, floor(l_extendedprice / 1000)::double y from lineitem"
 WIDTH, HEIGHT = 51, 128
@@ -123,6 +113,31 @@ def pixel_histogram(spark, d):
     return I.radial_histogram(_pixels(spark, d), "img", "x", "y", F.lit(WIDTH), F.lit(HEIGHT))
 
 
+_RINGS = f"""with p as ({_PIX}), f as (select img, sqrt((x - 25) ** 2 + (y - 63.5) ** 2) / sqrt(25.0 ** 2 + 63.5 ** 2) r from p), b as (select img, case when r = 1 then 7 else floor(r * 8)::int end bin from f where r <= 1),
+ h as (select img, bin, round(count(*) / sum(count(*)) over (partition by img)::double, 9) share from b group by 1, 2), n as (select img, count(*) / 6528.0 ratio from p group by 1),
+ v as (select img, ratio, list_transform(range(8), lambda i: coalesce(list_sum(list_transform(list_filter(hs, lambda x: x.bin = i), lambda x: x.share)), 0.0)) q from n join (select img, list({{'bin': bin, 'share': share}}) hs from h group by 1) using (img))"""
+
+
+@query(
+    f"""{_RINGS}, a as (select img qi, q aq, ratio ar from v order by img limit 3), s as (select img % 50 record, qi, max(0.75 * list_cosine_similarity(q, aq) + 0.25 * exp(-abs(ln(greatest(ratio, 1e-8) / greatest(ar, 1e-8))))) b from v, a group by 1, 2)
+    select record, round(avg(greatest(b, 0.0)), 6) geometry from s group by 1"""
+)
+def geometry_similarity(spark, d):
+    """Shape likeness of records with several maps each to the three query maps."""
+    p = _pixels(spark, d)
+    rings = I.ring_vectors(I.radial_histogram(p, "img", "x", "y", F.lit(WIDTH), F.lit(HEIGHT)), "img")
+    maps = rings.join(p.groupBy("img").agg((F.count("*") / (WIDTH * HEIGHT)).alias("ratio")), "img")
+    maps = materialise(maps, "maps").withColumn("record", F.col("img") % 50)
+    out = I.geometry_scores(maps, maps.orderBy("img").limit(3), "record", "img")
+    return out.select("record", F.round("geometry", 6).alias("geometry"))
+
+
+@query("select user_id, event_type, event_id, (row_number() over (partition by user_id order by event_type, event_id))::int display_id from events")
+def request_blocks(spark, d):
+    """Events of a user as the regions of a request, their types as its query images."""
+    return I.request_blocks(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_type", "event_id")
+
+
 @query(
     f"""with p as ({_PIX}), sp as (select img, quantile_cont(x, 0.05) x0, quantile_cont(x, 0.95) x1, quantile_cont(y, 0.05) y0, quantile_cont(y, 0.95) y1, count(*) n from p group by 1),
     c as (select img, least(2, x::int * 3 // 51) gx, least(2, y::int * 3 // 128) gy, count(*) k from p group by 1, 2, 3),

@@ -250,6 +250,15 @@ def missing_and_orphans(spark, d):
     return a.unionByName(R.only_in(i, r, "k").select(F.lit("orphan_images").alias("side"), "k"))
 
 
+@query(
+    f"""with r as (select distinct upper({SQL_ID}) dn_no from payload_parser where {SQL_ID} <> ''), i as (select dn_no, count(*) c from ({_IMG}) group by 1), b as (select r.dn_no r, i.dn_no i, c from r full join i using (dn_no))
+    select 'dn_count' measure, count(r) n from b union all select 'image_count', coalesce(sum(c), 0)::bigint from b union all select 'missing_images', count(*) filter (where i is null) from b union all select 'orphan_image_dns', count(*) filter (where r is null) from b"""
+)
+def sync_report(spark, d):
+    images = table(spark, d, "ppt_import").select("dn_no", F.explode("images").alias("i")).select(ids.normalize_dn(F.col("dn_no")).alias("dn_no"), "i.file_name").where("dn_no <> ''")
+    return R.sync_report(R.merge_points(table(spark, d, "payload_parser")).select("dn_no"), images)
+
+
 @query("select distinct sha256(text) k from documents where text is not null and sha256(text) not in (select sha256(text) from documents where text is not null and source = 'slide_import')")
 def cache_miss_antijoin(spark, d):
     hashed = table(spark, d, "documents").where("text is not null").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("k"))

@@ -354,6 +354,16 @@ def first_spellings(spark, d):
     return X.first_spelling(table(spark, d, "payload_parser").select("ord", "lot_id"), "lot_id", "ord")
 
 
+@query(
+    f"""with l as ({_long_sql('ppt_import', X.FILTER_FIELDS, ', source_file, import_id')}), o as (select source_file, field, lower(trim("value")) k, min((import_id, trim("value"))) f from l where not {sql_missing(chr(34) + 'value' + chr(34))} and trim("value") <> '0' group by 1, 2, 3)
+    select source_file, field, string_agg(f[2], '|' order by f) "values" from o group by 1, 2"""
+)
+def upload_candidates(spark, d):
+    """Filters that the records of each uploaded file offer."""
+    out = X.candidates(table(spark, d, "ppt_import"), "source_file", "import_id")
+    return out.select("source_file", "field", F.array_join("values", "|").alias("values"))
+
+
 @query("select c_nationkey, array_to_string(list(distinct c_mktsegment order by c_mktsegment), ',') merged from customer group by 1")
 def filter_union(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_set(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).alias("a"), F.collect_set(F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment"))).alias("b"))

@@ -59,6 +59,26 @@ def read_texts(spark: SparkSession, path: str, imported: DataFrame | None = None
     return last.join(imported.select("record_id").distinct(), "record_id", "left_anti").unionByName(imported, allowMissingColumns=True)
 
 
+def choose_table(spark: SparkSession, wanted: str, other: str, strict: bool = False) -> str:
+    """The wanted table where it exists, else the other; with ``strict`` a missing one is refused."""
+    if spark.catalog.tableExists(wanted):
+        return wanted
+    if strict:
+        raise ValueError(f"no table {wanted}")
+    return other
+
+
+def first_folder(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of some folders that exists, on whatever file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf)
+        if files.exists(path) and files.getFileStatus(path).isDirectory():
+            return p
+    return None
+
+
 def image_catalogue(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """``(dn_no, file_name, image_type, path, size)`` of image files in the folders of records; contents aren't read. ``only`` names
     records, whose folders alone are listed."""

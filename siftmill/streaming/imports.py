@@ -4,37 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftmill.operators.records import new_imports, slide_record, upsert
+from siftmill.operators.records import new_imports, slide_record
+from siftmill.operators.tables import save, stored
 from siftmill.sources.pptx import read_slides, slide_lines
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _replace(rows: DataFrame, path: str, epoch: int) -> None:
-    """Write a new version beside the old one, then point to it: a reader never sees half a table."""
-    version = f"{path}/v={epoch:012d}"
-    rows.write.mode("overwrite").parquet(version)
-
-
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of a table kept by ``import_decks``."""
-    all_ = _stored(spark, path)
-    if all_ is None:
-        return None
-    newest = all_.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={newest:012d}") if newest is not None else None
+    """The records kept by ``import_decks``."""
+    kept = stored(spark, path)
+    return None if kept is None else kept.drop("bucket")
 
 
 def records_of(decks: DataFrame) -> DataFrame:
@@ -43,16 +27,17 @@ def records_of(decks: DataFrame) -> DataFrame:
     return lines.select("sha256", "file", "slide", *[c.alias(f) for f, c in slide_record(F.col("lines"), F.col("file"), F.col("slide")).items()])
 
 
-def import_batch(spark: SparkSession, decks: DataFrame, ledger: str, records: str, epoch: int) -> None:
-    """Import those of ``decks`` whose content the ledger lacks. A batch that runs again changes nothing more."""
-    known = _stored(spark, ledger)
+def import_batch(spark: SparkSession, decks: DataFrame, ledger: str, records: str, epoch: int) -> DataFrame:
+    """Import those of ``decks`` whose content the ledger lacks and return their records. A batch that runs again changes
+    nothing more."""
+    known = stored(spark, ledger)
     empty = spark.createDataFrame([], "sha256 string, file_name string, imported_at timestamp")
     fresh = new_imports(known.where(F.col("epoch") != epoch) if known is not None else empty, decks, "sha256")
     made = records_of(fresh)
-    old = latest(spark, records)
     first = made.groupBy("dn_no").agg(F.min_by(F.struct(*[c for c in made.columns if c != "dn_no"]), F.struct("file", "slide")).alias("r")).select("dn_no", "r.*")
-    _replace(first if old is None else upsert(old, first, ["dn_no"]), records, epoch)
+    saved = save(first, records, "dn_no")
     fresh.select("sha256", "file_name", F.current_timestamp().alias("imported_at")).write.mode("overwrite").parquet(f"{ledger}/epoch={epoch}")
+    return saved
 
 
 def import_decks(spark: SparkSession, folder: str, ledger: str, records: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
@@ -61,8 +46,8 @@ def import_decks(spark: SparkSession, folder: str, ledger: str, records: str, ch
 
     def each(batch: DataFrame, epoch: int) -> None:
         files = batch.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.sha2("content", 256).alias("sha256"), "content")
-        import_batch(batch.sparkSession, files, ledger, records, epoch)
+        saved = import_batch(batch.sparkSession, files, ledger, records, epoch)
         if after is not None:
-            after(latest(batch.sparkSession, records))
+            after(saved)
 
     return decks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -117,3 +117,36 @@ def test_tables(spark, tmp_path):
     kept = materialise(hits, "gone")
     assert kept.count() == 3
     clear_tables(spark)
+
+
+def test_saved_tables_change_by_bucket(spark, tmp_path):
+    from siftmill.operators import tables
+
+    path = str(tmp_path / "kept")
+    assert tables.stored(spark, path) is None
+    df = lambda rows: spark.createDataFrame(rows, "dn_no string, v int")
+    held = lambda: {r.dn_no: r.v for r in tables.stored(spark, path).collect()}
+    assert tables.save(df([]), path, "dn_no").count() == 0
+    tables.save(df([(f"DN-{i}", i) for i in range(40)]), path, "dn_no", 8)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "kept").rglob("*.parquet")}
+    for _ in range(2):
+        assert tables.save(df([("DN-3", 99), ("DN-new", 1)]), path, "dn_no", 8).count() == 2
+    assert held() == {f"DN-{i}": i for i in range(40)} | {"DN-3": 99, "DN-new": 1}
+    assert sum(f.exists() for f in files) >= 6  # the other buckets weren't written
+
+
+def test_sync_report(spark):
+    r = spark.createDataFrame([("A",), ("B",)], "dn_no string")
+    i = spark.createDataFrame([("A", "1"), ("A", "2"), ("C", "3")], "dn_no string, file_name string")
+    assert {x.measure: x.n for x in R.sync_report(r, i).collect()} == {"dn_count": 2, "image_count": 3, "missing_images": 1, "orphan_image_dns": 1}
+    assert {x.measure: x.n for x in R.sync_report(r.limit(0), i.limit(0)).collect()} == dict.fromkeys(["dn_count", "image_count", "missing_images", "orphan_image_dns"], 0)
+
+
+def test_more_hot_keys_than_may_be_broadcast(spark):
+    from siftmill.operators.skew import lookup
+
+    rows = spark.createDataFrame([(k, i) for k in range(12) for i in range(2 + 3 * k)], "k int, i int")
+    unique = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    for how in ("inner", "left"):
+        got = lookup(rows, unique, ["k"], "n", F.col("i"), how, hot_rows=2, max_hot=3).collect()
+        assert len(got) == rows.count() and all(r.v == 10 * r.k for r in got)

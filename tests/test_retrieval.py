@@ -198,3 +198,32 @@ def test_too_many_query_images_are_refused(spark):
         assert [r.score for r in api.image_search(v, q(100), mode).collect()] == [1.0]
         with pytest.raises(ValueError):
             api.image_search(v, q(102), mode)
+
+
+def test_geometry_of_several_maps(spark):
+    maps = spark.createDataFrame([("A", [1.0, 0.0], 0.1), ("A", [0.0, 1.0], 0.1), ("B", [1.0, 1.0], 0.2), ("C", [0.0, 0.0], 0.0)], "dn string, rings array<double>, ratio double")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 0.1), (2, [0.0, 2.0], 0.2)], "q int, rings array<double>, ratio double")
+    got = {r.dn: r.geometry for r in I.geometry_scores(maps, queries, "dn", "q").collect()}
+    b = (0.75 / math.sqrt(2) + 0.25 * 0.5 + 0.75 / math.sqrt(2) + 0.25) / 2
+    assert got["A"] == pytest.approx((1.0 + 0.75 + 0.25 * 0.5) / 2) and got["B"] == pytest.approx(b) and got["C"] == pytest.approx(0, abs=1e-6)
+
+
+def test_candidates_and_blocks(spark):
+    rows = spark.createDataFrame([("f", 1, "M1", "x"), ("f", 2, " m1", "0"), ("f", 3, "M0", None), ("g", 4, "UNKNOWN", "y")], "file string, no int, machine string, lot_id string")
+    got = {(r.file, r.field): r["values"] for r in X.candidates(rows, "file", "no", ["machine", "lot_id"]).collect()}
+    assert got == {("f", "machine"): ["M1", "M0"], ("f", "lot_id"): ["x"], ("g", "lot_id"): ["y"]}
+    blocks = spark.createDataFrame([("r", 2, 1), ("r", 1, 2), ("r", 1, 1), ("s", 5, 1)], "req string, q int, b int")
+    assert {(r.req, r.q, r.b): r.display_id for r in I.request_blocks(blocks, ["req"], "q", "b").collect()} == {("r", 1, 1): 1, ("r", 1, 2): 2, ("r", 2, 1): 3, ("s", 5, 1): 1}
+
+
+def test_pages_beyond_the_recall_are_refused(spark):
+    rows = spark.createDataFrame([("r1", "edge")], "record_id string, text_content string")
+    with pytest.raises(ValueError, match="limit"):
+        api.search(rows, "edge", limit=10, offset=4_995)
+
+
+def test_one_index_serves_many_questions(corpus):
+    index = S.pair_index(corpus, "record_id", "text_content")
+    for q in ("ring", "edge scratch", "zz", ""):
+        own = {r.record_id: r.score for r in S.tfidf(corpus, "record_id", "text_content", q).collect()}
+        assert own == pytest.approx({r.record_id: r.score for r in S.tfidf(corpus, "record_id", "text_content", q, index).collect()})

@@ -195,3 +195,22 @@ def test_raster_operators(spark):
     assert {r.img_id: r.modality for r in Z.map_kinds(df).collect()}["a"] == "binmap"
     assert len({r.img_id: r.geometry for r in Z.map_geometry(df).collect()}["a"]) == 9
     assert {r.img_id: r.components for r in Z.map_components(df).collect()}["a"] == [[100, 100, 140, 140, 1600]]
+
+
+def test_texts_are_numbered_by_their_place(spark, tmp_path):
+    texts = [f"note {i}" for i in range(50)]
+    for part in range(3):
+        (tmp_path / f"p{part}.csv").write_text("\ufeffTEXT,x\n" + "".join(f'"{t}",1\n' if i % 7 else ",1\n" for i, t in enumerate(texts[part * 17 : part * 17 + 17])), encoding="utf-8")
+    got = sorted(int(r.record_id.split("-")[1]) for r in files.read_texts(spark, str(tmp_path)).collect())
+    assert got == list(range(len(got))) and len(got) == 50 - 9
+    out = str(tmp_path / "out")
+    files.write_csv(spark.createDataFrame([("甲", 1)], "name string, n int"), out)
+    raw = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf") and "甲" in "".join(f.read_text("utf-8-sig") for f in (tmp_path / "out").glob("*.csv"))
+
+
+def test_tables_and_folders_are_chosen(spark, tmp_path):
+    assert files.choose_table(spark, "no_such_table", "other") == "other"
+    with pytest.raises(ValueError, match="no table"):
+        files.choose_table(spark, "no_such_table", "other", strict=True)
+    assert files.first_folder(spark, [str(tmp_path / "none"), str(tmp_path)]) == str(tmp_path) and files.first_folder(spark, []) is None
