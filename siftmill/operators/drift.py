@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftmill.session import materialise
+from siftmill.session import broadcast_if_small, materialise
 
 #: The payload's own fields, in order; fixed values.
 PAYLOAD = (
@@ -225,17 +225,20 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     # A line has no more votes than fields.
     votes = both_.groupBy("feed", "no", "line").agg(F.collect_list("old_line").alias("v"), F.mode("old_line", True).alias("old_line"))
     links = materialise(votes.where(F.size(F.filter("v", lambda x: x == F.col("old_line"))) >= 2).select("feed", "no", "line", "old_line"), "links")
-    was = all_.select("feed", (F.col("no") + 1).alias("no"), F.col("line_no").alias("old_line"), F.col("field").alias("gone"), F.col("h").alias("old_h"))
-    is_ = all_.select("feed", "no", F.col("line_no").alias("line"), F.col("field").alias("new"), "h")
-    left = links.join(was.where("old_h is not null").join(gone, ["feed", "no", "gone"], "left_semi"), ["feed", "no", "old_line"])
-    right = is_.where("h is not null").join(new, ["feed", "no", "new"], "left_semi")
-    met = left.join(right, ["feed", "no", "line"]).groupBy("feed", "no", "gone", "new")
+    # The cells of gone and new fields, which are few, are picked out in one pass.
+    fates = gone.select("feed", (F.col("no") - 1).alias("no"), F.col("gone").alias("field"), F.lit(True).alias("goes"), F.lit(False).alias("comes"))
+    fates = fates.unionByName(new.select("feed", "no", F.col("new").alias("field"), F.lit(False).alias("goes"), F.lit(True).alias("comes")))
+    fates = fates.groupBy("feed", "no", "field").agg(F.max("goes").alias("goes"), F.max("comes").alias("comes"))
+    moved = materialise(all_.where(F.col("h").isNotNull()).join(broadcast_if_small(fates), ["feed", "no", "field"]).select("feed", "no", "line_no", "field", "h", "goes", "comes"), "moved")
+    was = moved.where("goes").select("feed", (F.col("no") + 1).alias("no"), F.col("line_no").alias("old_line"), F.col("field").alias("gone"), F.col("h").alias("old_h"))
+    is_ = moved.where("comes").select("feed", "no", F.col("line_no").alias("line"), F.col("field").alias("new"), "h")
+    met = links.join(was, ["feed", "no", "old_line"]).join(is_, ["feed", "no", "line"]).groupBy("feed", "no", "gone", "new")
     met = met.agg(F.count("*").alias("both"), F.sum((F.col("h") == F.col("old_h")).cast("int")).alias("equal"))
     # Sketches: the values of least hash of each gone and new field.
-    sketch = lambda d, f, h: d.where(F.col(h).isNotNull()).select("feed", "no", f, F.col(h).alias("x")).distinct()
+    sketch = lambda d, f, h: d.select("feed", "no", f, F.col(h).alias("x")).distinct()
     least = lambda d, f: d.withColumn("r", F.row_number().over(W.partitionBy("feed", "no", f).orderBy("x"))).where(F.col("r") <= SKETCH).drop("r")
-    old_s = least(sketch(was.join(gone, ["feed", "no", "gone"], "left_semi"), "gone", "old_h"), "gone")
-    new_s = least(sketch(is_.join(new, ["feed", "no", "new"], "left_semi"), "new", "h"), "new")
+    old_s = least(sketch(was, "gone", "old_h"), "gone")
+    new_s = least(sketch(is_, "new", "h"), "new")
     common = old_s.join(new_s, ["feed", "no", "x"]).groupBy("feed", "no", "gone", "new").agg(F.count("*").alias("c"))
     size = lambda d, f, n: d.groupBy("feed", "no", f).agg(F.count("*").alias(n))
     graded = pairs.join(met, ["feed", "no", "gone", "new"], "left").join(common, ["feed", "no", "gone", "new"], "left")
