@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftmill.functions.text import is_missing
-from siftmill.session import is_small
+from siftmill.session import numbered
 
-#: Labels that one task numbers.
-MAX_LABELS = 100_000
 SPLITS = ("train", "val", "test")
 
 
 def label_index(rows: DataFrame, label: str) -> DataFrame:
-    """``(label, target)``: distinct labels from 0, numbers by value before texts. Labels are few; more than ``MAX_LABELS``
-    are refused."""
+    """``(label, target)``: distinct labels from 0, numbers by value before texts."""
     names = rows.where(~is_missing(F.col(label))).select(F.trim(F.col(label)).alias("label")).distinct()
-    if not is_small(names, MAX_LABELS):
-        raise ValueError("too many labels")
     number = F.col("label").try_cast("double")
-    return names.select("label", (F.row_number().over(W.orderBy(F.asc_nulls_last(number), "label")) - 1).alias("target"))
+    return numbered(names.orderBy(F.asc_nulls_last(number), "label"), "target").select("label", F.col("target").cast("int").alias("target"))
 
 
 def stratified_split(rows: DataFrame, key: str, target: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:

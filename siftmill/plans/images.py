@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import box
-from siftmill.functions.paths import MODALITIES, ROLES
+from siftmill.functions.paths import ROLES
 from siftmill.functions.vector import norm, normalise, visual_score
 from siftmill.operators import images as I
 from siftmill.operators import records as R
@@ -220,9 +220,8 @@ def catalog_status(spark, d):
 
 
 @query(
-    "with i as (select import_id, unnest(images).image_type t from ppt_import) select modality, count(*) n from (select case "
-    + " ".join(f"when t in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in MODALITIES.items())
-    + " end modality from i) where modality is not null group by 1"
+    """with i as (select unnest(images).image_type t from ppt_import) select modality, count(*) n from (select case when t = 'DefectMapPost' then 'binmap' when t in ('TypicalDefectImage1', 'TypicalDefectImage2') then 'sem' end modality from i)
+    where modality is not null group by 1"""
 )
 def modality_eligible(spark, d):
     i = table(spark, d, "ppt_import").select(F.explode("images").alias("i")).select("i.image_type")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftmill.functions import ids
-from siftmill.functions.paths import EXTENSIONS, ROLE_ALIASES, extension, file_name, image_role, resolve, role_order, safe_name
+from siftmill.functions.paths import EXTENSIONS, extension, file_name, image_role, resolve, role_order, safe_name
 from siftmill.functions.text import INVISIBLE, OUTER_BLANKS, code_table, fold_code, present, strip
 from siftmill.operators import evidence as E
 from siftmill.operators import records as R
@@ -345,13 +345,22 @@ ORACLES["slide_record_parse"] = f"""with l as (select import_id, source_file, so
  try_cast(nullif(regexp_extract(ident, {quoted(R.SLIDE_TOTAL)}, 1), '') as int) total_wafers, coalesce(nullif(regexp_extract(defect, {quoted(R.SLIDE_DEFECT)}, 1), ''), nullif(regexp_extract(title, '\\s([A-Za-z][A-Za-z0-9_-]+)\\s*$', 1), '')) defect_type,
  nullif(trim(string_split(place, '/')[-1]), '') map_location, nullif(regexp_extract(dated, '^([A-Za-z0-9_.-]+)', 1), '') machine, nullif(regexp_extract(dated, {quoted(R.SLIDE_TIME)}, 1), '') scan_time, es equipment_status, lst lot_status from f"""
 
+# Fixed values, written here again so that the SQL doesn't follow the library.
+_ALIASES = (
+    ("addscandefectmapgallary1", "AddScanDefectMapGallary1"), ("addscandefectmapgallery1", "AddScanDefectMapGallary1"), ("addscandefectmapgallary", "AddScanDefectMapGallary"),
+    ("addscandefectmapgallery", "AddScanDefectMapGallary"), ("typicaldefectimage1", "TypicalDefectImage1"), ("typeicaldefectimage1", "TypicalDefectImage1"),
+    ("typicaldefectimage2", "TypicalDefectImage2"), ("typeicaldefectimage2", "TypicalDefectImage2"), ("defectparetochart", "DefectParetoChart"),
+    ("defecttrendchart", "DefectTrendChart"), ("defectbarchart", "DefectBarChart"), ("defectmappost", "DefectMapPost"), ("defectmappre", "DefectMapPre"),
+    ("edxdefectimage", "EDXDefectImage"), ("diestack", "DieStack"), ("moreimage", "MoreImage"), ("typicalmap2", "TypicalMap2"), ("typeicalmap2", "TypicalMap2"),
+    ("typicalmap", "TypicalMap"), ("typeicalmap", "TypicalMap"),
+)
 _STEM = "regexp_extract(coalesce(image_path, ''), '([^/\\\\]*)$', 1)"
 
 
 @query(
     f"""with p as (select label_id, image_path, {_STEM} fn from labels_example), q as (select *, case when regexp_matches(fn, '.\\.[^.]*$') then regexp_replace(fn, '\\.[^.]*$', '') else fn end st from p),
     r as (select *, regexp_replace(lower(st), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') k from q)
-    select label_id, fn file_name, case {' '.join(f"when contains(k, '{k}') then '{v}'" for k, v in ROLE_ALIASES)} when trim(st) <> '' then trim(st) else 'Image' end image_role, lower(regexp_extract(fn, '.\\.([^.]*)$', 1)) in ({', '.join(map(quoted, EXTENSIONS))}) is_image from r"""
+    select label_id, fn file_name, case {' '.join(f"when contains(k, '{k}') then '{v}'" for k, v in _ALIASES)} when trim(st) <> '' then trim(st) else 'Image' end image_role, lower(regexp_extract(fn, '.\\.([^.]*)$', 1)) in ('jpg', 'jpeg', 'png', 'bmp', 'webp', 'tif', 'tiff') is_image from r"""
 )
 def path_classify(spark, d):
     p = F.col("image_path")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -78,3 +79,13 @@ def clear_tables(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftmill/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order they have (of their files, or after ``orderBy``): rows of each task are counted,
+    and numbered from where the tasks before it end. No task numbers all."""
+    at = materialise(rows.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "numbered")
+    counts = at.groupBy("__p").agg(F.count("*").alias("n"))
+    before = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__s"))  # one row a task
+    nth = F.row_number().over(W.partitionBy("__p").orderBy("__m")) - 1
+    return at.withColumn("__r", nth).join(broadcast_if_small(before), "__p").withColumn(out, F.col("__s") + F.col("__r")).drop("__p", "__m", "__s", "__r")

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from siftmill.functions.paths import EXTENSIONS, image_role
 from siftmill.operators.records import first_rows, parse_records
-from siftmill.session import broadcast_if_small, materialise
+from siftmill.session import numbered
 
 NOTE = "knowledge_id string, title string, organization string, url string, topics array<string>, summary_zh string, analysis_methods array<string>, limitations string"
 LEDGER = "file_name string, sha256 string, imported_at string, slide_count int, record_count int, image_count int, records array<struct<dn_no:string,slide:int,images:array<struct<image_type:string,file_name:string>>>>"
 
 
+def write_tar(files: DataFrame, path: str) -> int:
+    """Write ``files(name, content)`` as one archive on the driver's file system and return how many there were: one row at a time
+    goes to the driver, in order of name, and the archive gets its name only when it is whole."""
+    part = f"{path}.{uuid.uuid4().hex[:8]}.part"
+    n = 0
+    try:
+        with tarfile.open(part, "w") as tar:
+            for row in files.select("name", "content").orderBy("name").toLocalIterator():
+                entry = tarfile.TarInfo(row["name"])
+                entry.size = len(row["content"] or b"")
+                tar.addfile(entry, io.BytesIO(bytes(row["content"] or b"")))
+                n += 1
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return n
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that are objects; blank and broken ones are passed over."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -35,16 +58,6 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
-def numbered(rows: DataFrame, out: str) -> DataFrame:
-    """``rows`` with their place from 0 in the order of their files: rows of each task are counted, and numbered from where the
-    tasks before it end."""
-    at = materialise(rows.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "numbered")
-    counts = at.groupBy("__p").agg(F.count("*").alias("n"))
-    before = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__s"))  # one row a task
-    nth = F.row_number().over(W.partitionBy("__p").orderBy("__m")) - 1
-    return at.withColumn("__r", nth).join(broadcast_if_small(before), "__p").withColumn(out, F.col("__s") + F.col("__r")).drop("__p", "__m", "__s", "__r")
-
-
 def read_texts(spark: SparkSession, path: str, imported: DataFrame | None = None) -> DataFrame:
     """Records of a CSV of notes: column ``TEXT``, else the first; parsed, called ``local-n`` by their place among the texts that
     aren't NULL. Of records of one number the last counts. ``imported(record_id, ...)`` replaces rows of the same id."""

@@ -214,3 +214,42 @@ def test_tables_and_folders_are_chosen(spark, tmp_path):
     with pytest.raises(ValueError, match="no table"):
         files.choose_table(spark, "no_such_table", "other", strict=True)
     assert files.first_folder(spark, [str(tmp_path / "none"), str(tmp_path)]) == str(tmp_path) and files.first_folder(spark, []) is None
+
+
+def test_png_and_previews(spark):
+    import base64
+    import zlib
+
+    image = np.random.default_rng(1).integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    raw = Z.png(image)
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[16:24] == b"\0\0\0\x05\0\0\0\x07"
+    size = int.from_bytes(raw[33:37], "big")
+    rows = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(7, 16)
+    assert (rows[:, 0] == 0).all() and (rows[:, 1:].reshape(7, 5, 3) == image).all()
+    wafer = np.full((120, 120, 3), 200, np.uint8)
+    wafer[20:50, 30:60] = (220, 20, 20)
+    df = spark.createDataFrame([("m", 120, 120, bytearray(wafer.tobytes())), ("bad", 3, 3, bytearray(b"x")), ("none", None, 1, None)], "img_id string, height int, width int, rgb binary")
+    got = {r.img_id: r.previews for r in Z.map_previews(df).collect()}
+    assert got["bad"] is None and got["none"] is None and len(got["m"]) >= 1
+    assert all(base64.b64decode(u.removeprefix("data:image/png;base64,")).startswith(b"\x89PNG") for u in got["m"])
+
+
+def test_archive_is_whole_or_not_there(spark, tmp_path):
+    import tarfile
+
+    df = spark.createDataFrame([("b", bytearray(b"22")), ("a", bytearray(b"1")), ("c", None)], "name string, content binary")
+    path = tmp_path / "set.tar"
+    assert files.write_tar(df, str(path)) == 3
+    with tarfile.open(path) as tar:
+        assert {m.name: tar.extractfile(m).read() for m in tar} == {"a": b"1", "b": b"22", "c": b""}
+    with pytest.raises(Exception):  # noqa: B017
+        files.write_tar(df.select("name", F.raise_error(F.lit("no")).cast("binary").alias("content")), str(tmp_path / "bad.tar"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["set.tar"]
+
+
+def test_labels_are_numbered_without_one_task_for_all(spark):
+    from siftmill.operators.mlops import label_index
+
+    df = spark.createDataFrame([(str(i % 300),) for i in range(900)] + [("b",), ("a",), (" a ",), (None,), ("未知",)], "label string").repartition(5)
+    got = {r.label: r.target for r in label_index(df, "label").collect()}
+    assert got == {str(i): i for i in range(300)} | {"a": 300, "b": 301}
