@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions.bind import let
-from siftmill.functions.clauses import CODE, Told, before, marks, first_value
+from siftmill.functions.clauses import CODE, Told, before, first_value, marks
 from siftmill.functions.parse import NOTE, PLATFORM
 from siftmill.functions.text import fold_code, strip
 
@@ -58,7 +58,7 @@ def conditions(question: Column) -> Column:
             value = lambda key: first_value(found, grammar[key][0])
             out = []
             for f in FIELDS:
-                ways = [F.nullif(F.regexp_extract(text, r"(?i)\b(DN-[A-Za-z0-9-]+)\b", 1), F.lit(""))] if f == "dn_no" else [value(f"k:{f}")]
+                ways = [F.nullif(F.regexp_extract(text, r"(?i)(?<![\p{L}\p{N}_])(DN-[A-Za-z0-9-]++)(?![\p{L}\p{N}_])", 1), F.lit(""))] if f == "dn_no" else [value(f"k:{f}")]
                 ways += [value(f"n:{f}")] if f in NAMED else []
                 ways += [before(text, FOLLOWED[f])] if f in FOLLOWED else []
                 ways += [value(f"r:{f}")] if f in RELATED else []

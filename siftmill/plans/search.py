@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill import api
 from siftmill.functions import tokens as K
 from siftmill.functions.jsontext import clean_json
+from siftmill.functions.vector import finite
 from siftmill.operators import evidence as E
 from siftmill.operators import facets as X
-from siftmill import api
-from siftmill.functions.vector import finite
 from siftmill.operators import records as R
 from siftmill.operators import retrieval as S
-from siftmill.plans.records import SQL_ID, quoted, sql_fold, sql_missing, sql_present
+from siftmill.plans.records import SQL_ID, quoted, sql_fold, sql_missing, sql_parsed, sql_present, sql_strip
 from siftmill.plans.tables import table
 from siftmill.session import materialise, spread
 
@@ -437,7 +437,48 @@ def metric_rerank(spark, d):
     return S.by_metric(S.top(hits, "import_id", 100), "scanned_wafers", "import_id").select("import_id", "metric", "place")
 
 
-@query()
+# Questions as the SQL reads them: cut at the names of a field, the value is read where a part begins or ends.
+_CODE = "[A-Za-z0-9][A-Za-z0-9_.-]*"
+_LEADING = {
+    "class_type": ("Class|类别|类型", r"Class\d+"), "lot_id": (r"Lot\s*ID|批次号|批次编号", "[A-Za-z0-9_.-]+"), "product_id": ("ProductID|产品编号|产品ID|产品", "[A-Za-z0-9_.-]+"), "platform": ("工艺平台|平台|Tech", "[A-Za-z0-9]+"),
+    "station": ("工艺站点|站点|Station", "[A-Za-z0-9_]+"), "machine": ("扫描机器|机器|Machine", "[A-Za-z0-9]+"), "defect_type": ("缺陷类型|Defect|缺陷代码", "[A-Za-z0-9_]+"), "map_location": ("Map位置|Map分布", r"[A-Za-z\s]+"),
+}
+_OTHER = {"dn_no": "dn编号|dn号|dn", "lot_id": r"lotid|lot\s*id|lot|批次号|批次", "platform": "工艺平台|平台|tech", "station": "工艺站点|站点|station", "machine": "扫描机器|机器|机台|machine", "defect_type": "缺陷类型|缺陷|defect"}
+_TRAILING = {"platform": "工艺平台|平台", "machine": "扫描机器|机器|机台", "defect_type": "缺陷类型|缺陷", "lot_id": "LotID|批次"}
+
+
+def _asked_sql(f: str) -> str:
+    parts = lambda cut: f"regexp_split_to_array(ft, '(?i)(?:{cut})')"
+    first = lambda of, value: f"list_filter(list_transform({of}, lambda x: {value}), lambda x: x <> '')[1]"
+    ways = ["nullif(regexp_extract(ft, '(?i)(?:^|[^\\p{L}\\p{N}_])(DN-[A-Za-z0-9-]+)(?:$|[^\\p{L}\\p{N}_-])', 1), '')"] if f == "dn_no" else []
+    if f in _LEADING:
+        cut, value = _LEADING[f]
+        ways.append(first(f"{parts(cut)}[2:]", f"regexp_extract(x, '(?i)^\\s*[:{'=' if f == 'product_id' else ''}为是]?\\s*({value})', 1)"))
+    if f in _OTHER:
+        ways.append(first(f"{parts(_OTHER[f])}[2:]", f"case when regexp_matches(x, '^[A-Za-z]') then '' else regexp_extract(x, '^\\s*(?:为|是|叫|等于|=|:)?\\s*({_CODE})', 1) end"))
+    if f in _TRAILING:
+        ways.append(first(f"{parts(_TRAILING[f])}[1:-2]", f"regexp_extract(x, '({_CODE})\\s*$', 1)"))
+    if f in ("defect_type", "platform"):
+        ways.append(first(f"{parts('哪些')}[2:]", f"regexp_extract(x, '^\\s*({_CODE})\\s*发生在\\s*({_CODE})', {1 if f == 'defect_type' else 2})"))
+    ways.append(sql_parsed(f))
+    return "coalesce(" + ", ".join(f"nullif(trim({w}, ' ,。;:.' || chr(9) || chr(10) || chr(13)), '')" for w in ways) + ")"
+
+
+_NAMED = ("class_type", "defect_type", "dn_no", "lot_id", "machine", "map_location", "platform", "product_id", "station")
+
+
+@query(
+    f"with f as (select ord, coalesce(text_content, '') q, {sql_strip(sql_fold("coalesce(text_content, '')"))} ft from payload_parser), c as (select ord, q, "
+    + ", ".join(f"{_asked_sql(f)} as {f}" for f in _NAMED)
+    + " from f) select ord, concat_ws(';', "
+    + ", ".join(f"'{f}=' || {f}" for f in _NAMED)
+    + """) conditions, case when coalesce(dn_no, lot_id, machine, platform, station, map_location) is not null or (defect_type is not null and (contains(q, '缺陷类型') or regexp_matches(defect_type, '^[A-Za-z][A-Za-z0-9.-]*_\\d+$')))
+    or len(list_filter(["""
+    + ", ".join(_NAMED)
+    + "], lambda x: x is not null)) >= 2 then 'exact' else 'hybrid' end mode from c"
+)
 def routed_questions(spark, d):
     """Conditions and route of each note taken as a question."""
-    return S.route(table(spark, d, "payload_parser"), "ord", "text_content")
+    told = S.route(table(spark, d, "payload_parser"), "ord", "text_content")
+    pairs = F.transform(F.array_sort(F.map_entries("conditions")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return told.select("ord", F.array_join(pairs, ";").alias("conditions"), "mode")
