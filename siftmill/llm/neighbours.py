@@ -328,10 +328,10 @@ def nearest(
     min_cosine: float = -1.0,
     dim: int = 64,
     reach: float = 0.06,
-    visits: int = 4,
+    visits: int = 5,
     trees: int = 3,
     leaf_rows: int = 512,
-    leaves: float = 9,
+    leaves: float = 12,
     region_rows: int = REGION_ROWS,
     slice_rows: int = SLICE_ROWS,
     hot_copies: int | None = None,
