@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftmill.functions.text import fold_code, is_missing, present
+from siftmill.functions.text import fold_code, is_missing, present, strip
 
 # Fields that may be filtered on, and fields charted in a report.
 FILTER_FIELDS = ("lot_id", "machine", "station", "platform", "defect_type", "map_location", "dft_location", "product_id")
@@ -158,8 +158,8 @@ def first_spelling(rows: DataFrame, value: str, order: str) -> DataFrame:
 def candidates(records: DataFrame, file: str, order: str, fields: Sequence[str] = FILTER_FIELDS) -> DataFrame:
     """``(file, field, values)``: what the slides of a file tell of each field, to be offered as filters: each value once whatever its
     case, in the spelling and order in which it first comes; missing ones and 0 not. A file's slides are few."""
-    told = _long(records, fields, [file, order]).where(~is_missing(F.col("value")) & (F.trim("value") != "0"))
-    once = told.groupBy(file, "field", F.lower(F.trim("value")).alias("__k")).agg(F.min(F.struct(F.col(order).alias("o"), F.trim("value").alias("v"))).alias("f"))
+    told = _long(records, fields, [file, order]).where(~is_missing(F.col("value"))).withColumn("value", strip(F.col("value"))).where("value <> '0'")
+    once = told.groupBy(file, "field", F.lower("value").alias("__k")).agg(F.min(F.struct(F.col(order).alias("o"), F.col("value").alias("v"))).alias("f"))
     return once.groupBy(file, "field").agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]).alias("values"))
 
 

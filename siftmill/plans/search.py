@@ -355,7 +355,7 @@ def first_spellings(spark, d):
 
 
 @query(
-    f"""with l as ({_long_sql('ppt_import', X.FILTER_FIELDS, ', source_file, import_id')}), o as (select source_file, field, lower(trim("value")) k, min((import_id, trim("value"))) f from l where not {sql_missing(chr(34) + 'value' + chr(34))} and trim("value") <> '0' group by 1, 2, 3)
+    f"""with l as ({_long_sql('ppt_import', X.FILTER_FIELDS, ', source_file, import_id')}), t as (select source_file, import_id, field, {sql_strip(chr(34) + 'value' + chr(34))} v from l where not {sql_missing(chr(34) + 'value' + chr(34))}), o as (select source_file, field, lower(v) k, min((import_id, v)) f from t where v <> '0' group by 1, 2, 3)
     select source_file, field, string_agg(f[2], '|' order by f) "values" from o group by 1, 2"""
 )
 def upload_candidates(spark, d):

@@ -59,8 +59,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where the layout of its files gives fewer tasks than there are cores: for work that costs far
-    more than moving such a small input. An input of as many tasks stays as it is."""
+    more than moving such a small input. An input of as many tasks stays as it is, as does one that comes out of a shuffle
+    (to ask how many tasks it has would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -150,3 +150,14 @@ def test_more_hot_keys_than_may_be_broadcast(spark):
     for how in ("inner", "left"):
         got = lookup(rows, unique, ["k"], "n", F.col("i"), how, hot_rows=2, max_hot=3).collect()
         assert len(got) == rows.count() and all(r.v == 10 * r.k for r in got)
+
+
+def test_spread_asks_no_shuffled_input(spark, small):
+    from siftmill.session import spread
+
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    assert spread(grouped) is grouped and sorted(map(tuple, spread(rows).select("doc_id").collect())) == sorted(map(tuple, rows.select("doc_id").collect()))
+    many = spark.range(0, 100, 1, 50)
+    assert spread(many) is many

@@ -184,13 +184,6 @@ def test_plans(spark, small):
     assert tokens is not None
 
 
-def test_too_many_labels_are_refused(spark):
-    label = lambda n: spark.range(n).select(F.col("id").cast("string").alias("label"))
-    assert M.label_index(label(100_000), "label").agg(F.max("target")).first()[0] == 99_999
-    with pytest.raises(ValueError):
-        M.label_index(label(100_001), "label")
-
-
 def test_too_many_query_images_are_refused(spark):
     v = spark.createDataFrame([("A", "binmap", [1.0, 0.0])], "dn_no string, modality string, vector array<double>")
     q = lambda n: spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("query_vector"))
