@@ -3,7 +3,7 @@
 A random-projection tree, fitted on a bounded sample, cuts space into regions small enough for one task; each
 vector is a member of its own region and also asks the regions across the planes it lies close to. It finds them
 by a descent that keeps the few best branches, so its cost grows with the depth of the tree, not with the regions.
-A region with more members than one task should hold is cut into slices, all of which are asked.
+A region with more members than one task should hold is cut into slices, all of which are asked, by blocks of those that ask.
 In a slice a forest of random-projection trees over its members is searched through one priority queue for each
 query: leaves of all trees are opened in the order of their margins, the home leaves first. Only the best so far
 are kept. Their cosines are exact.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import ctypes
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ REGION_ROWS, SLICE_ROWS = 65_536, 131_072
 SAMPLE_ROWS = (4_096, 262_144)
 #: Fewest of them a region is cut from.
 REGION_SAMPLE = 32
+#: Cosine from which two unit vectors (of single precision) have one direction.
+SAME = 1 - 1e-6
 
 
 def one_thread() -> None:
@@ -168,8 +171,30 @@ def _unpack(raw: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def _place(tree: Tree | None, slices: np.ndarray, dim: int, reach: float, visits: int, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each slice a vector is a member of (one) or asks (any)."""
+@dataclass
+class Regions:
+    """Where vectors are searched for: the tree (None for one region), how many slices its members are cut into and how many
+    blocks those that ask come in, by region; and directions that very many vectors of a region share."""
+
+    tree: Tree | None
+    slices: np.ndarray
+    blocks: np.ndarray
+    crowd_region: np.ndarray
+    crowd: np.ndarray
+
+    def crowded(self, home: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Which vectors have a direction that is crowded in their region."""
+        out = np.zeros(len(home), bool)
+        for region, direction in zip(self.crowd_region, self.crowd, strict=True):
+            out |= (home == region) & (unit @ direction >= SAME)
+        return out
+
+
+def _place(where: Regions, dim: int, reach: float, visits: int, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each task a vector is a member in (every block of its slice) or asks in (its block of each slice).
+
+    A vector of a crowded direction finds its like in its own slice and asks nowhere else, so a crowd costs no more than
+    other rows, wherever it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -179,28 +204,38 @@ def _place(tree: Tree | None, slices: np.ndarray, dim: int, reach: float, visits
                 at, flat = _usable(batch.column(2), dim)
                 if not len(at):
                     continue
-                ids = batch.column(0).to_numpy()[at]
-                ask = ids % every == 0
-                if tree is None:
+                ids, unit = batch.column(0).to_numpy()[at], _unit(flat)
+                if where.tree is None:
                     leaf, margin = np.zeros((len(at), 1), np.int64), np.zeros((len(at), 1), np.float32)
                 else:
-                    leaf, margin = tree.best(_unit(flat), visits)
-                go = (margin >= -reach) & ask[:, None]
-                go[:, 0] = True
-                rows, where = np.nonzero(go)
-                region = leaf[rows, where]
-                home = where == 0
-                # All slices of a region are asked; a member belongs to one of them.
-                n = slices[region]
-                rows, region, home, n = (np.repeat(x, n) for x in (rows, region, home, n))
-                no = _runs(rows, region)
-                home &= no == (ids[rows] * np.int64(-7046029254386353131) >> 33) % n
-                kept = home | ask[rows]
-                rows, region, home, no = rows[kept], region[kept], home[kept], no[kept]
+                    leaf, margin = where.tree.best(unit, visits)
+                ask = ids % every == 0
+                go = (margin >= -reach) & (ask & ~where.crowded(leaf[:, 0], unit))[:, None]
+                mix = ids * np.int64(-7046029254386353131)
+                home = leaf[:, 0]
+                own_slice = (mix >> 33) % where.slices[home]
+
+                def own_block(rows: np.ndarray, region: np.ndarray, mix: np.ndarray = mix) -> np.ndarray:
+                    return (mix[rows] >> 17) % where.blocks[region]
+
+                # As a member: in every block of its slice; it asks in one of them.
+                member = np.repeat(np.arange(len(at)), where.blocks[home])
+                no = _runs(member)
+                parts = [(member, home[member], own_slice[member], no, np.ones(len(member), bool), ask[member] & (no == own_block(member, home[member])))]
+                # As one that asks: in its block of every other slice.
+                row, col = np.nonzero(go)
+                region = leaf[row, col]
+                n = where.slices[region]
+                row, col, region = np.repeat(row, n), np.repeat(col, n), np.repeat(region, n)
+                no = _runs(row, col)
+                other = (col > 0) | (no != own_slice[row])
+                row, region, no = row[other], region[other], no[other]
+                parts.append((row, region, no, own_block(row, region), np.zeros(len(row), bool), np.ones(len(row), bool)))
+                rows, region, cut, block, member, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
                 picked = pa.array(at[rows])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(picked), pa.array(region, pa.int32()), pa.array(no, pa.int32()), batch.column(0).take(picked), pa.array(home), _pack(flat[rows])],
-                    ["part", "region", "slice", "id", "home", "raw"],
+                    [batch.column(1).take(picked), *[pa.array(x, pa.int32()) for x in (region, cut, block)], batch.column(0).take(picked), pa.array(member), pa.array(asks), _pack(flat[rows])],
+                    ["part", "region", "slice", "block", "id", "home", "asks", "raw"],
                 )
 
     return run
@@ -244,7 +279,7 @@ class Best:
         self.least[who] = all_score.min(axis=1)
 
 
-def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: float, every: int) -> Callable[[pa.Table], pa.Table]:
+def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves: float) -> Callable[[pa.Table], pa.Table]:
     """Neighbours found in one slice. Leaves are opened for each query in the order of one queue over all trees."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,7 +288,7 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         flat = _unpack(table.column("raw").to_pylist(), dim)
         points = _unit(flat)
-        members, asking = np.flatnonzero(home), np.flatnonzero(ids % every == 0)
+        members, asking = np.flatnonzero(home), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False).astype(bool))
         if not len(members) or not len(asking):
             return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         rng = np.random.default_rng(len(members))
@@ -298,25 +333,46 @@ def _search(dim: int, k: int, least: float, trees: int, leaf_rows: int, leaves:
     return run
 
 
-def _regions(lead: DataFrame, total: int, dim: int, region_rows: int, slice_rows: int) -> tuple[Tree | None, np.ndarray]:
-    """The tree of regions, and into how many slices each is cut, both from one sample of the rows."""
+def _regions(lead: DataFrame, total: int, dim: int, visits: int, region_rows: int, slice_rows: int) -> Regions:
+    """Regions, slices, blocks and crowds, all from one sample of the rows."""
+    one = np.array([max(1, -(-total // slice_rows))])
+    single = Regions(None, one, one, np.zeros(0, np.int64), np.zeros((0, dim), np.float32))
     depth = max(0, math.ceil(math.log2(max(1, total) / region_rows)))
     depth = min(depth, int(math.log2(SAMPLE_ROWS[1] / REGION_SAMPLE)))
     if not depth:
-        return None, np.array([max(1, -(-total // slice_rows))])
+        return single
     want = min(max(SAMPLE_ROWS[0], 4 * REGION_SAMPLE << depth), SAMPLE_ROWS[1])
     share = max(1, total // want)
     sample = lead.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("vector").limit(2 * want).toArrow().column("vector")
     _, flat = _usable(sample, dim)
     if len(flat) < 2:
-        return None, np.array([max(1, -(-total // slice_rows))])
+        return single
     unit = _unit(flat)
     tree = Tree(unit, depth, np.random.default_rng(7))
-    held = np.zeros(1 << depth, np.int64)
-    for i in range(0, len(unit), 4096):
-        held += np.bincount(tree.best(unit[i : i + 4096], 1)[0][:, 0], minlength=1 << depth)
+    home = np.concatenate([tree.best(unit[i : i + 4096], 1)[0][:, 0] for i in range(0, len(unit), 4096)])
     tree.leaves = []  # the sample's own rows aren't sent to the tasks
-    return tree, np.maximum(1, np.ceil(held / len(unit) * total / slice_rows)).astype(np.int64)
+    held = np.bincount(home, minlength=1 << depth)
+    scale = total / len(unit)
+    slices = np.maximum(1, np.ceil(held * scale / slice_rows)).astype(np.int64)
+    crowd_region, crowd, plain = [], [], held.astype(np.float64)
+    rng = np.random.default_rng(11)
+    for region in np.flatnonzero(slices > 1):
+        rest = unit[home == region]
+        least = max(8, len(rest) / (2 * slices[region]))
+        # A direction as common as that is met among a few points by chance.
+        for _ in range(4 * int(slices[region])):
+            some = rest[rng.choice(len(rest), min(len(rest), 32), replace=False)] if len(rest) else rest
+            same = some @ rest.T >= SAME
+            if not len(rest) or same.sum(axis=1).max() < least:
+                break
+            top = same.sum(axis=1).argmax()
+            crowd_region.append(region)
+            crowd.append(some[top])
+            plain[region] -= same[top].sum()
+            rest = rest[~same[top]]
+    # Rows that ask come from all around, each of them in one block.
+    blocks = np.maximum(1, np.ceil(plain * scale * min(visits, 8) / (8 * slice_rows))).astype(np.int64)
+    return Regions(tree, slices, blocks, np.array(crowd_region, np.int64), np.array(crowd, np.float32).reshape(-1, dim))
 
 
 def nearest(
@@ -365,12 +421,13 @@ def nearest(
         first = ranked.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
         first = materialise(first, "copy_ids")
         tail = (ranked, first)
-    tree, slices = _regions(lead, total, dim, region_rows, slice_rows)
-    placed = lead.mapInArrow(_place(tree, slices, dim, reach, visits, every), "part string, region int, slice int, id bigint, home boolean, raw binary")
+    where = _regions(lead, total, dim, visits, region_rows, slice_rows)
+    placed = lead.mapInArrow(_place(where, dim, reach, visits, every), "part string, region int, slice int, block int, id bigint, home boolean, asks boolean, raw binary")
     # Slices are of one size: as many tasks as there may be of them, twice, keep those that share one few.
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * int(slices.sum()))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * int((where.slices * where.blocks).sum()))
     schema = T.StructType([T.StructField("vec_a", T.LongType()), T.StructField("vec_b", T.LongType()), T.StructField("cosine", T.DoubleType())])
-    near = placed.repartition(tasks, "part", "region", "slice").groupBy("part", "region", "slice").applyInArrow(_search(dim, k, min_cosine, trees, leaf_rows, leaves, every), schema)
+    own = ("part", "region", "slice", "block")
+    near = placed.repartition(tasks, *own).groupBy(*own).applyInArrow(_search(dim, k, min_cosine, trees, leaf_rows, leaves), schema)
     # Whoever found a pair, both ends know of it; both are told in one pass, so that nothing is searched twice.
     ends = [F.struct(F.col(a).alias("vec_a"), F.col(b).alias("vec_b"), "cosine") for a, b in (("vec_a", "vec_b"), ("vec_b", "vec_a"))]
     near = near.select(F.explode(F.array(*ends)).alias("p")).select("p.*").where(F.pmod("vec_a", F.lit(every)) == 0)

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
-from siftmill.llm.neighbours import Tree, nearest, near_pairs
+from pyspark.sql import functions as F
+
+from siftmill.llm import neighbours
+from siftmill.llm.neighbours import Tree, near_pairs, nearest
 
 SCHEMA = "vec_id bigint, modality string, vector array<float>, cosine int"
 
@@ -102,6 +105,28 @@ def test_a_third_in_one_tight_cluster(spark, slice_rows):
         assert len(got[i]) == 10 and min(c for c, _ in got[i]) > exact[-1] - 2e-4
 
 
+def test_a_crowd_of_one_direction_asks_its_own_slice_only(spark):
+    """A third of all vectors differ in length alone (by powers of two, so that no plane parts them)."""
+    pts = data(1200, seed=4)
+    scaled = pts[1] * 2.0 ** np.random.default_rng(2).integers(-8, 8, (600, 1)).astype(np.float32)
+    every = np.concatenate([pts, scaled + 0]).astype(np.float32)
+    df = spark.createDataFrame([(i, "sem", v.tolist(), 0) for i, v in enumerate(every)], SCHEMA)
+    args = {"region_rows": 300, "slice_rows": 120, "leaf_rows": 64, "hot_copies": 10_000}
+    where = neighbours._regions(df.select(F.col("vec_id").alias("id"), "vector"), len(every), 64, 5, 300, 120)
+    assert len(where.crowd) and where.slices.max() >= 5 and len(set(where.crowd_region.tolist())) == 1
+    sizes = []
+    for batch in neighbours._place(where, 64, 0.06, 5, 1)(iter([df.select("vec_id", "modality", "vector").toArrow().combine_chunks().to_batches()[0]])):
+        sizes += list(zip(*(batch.column(c).to_pylist() for c in ("region", "slice", "block")), strict=True))
+    assert max(sizes.count(x) for x in set(sizes)) < 700
+    got = {}
+    for r in nearest(df, "vec_id", "vector", "modality", 10, 0.92, **args).collect():
+        got.setdefault(r.vec_a, []).append((r.cosine, r.vec_b))
+    for i in range(1200, 1800, 11):
+        assert len(got[i]) == 10 and min(c for c, _ in got[i]) > 0.999999
+    want = {(a, b) for a, b in brute(list(range(len(every))), ["sem"] * len(every), every, 10, 0.92) if a < 1200 and b < 1200 and a != 1}
+    assert len({(a, b) for a, b in want if b in {x for _, x in got.get(a, [])}}) / len(want) > 0.95
+
+
 def test_only_every_tenth_is_asked_for(spark):
     pts = data(1500, seed=2)
     df = spark.createDataFrame([(i, "sem", pts[i].tolist(), 0) for i in range(len(pts))], SCHEMA)
