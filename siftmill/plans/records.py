@@ -16,7 +16,8 @@ from siftmill.operators import records as R
 from siftmill.operators import tables as T
 from siftmill.plans.tables import table
 from siftmill.session import spread, table_path
-from siftmill.sources.files import read_texts
+from siftmill.sources.files import read_jsonl, read_texts
+from siftmill.sources.labels import read_labels
 from siftmill.sources.uploads import accept, sniff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,3 +494,24 @@ def csv_notes(spark, d):
     rows = table(spark, d, "payload_parser").where("text_content is not null and text_content <> ''").select("ord", "text_content").coalesce(1).sortWithinPartitions("ord")
     rows.select(F.col("text_content").alias("TEXT")).write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     return read_texts(spark, path).select("record_id", "machine")
+
+
+@query(f"select label_id::varchar label_id, image_path, trim(label) label from labels_example where not {sql_missing('image_path')} and not {sql_missing('label')}")
+def labels_csv(spark, d):
+    """Labelled images written to delimited files and read back, all as text; rows without an image or a label are left out."""
+    path = table_path(spark, "labels_csv")
+    rows = table(spark, d, "labels_example").select(F.col("label_id").cast("string").alias("label_id"), "image_path", "label")
+    rows.write.csv(path, sep=";", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_labels(spark, path).select("label_id", "image_path", "label")
+
+
+@query("select import_id, lot_id, len(images)::int n_images, coalesce(list_min(list_transform(images, lambda i: i.file_name)), '') first_image from ppt_import where import_id % 5 > 1")
+def broken_jsonl(spark, d):
+    """Records written as JSON lines, of each five one cut off and one blank, and read back."""
+    path = table_path(spark, "records_jsonl")
+    whole = F.to_json(F.struct("import_id", "lot_id", "images"))
+    line = F.when(F.col("import_id") % 5 == 0, F.substring(whole, 1, 20)).when(F.col("import_id") % 5 == 1, F.lit("  ")).otherwise(whole)
+    table(spark, d, "ppt_import").select(line.alias("value")).write.text(path)
+    back = read_jsonl(spark, path, "import_id bigint, lot_id string, images array<struct<image_type:string,file_name:string>>")
+    first = F.coalesce(F.array_min(F.transform("images", lambda i: i["file_name"])), F.lit(""))
+    return back.select("import_id", "lot_id", F.size("images").alias("n_images"), first.alias("first_image"))

@@ -10,8 +10,8 @@ from siftmill.functions.text import is_missing
 
 def read_labels(spark: SparkSession, path: str, sep: str = ";", image: str = "image_path", label: str = "label") -> DataFrame:
     """All columns as text; rows without an image or a label are left out, labels trimmed. A file without these columns
-    is refused."""
-    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True)
+    is refused. Quotes inside quoted values are doubled; a backslash is a character like others."""
+    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"')
     if lacking := {image, label} - set(rows.columns):
         raise ValueError(f"columns missing: {sorted(lacking)}")
     return rows.where(~is_missing(F.col(image)) & ~is_missing(F.col(label))).withColumn(label, F.trim(label))
