@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed values of the segmentation.
@@ -340,6 +341,25 @@ _REGION_ARROW = pa.list_(
 )
 
 
+def drawn(points: DataFrame, image: str, x: str, y: str, width: int, height: int) -> DataFrame:
+    """``(img_id, height, width, rgb)``: pictures of defect pixels, red on grey. A picture has no more pixels than its size."""
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spots in batch.column(1).to_pylist():
+                picture = np.full((height, width, 3), 200, np.uint8)
+                at = np.array(spots, np.int64)
+                picture[at // width, at % width] = (220, 20, 20)
+                out.append(picture.tobytes())
+            size = lambda n: pa.array([n] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size(height), size(width), pa.array(out, pa.binary())], ["img_id", "height", "width", "rgb"])
+
+    inside = points.where(F.col(x).between(0, width - 1) & F.col(y).between(0, height - 1))
+    spots = F.collect_set((F.col(y) * width + F.col(x)).cast("int"))
+    return inside.groupBy(F.col(image).cast("string").alias("img_id")).agg(spots.alias("spots")).mapInArrow(paint, "img_id string, height int, width int, rgb binary")
+
+
 def map_regions(images: DataFrame) -> DataFrame:
     """``(img_id, regions)`` of ``images(img_id STRING, height, width, rgb)``; NULL for bytes that don't fit the size."""
     return images.select("img_id", "height", "width", "rgb").mapInArrow(_each(regions, "regions", _REGION_ARROW), T.StructType([T.StructField("img_id", T.StringType()), T.StructField("regions", T.ArrayType(REGION))]))

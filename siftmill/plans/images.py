@@ -15,6 +15,7 @@ from siftmill.functions import box
 from siftmill.functions.paths import ROLES
 from siftmill.functions.vector import norm, normalise, visual_score
 from siftmill.operators import images as I
+from siftmill.operators import rasters as Z
 from siftmill.operators import records as R
 from siftmill.plans.tables import table
 from siftmill.session import materialise
@@ -132,6 +133,31 @@ def geometry_similarity(spark, d):
     return out.select("record", F.round("geometry", 6).alias("geometry"))
 
 
+_DRAWN = f"""with p as (select distinct l_suppkey % 20 img, l_quantity::int x, floor(l_extendedprice / 1000)::int y from lineitem where l_quantity <= 50 and floor(l_extendedprice / 1000) < 128),
+ n as (select img, count(*) n from p group by 1), r as (select img, least(floor(sqrt((x - 25) ** 2 + (y - 63.5) ** 2) / sqrt(25.0 ** 2 + 63.5 ** 2) * 8), 7)::int bin, count(*) c from p group by 1, 2)"""
+
+
+def _drawn(spark, d) -> DataFrame:
+    points = _pixels(spark, d).withColumn("img", F.col("img") % 20)
+    return Z.drawn(points, "img", "x", "y", WIDTH, HEIGHT)
+
+
+@query(f"{_DRAWN} select img::varchar img_id, round(n / 6528.0, 4) ratio, round(coalesce(sum(c) filter (where bin < 4), 0) / n::double, 4) inner_half from r join n using (img) group by img, n")
+def drawn_geometry(spark, d):
+    """Shape of drawn maps, told from their pixels: the share of defects, and of those in the inner half."""
+    g = Z.map_geometry(_drawn(spark, d))
+    inner = F.aggregate(F.slice("geometry", 1, 4), F.lit(0.0), lambda s, x: s + x)
+    return g.select("img_id", F.round(F.col("geometry")[8].cast("double"), 4).alias("ratio"), F.round(inner, 4).alias("inner_half"))
+
+
+@query()
+def drawn_regions(spark, d):
+    """Kind, connected parts and best regions of drawn maps."""
+    maps = materialise(_drawn(spark, d), "drawn")
+    parts = Z.map_components(maps).select("img_id", F.size("components").alias("n_components"))
+    return Z.map_regions(maps).join(parts, "img_id").join(Z.map_kinds(maps), "img_id").select("img_id", "modality", "n_components", F.size("regions").alias("n_regions"), F.col("regions")[0]["score"].alias("best_score"))
+
+
 @query("select user_id, event_type, event_id, (row_number() over (partition by user_id order by event_type, event_id))::int display_id from events")
 def request_blocks(spark, d):
     """Events of a user as the regions of a request, their types as its query images."""
