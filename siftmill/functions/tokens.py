@@ -25,7 +25,6 @@ SYNONYMS = {
 # Words without meaning for a search.
 STOPWORDS = ("查询", "查找", "帮我", "请", "一下", "相关", "记录", "信息", "异常", "哪些", "所有", "有没有", "对应")
 CODE = r"[a-z0-9]+(?:[_.-][a-z0-9]+)*"
-HAN = r"[\x{4e00}-\x{9fff}]+"  # a run of Chinese characters
 
 
 def sanitize(text: Column) -> Column:

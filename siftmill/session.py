@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; nothing that another run wrote is met there."""
-    return f"{shared_dir(spark)}/siftmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; nothing that another run wrote is met there. What an application writes under
+    such paths is deleted when its driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _ENDING:
+        _ENDING.add(application)
+        atexit.register(_delete, *_folder(spark))
+    return f"{shared_dir(spark)}/siftmill/{application}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Applications whose tables are deleted at the end.
+_ENDING: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> tuple[Any, Any]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftmill/{spark.sparkContext.applicationId}")
+    return path, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _delete(path: Any, configuration: Any) -> None:
+    try:
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; its folder is then left behind
+        return
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -79,10 +102,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; results that read it are no longer valid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete now what this application wrote to the shared folder; results that read it are no longer valid."""
+    path, configuration = _folder(spark)
+    path.getFileSystem(configuration).delete(path, True)
 
 
 def numbered(rows: DataFrame, out: str) -> DataFrame:

@@ -220,3 +220,17 @@ def test_one_index_serves_many_questions(corpus):
     for q in ("ring", "edge scratch", "zz", ""):
         own = {r.record_id: r.score for r in S.tfidf(corpus, "record_id", "text_content", q).collect()}
         assert own == pytest.approx({r.record_id: r.score for r in S.tfidf(corpus, "record_id", "text_content", q, index).collect()})
+
+
+def test_requests_for_records(spark):
+    rows = spark.createDataFrame([("DN-1", "QX1", "M1"), ("DN-2", "QX2", None)], "dn_no string, platform string, machine string")
+    images = spark.createDataFrame([("dn-1", "Odd", "b.png"), ("DN-1", "DefectMapPost", "a.png"), ("DN-3", "Odd", "c.png")], "dn_no string, image_type string, file_name string")
+    one = api.record(rows, images, " dn-1").collect()
+    assert [(r.dn_no, r.machine, [i.file_name for i in r.images]) for r in one] == [("DN-1", "M1", ["a.png", "b.png"])]
+    assert api.record(rows, images, "DN-2").count() == 0 and api.record(rows, images, "DN-3").first().has_record is False
+    assert [r.dn_no for r in api.filter_search(rows, {"platform": "qx1", "bad": ["x"]}).collect()] == ["DN-1"]
+    with pytest.raises(ValueError):
+        api.filter_search(rows, {}, limit=5_001)
+    assert [(r.field, r.value, r.n) for r in api.facet_counts(rows.union(rows.limit(1))).collect()] == [("machine", "M1", 2), ("platform", "QX1", 2), ("platform", "QX2", 1)]
+    rows.createOrReplaceTempView("kept_rows")
+    api.refresh(spark, ["kept_rows"])

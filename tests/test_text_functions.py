@@ -1,8 +1,7 @@
+import random
 import uuid
 from urllib.parse import quote
 
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftmill.functions import asked, box, ids, jsontext, paths, tokens
@@ -131,3 +130,12 @@ def test_marks_are_found_inside_one_another_and_values_in_their_clause(spark):
     a, b, c = (r.p for r in df.select(parse_fields(F.col("t")).alias("p")).collect())
     assert (a.defect_type, a.edx_bg, a.machine, a.scan_time, a.product_id, a.platform, a.station) == ("A_1", "Cu Si", "VLS", "2023/2/16 10:34:02", "P-1", "QX1", "S_1")
     assert b.platform is None and c.dn_no is None and c.total_wafers is None
+
+
+def test_any_text_is_a_question(spark):
+    rng = random.Random(1)
+    signs = "DN-2023 平台产品缺陷类型LotID批次哪些发生在为是:=，。；()_.\\n\u0000é机台Class"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "q string").withColumn("c", asked.conditions(F.col("q")))
+    rows = df.select("c", asked.is_exact(F.col("q"), F.col("c")).alias("e")).collect()
+    assert len(rows) == 300 and all(isinstance(r.e, bool) and all(v for v in r.c.values()) for r in rows)
