@@ -16,19 +16,23 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siftmill.functions.text import PLACEHOLDERS, dn_of, fold_code, is_missing, present
-from siftmill.session import broadcast_if_small, materialise, spread
+from siftmill.session import broadcast_if_small, materialise, numbered, spread
 
 #: Fields whose survivors are reported.
 FIELDS = ("lot_id", "machine", "defect_type", "edx_elements", "total_wafers", "text_content")
-#: Origins that fusion tells apart, those with most rows; the others vote each for itself but share one accuracy.
+#: Origins whose statistics are held in memory, as matrices; those of more are tables, with the same results.
 OWN_ORIGINS = 1_000
+#: Claims of an item that are paired with as many others under one key.
+PAIR_BLOCK = 1_024
 
 _IS = r"\s*+(?:为|是|:)?+\s*+"
 _NOT = r"(?!(?:" + "|".join(p for p in PLACEHOLDERS if p) + r")\s*(?:[,。;\s]|$|于|平台|站点))"
@@ -122,12 +126,23 @@ def surviving_records(rows: DataFrame, trust: DataFrame) -> DataFrame:
 
 @dataclass
 class Fusion:
-    """``values``: (dn_no, field_name, value, posterior, ord). ``accuracy`` by origin; ``copying`` by pair of
-    origins: the probability that one copies of the other."""
+    """``values``: (dn_no, field_name, value, posterior, ord). ``accuracies``: (origin, accuracy) of all origins;
+    ``copies``: (origin, other, copying) of all pairs that told of one item: the probability that one copies of the other.
+    ``accuracy`` and ``copying`` give the same of the ``named`` origins, those with most rows; 0 for pairs that never met."""
 
     values: DataFrame
-    accuracy: dict[str, float]
-    copying: dict[tuple[str, str], float]
+    accuracies: DataFrame
+    copies: DataFrame
+    named: list[str]
+
+    @cached_property
+    def accuracy(self) -> dict[str, float]:
+        return {r.origin: r.accuracy for r in self.accuracies.where(F.col("origin").isin(self.named)).orderBy("origin").collect()}
+
+    @cached_property
+    def copying(self) -> dict[tuple[str, str], float]:
+        met = self.copies.where(F.col("origin").isin(self.named) & F.col("other").isin(self.named)).collect()
+        return dict.fromkeys(itertools.combinations(sorted(self.named), 2), 0.0) | {(r.origin, r.other): r.copying for r in met}
 
     def records(self) -> DataFrame:
         """``(dn_no, *fields)``: each record built of its values of greatest posterior."""
@@ -244,19 +259,16 @@ def fuse(rows: DataFrame, trust: DataFrame, rounds: int = 4, false_values: int =
 
     Each origin's claim on a field is its latest value (ties by the least ``ord``); values are compared folded. Accuracies
     start from the trust ranks and are clamped to [0.05, 0.95]; ``false_values`` is how many wrong values a field may have.
-    NULL origins are one origin. The ``own_origins`` with most rows have an accuracy and copying of their own; any
-    further ones vote each for itself with one accuracy shared by all of them. An item is one row with a claim an origin
-    at most; statistics of a round are sums by pair of origins that meet. ``ord`` must be unique. An empty table gives none.
+    NULL origins are one origin. Every origin has its own accuracy and its own copying with each it meets. Statistics of up to
+    ``own_origins`` origins are held in memory; those of more are tables, and the results are the same. An item is one row with a
+    claim an origin at most; statistics of a round are sums by pair of origins that meet. ``ord`` must be unique. An empty table gives none.
 
     Texts are voted on like other values, moved as hashes only. They tell nothing about accuracies and copying, which are
     estimated on the other fields: two texts that say the same in other words differ, but neither is false.
     """
-    spark = rows.sparkSession
     named = rows.withColumn("__origin", F.coalesce("origin", F.lit("")))
-    known = named.groupBy("__origin").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__origin").limit(own_origins).collect()
-    origins = sorted(r["__origin"] for r in known)
-    n = len(origins) + 1
-    numbers = spark.createDataFrame([(o, i) for i, o in enumerate(origins)], "__origin string, o int")
+    known = named.groupBy("__origin").agg(F.count("*").alias("n"))
+    most = [r["__origin"] for r in known.orderBy(F.desc("n"), "__origin").limit(own_origins + 1).collect()]
     base = spread(named.select("ord", "dn_no", "record_id", "__origin", "updated_at", *[F.col(f).cast("string").alias(f) for f in FIELDS])).withColumn("__text", fold_code(F.col("text_content")))
     base = base.withColumn("dn", group_of(F.col("dn_no"), F.col("record_id"), F.col("__text"))).where(F.col("dn").isNotNull())
     value = lambda f: F.when(F.col(f) != "0", present(F.col(f))) if f == "total_wafers" else present(F.col(f))
@@ -266,12 +278,24 @@ def fuse(rows: DataFrame, trust: DataFrame, rounds: int = 4, false_values: int =
     told = told.select("dn", "c.field_name", "__origin", F.when(F.col("c.has"), F.struct("age", "ord", "c.h")).alias("c"))
     # A claim an origin first, so that the list of an item is no longer than there are origins.
     claims = told.groupBy("dn", "field_name", "__origin").agg(F.count("*").alias("n"), F.min("c").alias("c"))
-    claims = claims.join(broadcast_if_small(numbers), "__origin", "left").withColumn("o", F.coalesce("o", F.lit(n - 1)))
+    ranks = trust.groupBy(F.col("origin").alias("__origin")).agg(F.min("trust_rank").alias("rank"))
+    if len(most) <= own_origins:
+        picked, accuracies, copies = _fuse_in_memory(claims, sorted(most), ranks, rounds, false_values)
+    else:
+        picked, accuracies, copies = _fuse_in_tables(claims, known, ranks, rounds, false_values)
+    return Fusion(_with_values(picked, rows).select("dn_no", "field_name", "value", "posterior", "ord"), accuracies, copies, most[:own_origins])
+
+
+def _fuse_in_memory(claims: DataFrame, origins: list[str], ranks: DataFrame, rounds: int, false_values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark = claims.sparkSession
+    n = len(origins)
+    numbers = spark.createDataFrame([(o, i) for i, o in enumerate(origins)], "__origin string, o int")
+    claims = claims.join(broadcast_if_small(numbers), "__origin")
     one = F.when(F.col("c").isNotNull(), F.struct("o", F.col("c.h").alias("h"), F.col("c.ord").alias("ord")))
     items = claims.groupBy("dn", "field_name").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(one)).alias("claims"))
     items = materialise(items.where((F.col("n") >= 2) & (F.size("claims") > 0)).select("dn", "field_name", "claims"), "claims")
-    ranks = {r.origin: r.rank for r in trust.join(broadcast_if_small(numbers.select(F.col("__origin").alias("origin"))), "origin", "left_semi").groupBy("origin").agg(F.min("trust_rank").alias("rank")).collect()}
-    accuracy = np.array([min(0.9, max(0.55, 0.95 - 0.1 * (ranks.get(o) or 5))) for o in [*origins, None]])
+    rank = {r["__origin"]: r["rank"] for r in ranks.join(broadcast_if_small(numbers), "__origin", "left_semi").collect()}
+    accuracy = np.array([min(0.9, max(0.55, 0.95 - 0.1 * (rank.get(o) or 5))) for o in origins])
     copying = np.zeros((n, n))
     for _ in range(rounds if origins else 0):
         sums = items.where(F.col("field_name") != "text_content").mapInArrow(_estimate(accuracy, copying, false_values), "a int, b int, t double, f double, d double")
@@ -282,11 +306,86 @@ def fuse(rows: DataFrame, trust: DataFrame, rounds: int = 4, false_values: int =
             if r.a == r.b and r.d:
                 accuracy[r.a] = min(0.95, max(0.05, r.t / r.d))
         for r in stats:
-            if r.a != r.b and max(r.a, r.b) < n - 1:
+            if r.a != r.b:
                 copying[r.a, r.b] = _copy_probability(r.t, r.f, r.d, accuracy[r.a], accuracy[r.b], false_values)
     picked = items.mapInArrow(_choose(accuracy, copying, false_values), "dn_no string, field_name string, ord bigint, posterior double")
-    return Fusion(
-        _with_values(picked, rows).select("dn_no", "field_name", "value", "posterior", "ord"),
-        {o: float(accuracy[i]) for i, o in enumerate(origins)},
-        {(a, b): float(copying[i, j]) for (i, a), (j, b) in itertools.combinations(enumerate(origins), 2)},
-    )
+    a, b = np.nonzero(np.triu(copying))
+    names = pa.array(origins, pa.string())
+    pairs = pa.table({"origin": names.take(pa.array(a, pa.int64())), "other": names.take(pa.array(b, pa.int64())), "copying": pa.array(copying[a, b], pa.float64())})
+    accuracies = spark.createDataFrame([(o, float(x)) for o, x in zip(origins, accuracy, strict=True)], "origin string, accuracy double")
+    return picked, accuracies, spark.createDataFrame(pairs, "origin string, other string, copying double")
+
+
+def _meetings(told: DataFrame) -> DataFrame:
+    """``(item, text, a, b, h, same)``: claims of two origins on one item, each pair once, a < b. Claims of an item lie in blocks
+    of ``PAIR_BLOCK`` on average, and every two blocks meet under a key of their own: an item of very many origins is no task of its own."""
+    laid = told.withColumn("k", F.ceil(F.col("m") / PAIR_BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("o"), F.col("k")).cast("int"))
+    left = laid.select("item", "text", F.col("at").alias("p"), F.explode(F.sequence("at", F.col("k") - 1)).alias("q"), F.col("o").alias("o1"), "h")
+    right = laid.select("item", F.explode(F.sequence(F.lit(0), "at")).alias("p"), F.col("at").alias("q"), F.col("o").alias("o2"), F.col("h").alias("h2"))
+    both = left.hint("merge").join(right, ["item", "p", "q"]).where("p < q or o1 < o2")
+    return both.select("item", "text", F.least("o1", "o2").alias("a"), F.greatest("o1", "o2").alias("b"), "h", (F.col("h") == F.col("h2")).alias("same"))
+
+
+def _copy_column(t: Column, f: Column, d: Column, a1: Column, a2: Column, false_values: int, prior: float = 0.1, rate: float = 0.8) -> Column:
+    """``_copy_probability`` as a column."""
+    st, sf = a1 * a2, (1 - a1) * (1 - a2) / false_values
+    sd = F.greatest(F.lit(1e-9), 1 - st - sf)
+    mean = (a1 + a2) / 2
+    alone = t * F.log(st) + f * F.log(sf) + d * F.log(sd)
+    copied = t * F.log(rate * mean + (1 - rate) * st) + f * F.log(rate * (1 - mean) + (1 - rate) * sf) + d * F.log((1 - rate) * sd)
+    odds = math.log(prior / (1 - prior)) + copied - alone
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
+
+
+def _fuse_in_tables(claims: DataFrame, known: DataFrame, ranks: DataFrame, rounds: int, false_values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``_fuse_in_memory``, for any number of origins: claims are rows, not lists, and statistics of origins and of pairs are tables."""
+    numbers = materialise(numbered(known.select("__origin").orderBy("__origin"), "o"), "origins")
+    claims = materialise(claims, "claims")
+    items = claims.groupBy("dn", "field_name").agg(F.sum("n").alias("n"), F.count("c").alias("m")).where("n >= 2 and m > 0")
+    items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "dn", "field_name", "m"), "items")
+    told = claims.where(F.col("c").isNotNull()).join(items, ["dn", "field_name"]).join(broadcast_if_small(numbers), "__origin")
+    told = materialise(told.select("item", "m", (F.col("field_name") == "text_content").alias("text"), "o", "c.h", "c.ord"), "told")
+    rank = F.coalesce(F.nullif("rank", F.lit(0)), F.lit(5))
+    start = numbers.join(ranks, "__origin", "left").select("o", F.least(F.lit(0.9), F.greatest(F.lit(0.55), 0.95 - 0.1 * rank)).alias("accuracy"))
+    accuracy = materialise(start, "accuracy")
+    met = materialise(_meetings(told.where("not text")).groupBy("a", "b").agg(F.count("*").alias("met"), F.sum(F.col("same").cast("bigint")).alias("agreed")), "met")
+    # Only a pair that agrees somewhere discounts a vote.
+    agreed = materialise(_meetings(told).where("same").select("item", "text", "a", "b", "h"), "agreed")
+
+    def votes(accuracy: DataFrame, copies: DataFrame | None) -> DataFrame:
+        """``(item, h, share)``: posterior of each value."""
+        said = told.join(broadcast_if_small(accuracy), "o")
+        weight = F.log(false_values * F.col("accuracy") / (1 - F.col("accuracy")))
+        if copies is not None:
+            # Of two that agree, the less accurate one's vote is discounted; of equals the later one's.
+            shed = agreed.join(copies.select("a", "b", "later", "shed"), ["a", "b"]).groupBy("item", F.col("later").alias("o")).agg(F.sum("shed").alias("shed"))
+            said = said.join(shed, ["item", "o"], "left")
+            weight = weight * F.exp(F.coalesce("shed", F.lit(0.0)))
+        of = W.partitionBy("item")
+        score = said.groupBy("item", "h").agg(F.sum(weight).alias("score")).select("*", F.max("score").over(of).alias("top"), F.count("*").over(of).alias("values"))
+        mass = F.exp(F.col("score") - F.col("top"))
+        rest = F.greatest(F.lit(0), false_values + 1 - F.col("values")) * F.exp(-F.col("top"))
+        return materialise(score.select("item", "h", (mass / (F.sum(mass).over(of) + rest + 1e-300)).alias("share")), "votes")
+
+    copies = None
+    for _ in range(rounds):
+        share = votes(accuracy, copies)
+        right = told.where("not text").join(share, ["item", "h"]).groupBy("o").agg(F.avg("share").alias("right"))
+        # An origin that told of texts only keeps what it starts with.
+        now = F.when(F.col("right").isNull(), F.col("accuracy")).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("right"))))
+        accuracy = materialise(accuracy.join(right, "o", "left").select("o", now.alias("accuracy")), "accuracy")
+        t = agreed.where("not text").join(share, ["item", "h"]).groupBy("a", "b").agg(F.sum("share").alias("t"))
+        pairs = met.join(t, ["a", "b"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+        for side in ("a", "b"):
+            pairs = pairs.join(broadcast_if_small(accuracy.select(F.col("o").alias(side), F.col("accuracy").alias(f"{side}_right"))), side)
+        copying = _copy_column(F.col("t"), F.col("agreed") - F.col("t"), F.col("met") - F.col("agreed"), F.col("a_right"), F.col("b_right"), false_values)
+        later = F.when(F.col("a_right") >= F.col("b_right"), F.col("b")).otherwise(F.col("a"))
+        pairs = pairs.select("a", "b", copying.alias("copying"), later.alias("later"))
+        copies = materialise(pairs.withColumn("shed", F.log(1 - 0.8 * F.col("copying"))), "copies")
+    best = F.min(F.struct((-F.round("share", 9)).alias("less"), "ord")).alias("best")
+    picked = told.join(votes(accuracy, copies), ["item", "h"]).groupBy("item").agg(best).join(items, "item")
+    picked = picked.select(F.col("dn").alias("dn_no"), "field_name", F.col("best.ord").alias("ord"), (-F.col("best.less")).alias("posterior"))
+    name = lambda o, out: broadcast_if_small(numbers.select(F.col("o").alias(o), F.col("__origin").alias(out)))
+    pairs = copies if copies is not None else met.select("a", "b", F.lit(0.0).alias("copying"))
+    pairs = pairs.join(name("a", "origin"), "a").join(name("b", "other"), "b").select("origin", "other", "copying")
+    return picked, accuracy.join(name("o", "origin"), "o").select("origin", "accuracy"), pairs

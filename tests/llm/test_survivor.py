@@ -142,3 +142,33 @@ def test_more_origins_than_have_an_accuracy_of_their_own(spark):
         out = fuse(table(spark, rows), trust(spark), own_origins=own)
         r = out.values.first()
         assert (r.value, r.ord) == ("A", 0) and len(out.accuracy) == min(own, 101)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_origins_beyond_those_in_memory_keep_their_accuracy_and_copying(spark, monkeypatch, block):
+    """Whether statistics are matrices or tables, the results are the same, and no origin or pair of origins is left out."""
+    monkeypatch.setattr("siftmill.llm.survivor.PAIR_BLOCK", block)
+    rng = random.Random(7)
+    rows, n = [], itertools.count(1)
+    for i in range(60):
+        dn = f"DN-202401{i % 28 + 1:02d}-{i + 10}"
+        bad = rng.choice("BCD")
+        said = {f"good{j}": "A" if rng.random() < 0.8 else rng.choice("BCD") for j in range(1, 4)} | {"bad": bad, "copy1": bad, "copy2": bad}
+        rows += [{"ord": next(n), "dn_no": dn, "lot_id": v, "machine": rng.choice("MN"), "text_content": v, "origin": o, "total_wafers": 0} for o, v in said.items()]
+    rows += [{"ord": next(n), "dn_no": "DN-20250101-10", "text_content": "T", "origin": o} for o in (None, "mes")]
+    rows += [{"ord": next(n), "dn_no": "DN-20250101-11", "lot_id": "L", "origin": "alone"}]
+    given, ranks = table(spark, rows), spark.createDataFrame([*TRUST, ("good1", 1), ("bad", 0), ("copy1", None)], "origin string, trust_rank int")
+    held, laid = fuse(given, ranks, rounds=3), fuse(given, ranks, rounds=3, own_origins=2)
+
+    def cells(out):
+        return {(r.dn_no, r.field_name): (r.ord, r.value, pytest.approx(r.posterior, abs=1e-8)) for r in out.values.collect()}
+
+    assert cells(laid) == {k: (o, v, p.expected) for k, (o, v, p) in cells(held).items()}
+    origins = {r.origin: r.accuracy for r in laid.accuracies.collect()}
+    assert origins == pytest.approx({r.origin: r.accuracy for r in held.accuracies.collect()}) and len(origins) == 9
+    pairs = {(r.origin, r.other): r.copying for r in laid.copies.collect()}
+    assert pairs == pytest.approx({(r.origin, r.other): r.copying for r in held.copies.collect()}) and len(pairs) == 15
+    assert pairs["bad", "copy1"] > 0.9 and pairs["copy1", "copy2"] > 0.9 > 0.5 > pairs["good1", "good2"]
+    assert len(laid.accuracy) == 2 and len(laid.copying) == 1
+    value = {r.dn_no: r.value for r in laid.values.where("field_name = 'lot_id'").collect()}
+    assert sum(v == "A" for v in value.values()) > 45
