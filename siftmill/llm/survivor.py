@@ -352,13 +352,13 @@ def _fuse_in_tables(claims: DataFrame, known: DataFrame, ranks: DataFrame, round
     # Only a pair that agrees somewhere discounts a vote.
     agreed = materialise(_meetings(told).where("same").select("item", "text", "a", "b", "h"), "agreed")
 
-    def votes(accuracy: DataFrame, copies: DataFrame | None) -> DataFrame:
-        """``(item, h, share)``: posterior of each value."""
-        said = told.join(broadcast_if_small(accuracy), "o")
+    def votes(accuracy: DataFrame, copies: DataFrame | None, on: str) -> DataFrame:
+        """``(item, h, share)``: posterior of each value of the items ``on``."""
+        said = told.where(on).join(broadcast_if_small(accuracy), "o")
         weight = F.log(false_values * F.col("accuracy") / (1 - F.col("accuracy")))
         if copies is not None:
             # Of two that agree, the less accurate one's vote is discounted; of equals the later one's.
-            shed = agreed.join(copies.select("a", "b", "later", "shed"), ["a", "b"]).groupBy("item", F.col("later").alias("o")).agg(F.sum("shed").alias("shed"))
+            shed = agreed.where(on).join(copies.select("a", "b", "later", "shed"), ["a", "b"]).groupBy("item", F.col("later").alias("o")).agg(F.sum("shed").alias("shed"))
             said = said.join(shed, ["item", "o"], "left")
             weight = weight * F.exp(F.coalesce("shed", F.lit(0.0)))
         of = W.partitionBy("item")
@@ -369,7 +369,7 @@ def _fuse_in_tables(claims: DataFrame, known: DataFrame, ranks: DataFrame, round
 
     copies = None
     for _ in range(rounds):
-        share = votes(accuracy, copies)
+        share = votes(accuracy, copies, "not text")
         right = told.where("not text").join(share, ["item", "h"]).groupBy("o").agg(F.avg("share").alias("right"))
         # An origin that told of texts only keeps what it starts with.
         now = F.when(F.col("right").isNull(), F.col("accuracy")).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("right"))))
@@ -383,7 +383,7 @@ def _fuse_in_tables(claims: DataFrame, known: DataFrame, ranks: DataFrame, round
         pairs = pairs.select("a", "b", copying.alias("copying"), later.alias("later"))
         copies = materialise(pairs.withColumn("shed", F.log(1 - 0.8 * F.col("copying"))), "copies")
     best = F.min(F.struct((-F.round("share", 9)).alias("less"), "ord")).alias("best")
-    picked = told.join(votes(accuracy, copies), ["item", "h"]).groupBy("item").agg(best).join(items, "item")
+    picked = told.join(votes(accuracy, copies, "true"), ["item", "h"]).groupBy("item").agg(best).join(items, "item")
     picked = picked.select(F.col("dn").alias("dn_no"), "field_name", F.col("best.ord").alias("ord"), (-F.col("best.less")).alias("posterior"))
     name = lambda o, out: broadcast_if_small(numbers.select(F.col("o").alias(o), F.col("__origin").alias(out)))
     pairs = copies if copies is not None else met.select("a", "b", F.lit(0.0).alias("copying"))
